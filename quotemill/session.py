@@ -17,6 +17,7 @@ def build_session(app: str = "quotemill", cores: int | str = "*", partitions: in
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
     )
     if partitions:
