@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Query modules in ``quotemill.llm.queries``; each has NAME, run(spark, sf_dir) and ORACLE_SQL (None: not expressible).
-MODULES = ("op1", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10")
+MODULES = ("op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10")
 
 
 def _modules() -> list:
