@@ -19,15 +19,18 @@ import numpy as np
 class WordEncoder:
     """``encode(texts)`` gives little-endian unsigned 32-bit ids as bytes, without special tokens."""
 
-    CACHE = 1_000_000
+    CACHE = 500_000
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
+        # the same model for lower-case Latin-1 letters, which normalising and word splitting leave as they are
+        self._lean = Tokenizer(self._tokenizer.model)
+        self._lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self._tokenizer.get_vocab(with_added_tokens=True)
         self._ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         for token, at in vocab.items():
@@ -42,7 +45,7 @@ class WordEncoder:
 
     def _letters(self, cores: list[str]) -> list[bytes]:
         """Ids of words of letters only: encoded in one go and cut at word ends."""
-        ids = np.array(self._tokenizer.encode(" ".join(cores), add_special_tokens=False).ids, dtype="<u4")
+        ids = np.array(self._lean.encode(" ".join(cores), add_special_tokens=False).ids, dtype="<u4")
         ends = np.flatnonzero(self._ends[ids]) + 1
         if len(ends) != len(cores):
             return self._each(cores)
@@ -53,37 +56,43 @@ class WordEncoder:
         if len(self._chunks) + len(new) > self.CACHE:
             self._chunks.clear()
             self._cores.clear()
-        plain: dict[str, tuple[str, str]] = {}
-        odd = []
+        chunks, cores, tails, odd = [], [], [], []
+        strip = string.punctuation
         for chunk in new:
-            core = chunk.rstrip(string.punctuation)
-            if core and core.isalpha() and max(core) < "Ā":
-                plain[chunk] = (core.lower(), chunk[len(core) :])
+            core = chunk.rstrip(strip)
+            tail = chunk[len(core) :]
+            # an apostrophe after letters may start a contraction: such chunks are encoded whole
+            if core.isalpha() and (core.isascii() or max(core) < "\u0100") and "'" not in tail:
+                chunks.append(chunk)
+                cores.append(core.lower())
+                tails.append(tail)
             else:
                 odd.append(chunk)
-        cores = list({c for c, _ in plain.values()} - self._cores.keys())
-        for i in range(0, len(cores), 20_000):
-            self._cores.update(zip(cores[i : i + 20_000], self._letters(cores[i : i + 20_000])))
-        # an apostrophe right after letters may start a contraction: such chunks are encoded whole
-        tails = list({t for _, t in plain.values() if "'" not in t} - self._tails.keys())
-        self._tails.update(zip(tails, self._each(tails)))
-        odd += [c for c, (_, t) in plain.items() if "'" in t]
-        for chunk, (core, tail) in plain.items():
-            if "'" not in tail:
-                self._chunks[chunk] = self._cores[core] + self._tails[tail]
+        known, ends = self._cores, self._tails
+        fresh = list({c for c in cores if c not in known})
+        for i in range(0, len(fresh), 20_000):
+            known.update(zip(fresh[i : i + 20_000], self._letters(fresh[i : i + 20_000])))
+        if rare := list({t for t in tails if t not in ends}):
+            ends.update(zip(rare, self._each(rare)))
+        self._chunks.update(zip(chunks, map(bytes.__add__, map(known.__getitem__, cores), map(ends.__getitem__, tails))))
         self._chunks.update(zip(odd, self._each(odd)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").split() for t in texts]
         out = []
-        for i in range(0, len(split), 256):
-            some = split[i : i + 256]
-            new = set().union(*some) - self._chunks.keys()
-            if new:
-                self._learn(list(new))
-                if missing := set().union(*some) - self._chunks.keys():
-                    self._learn(list(missing))
-            out += [b"".join(map(self._chunks.__getitem__, chunks)) for chunks in some]
+        for i in range(0, len(texts), 256):
+            split = [(t or "").split() for t in texts[i : i + 256]]
+            known = self._chunks
+            parts = [list(map(known.get, chunks)) for chunks in split]
+            gaps = [k for k, p in enumerate(parts) if not all(p)]  # also chunks without ids, which are rare
+            if gaps:
+                new = list({c for k in gaps for c, p in zip(split[k], parts[k]) if p is None})
+                held = len(known)
+                self._learn(new)
+                if len(known) < held + len(new):  # the cache was emptied: the rest of these texts needs it too
+                    self._learn([c for c in set().union(*(split[k] for k in gaps)) if c not in known])
+                for k in gaps:
+                    parts[k] = map(known.__getitem__, split[k])
+            out += map(b"".join, parts)
         return out
 
 
