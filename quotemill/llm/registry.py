@@ -16,8 +16,9 @@ def _modules() -> list:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {m.NAME: m.run for m in _modules()}
+    return {m.NAME: m.run for m in _modules()} | {"pipeline": import_module("corpus_pipeline").run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {m.NAME: m.ORACLE_SQL for m in _modules() if m.ORACLE_SQL}
+    found = {m.NAME: m.ORACLE_SQL for m in _modules()} | {"pipeline": import_module("corpus_pipeline").ORACLE_SQL}
+    return {name: sql for name, sql in found.items() if sql}
