@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("relational", "joins")
+MODULES = ("relational", "joins", "fairvalue", "statistics")
 
 
 def _books() -> list:
