@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quotemill.llm.idfilter import may_contain
 from quotemill.llm.scratch import materialize
 from quotemill.llm.words import split_words
 
@@ -110,7 +111,11 @@ def _least(key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 def window_groups(texts: list[str | None], window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """Groups of consecutive windows that pick one symbol: (row, first window, windows, name, digest, digest)."""
+    """Groups of consecutive windows that pick one symbol: (row, first window, windows, name, digest).
+
+    The name is a hash of the words of the symbol's context, which equal windows share;
+    a symbol's own name stands for a few words only and would meet by chance.
+    """
     out: list[tuple[np.ndarray, ...]] = []
     pending: list[tuple[int, int, list[bytes]]] = []
     held = 0
@@ -126,7 +131,7 @@ def window_groups(texts: list[str | None], window: int = WINDOW) -> tuple[np.nda
     if pending:
         out.append(_chunk_groups(pending, window))
     if not out:
-        return tuple(np.empty(0, dtype=np.int64) for _ in range(6))
+        return tuple(np.empty(0, dtype=np.int64) for _ in range(5))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -151,11 +156,14 @@ def _chunk_groups(parts: list[tuple[int, int, list[bytes]]], window: int) -> tup
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
     begin = np.concatenate([[0], ends[:-1]])
     digest = xxhash.xxh3_128_digest
-    raw = b"".join([digest(joined[a:b]) for a, b in zip(begin[p0].tolist(), (ends[p0 + n + window - 2] - 1).tolist())])
-    digests = np.frombuffer(raw, dtype=np.int64).reshape(-1, 2)
-    name = np.where(picked >= 0, names[np.maximum(picked, 0)].view(np.int64), digests[:, 0])
+    spans = zip(begin[p0].tolist(), (ends[p0 + n + window - 2] - 1).tolist())
+    digests = np.frombuffer(b"".join([digest(joined[a:b])[:8] for a, b in spans]), dtype=np.int64)
+    own = np.flatnonzero(picked >= 0)
+    spans = zip(begin[c[picked[own]]].tolist(), (ends[d[picked[own]] - 1] - 1).tolist())
+    name = digests.copy()
+    name[own] = np.array([hash64(joined[a:b], 1) for a, b in spans], dtype=_U).view(np.int64)
     rows, offsets = np.array([r for r, _, _ in parts]), np.array([o for _, o, _ in parts])
-    return rows[of], p0 - first[of] + offsets[of], n, name, digests[:, 0], digests[:, 1]
+    return rows[of], p0 - first[of] + offsets[of], n, name, digests
 
 
 def _slices(words: list[bytes], groups, window: int) -> list[bytes]:
@@ -164,7 +172,7 @@ def _slices(words: list[bytes], groups, window: int) -> list[bytes]:
     return [digest(joined[ends[p - 1] if p else 0 : ends[p + n + window - 2] - 1]) if p + n + window - 1 <= len(words) else b"\0" * 16 for p, n in groups]
 
 
-GROUPS = "doc_id long, p long, n long, name long, g1 long, g2 long"
+GROUPS = "doc_id long, p int, n int, name long, g1 long"
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -177,17 +185,17 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         for df in batches:
             for i in range(0, len(df), 500):
                 part = df.iloc[i : i + 500]
-                row, p, n, name, g1, g2 = window_groups(part["text"].tolist(), window)
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[row], "p": p, "n": n, "name": name, "g1": g1, "g2": g2})
+                row, p, n, name, g1 = window_groups(part["text"].tolist(), window)
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[row], "p": p.astype(np.int32), "n": n.astype(np.int32), "name": name, "g1": g1})
 
     known = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     groups = materialize(known.mapInPandas(scan, GROUPS), "windows")
     ranged = [F.min("doc_id").alias("least"), F.max("doc_id").alias("most")]
     shared = materialize(groups.groupBy("name").agg(*ranged).where("least < most").select("name"), "shared")
     live = materialize(groups.join(shared, "name", "left_semi"), "live")
-    variants = materialize(live.groupBy("name", "g1", "g2").agg(F.min("doc_id").alias("source")), "variants")
+    variants = materialize(live.groupBy("name", "g1").agg(F.min("doc_id").alias("source")), "variants")
     mixed = materialize(variants.groupBy("name").agg(F.count("*").alias("k")).where("k > 1").select("name", F.lit(True).alias("mixed")), "mixed")
-    placed = materialize(live.join(variants, ["name", "g1", "g2"]).select("doc_id", "p", "n", "name", "g1", "source"), "placed")
+    placed = materialize(live.join(variants, ["name", "g1"]).select("doc_id", "p", "n", "name", "g1", "source"), "placed")
     whole = placed.where("doc_id > source").select("doc_id", "p", "n", "g1")
     edges = placed.where("doc_id = source").join(mixed, "name", "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("p", "n")).alias("at"))
 
@@ -199,24 +207,27 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 raw = np.frombuffer(b"".join(_slices(words, [(p, 1) for p in ps], window)), dtype=np.int64).reshape(-1, 2)
                 yield pd.DataFrame({"doc_id": np.full(len(ps), doc_id), "p": ps, "g1": raw[:, 0], "g2": raw[:, 1]})
 
-    windows = materialize(known.join(edges, "doc_id").select("doc_id", "text", "at").mapInPandas(single, "doc_id long, p long, g1 long, g2 long"), "single")
+    edges = materialize(edges, "edges")
+    wanted = known.where(may_contain(edges, "doc_id")(F.col("doc_id")))
+    windows = materialize(wanted.join(edges, "doc_id").select("doc_id", "text", "at").mapInPandas(single, "doc_id long, p int, g1 long, g2 long"), "single")
     sources = materialize(windows.groupBy("g1", "g2").agg(*ranged).where("least < most").select("g1", "g2", F.col("least").alias("source")), "sources")
-    part = windows.join(sources, ["g1", "g2"]).where("doc_id > source").select("doc_id", "p", F.lit(1).cast("long").alias("n"), "g1")
+    part = windows.join(sources, ["g1", "g2"]).where("doc_id > source").select("doc_id", "p", F.lit(1).alias("n"), "g1")
     return whole.unionAll(part)
 
 
 RESULT = "doc_id long, text string, n_words long, n_removed long, kept_sha256 string"
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per document: id, remaining text, and counts of its words.
+def remove_repeats(docs: DataFrame, window: int = WINDOW, extra: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: id, remaining text, counts of its words, and the columns ``extra`` as they are.
 
     The text stays as it is where nothing goes, else it is the kept words joined by
     one space. Of equal windows only those in the least document stay whole. Null
     text: no words, text null. Null id: kept whole. Repeated rows are all treated
     alike. Empty table: empty result. Other columns are ignored.
     """
-    gone = repeated_windows(docs, window).groupBy("doc_id").agg(F.collect_list(F.struct("p", "n", "g1")).alias("gone"))
+    marks = repeated_windows(docs, window).groupBy("doc_id").agg(F.collect_list(F.struct("p", "n", "g1")).alias("gone"))
+    marks = materialize(marks, "gone")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
@@ -238,7 +249,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 rows.append((doc_id, text if len(kept) == len(words) else joined.decode("utf-8", "surrogatepass"), len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest()))
             out = pd.DataFrame(rows, columns=["doc_id", "text", "n_words", "n_removed", "kept_sha256"])
             out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
-
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return wanted.join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInPandas(cut, RESULT)
+            yield pd.concat([out, df[names].reset_index(drop=True)], axis=1)
+
+    names = [f"extra_{i}" for i in range(len(extra))]
+    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).alias(n) for c, n in zip(extra, names)])
+    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in wanted.schema[2:]) if extra else ""
+    marked = may_contain(marks, "doc_id")(F.col("doc_id"))
+    plain = wanted.where(~marked).withColumn("gone", F.lit(None).cast(marks.schema["gone"].dataType))
+    joined = wanted.where(marked).join(marks, "doc_id", "left").select("doc_id", "text", *names, "gone")
+    done = plain.unionAll(joined).mapInPandas(cut, RESULT + kinds)
+    return done.select("doc_id", "text", "n_words", "n_removed", "kept_sha256", *[F.col(n).alias(c) for n, c in zip(names, extra)])
