@@ -73,11 +73,23 @@ def nearest(left: DataFrame, right: DataFrame, *, keys: list[str], time: str, se
     return _out(both, pick, left, values, prefix, time, tolerance, 0)
 
 
-def asof_many(left: DataFrame, right: DataFrame, *, time: str, seq: str, who: str, others: list[str], value: str) -> DataFrame:
-    """Each left row with the last value of every series in ``others``, in a single pass over one sort."""
-    a = left.select(F.col(time).alias("_t"), F.lit(1).alias("_side"), F.col(seq).alias("_seq"), F.struct(*left.columns).alias("_left"))
-    b = right.select(F.col(time).alias("_t"), F.lit(0).alias("_side"), F.col(seq).alias("_seq"), F.col(who).alias("_who"), F.col(value).alias("_v"))
-    both = a.unionByName(b, allowMissingColumns=True).withColumn("_day", F.lit(0))
-    w = Window.partitionBy("_day").orderBy("_t", "_side", "_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cols = [F.last(F.when(F.col("_who") == o, F.col("_v")), ignorenulls=True).over(w).alias(f"{o}_{value}") for o in others]
-    return both.select("_side", "_left", *cols).where("_side = 1").select("_left.*", *[f"{o}_{value}" for o in others])
+def asof_many(left: DataFrame, right: DataFrame, *, time: str, seq: str, who: str, others: list[str], value: str, bucket_ms: int) -> DataFrame:
+    """Each left row with the last value of every series in ``others``, in one pass over one sort.
+
+    Rows are dealt by time bucket; a bucket is seeded with the last values before it,
+    carried over a table of one row per bucket.
+    """
+    bucket = F.floor(F.col(time) / bucket_ms).alias("_b")
+    a = left.select(bucket, F.col(time).alias("_t"), F.lit(1).alias("_side"), F.col(seq).alias("_seq"), F.struct(*left.columns).alias("_left"))
+    b = right.select(bucket, F.col(time).alias("_t"), F.lit(0).alias("_side"), F.col(seq).alias("_seq"), F.col(who).alias("_who"), F.col(value).alias("_v"))
+    at = F.struct("_t", "_seq")
+    own = lambda o: (F.col("_who") == o) & F.col("_v").isNotNull()
+    ends = b.groupBy("_b").agg(*[F.max_by("_v", F.when(own(o), at)).alias(f"_e{i}") for i, o in enumerate(others)])
+    days = a.select("_b").distinct().join(ends, "_b", "full")
+    before = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
+    seeds = days.select("_b", *[F.last(f"_e{i}", ignorenulls=True).over(before).alias(f"_s{i}") for i in range(len(others))])
+    w = Window.partitionBy("_b").orderBy("_t", "_side", "_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = a.unionByName(b, allowMissingColumns=True)
+    cols = [F.last(F.when(own(o), F.col("_v")), ignorenulls=True).over(w).alias(f"_w{i}") for i, o in enumerate(others)]
+    found = both.select("_b", "_side", "_left", *cols).where("_side = 1").join(seeds, "_b", "left")
+    return found.select("_left.*", *[F.coalesce(f"_w{i}", f"_s{i}").alias(f"{o}_{value}") for i, o in enumerate(others)])

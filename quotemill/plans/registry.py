@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("relational", "joins", "fairvalue", "statistics")
+MODULES = ("relational", "joins", "fairvalue", "statistics", "models")
 
 
 def _books() -> list:
