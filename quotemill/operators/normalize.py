@@ -50,9 +50,10 @@ def hyperliquid_trades(raw: DataFrame) -> DataFrame:
 
 
 def hyperliquid_candles(raw: DataFrame) -> DataFrame:
-    df = _parse(raw, "channel string, data array<struct<t:string,T:string,s:string,i:string,o:string,h:string,l:string,c:string,v:string,n:int>>").where("m.channel = 'candle'").select("seq", "received_ts_ms", F.explode("m.data").alias("t"))
-    ohlc = {n: exact(F.col(f"t.{k}")) for n, k in (("open", "o"), ("high", "h"), ("low", "l"), ("close", "c"), ("volume", "v"))}
-    return _typed(df, ["open", "close"], exchange=F.lit("hyperliquid"), market=F.col("t.s"), interval=F.col("t.i"), open_ts=timestamp_ms(F.col("t.t")), close_ts=timestamp_ms(F.col("t.T")), trade_count=F.col("t.n"), **ohlc)
+    df = _parse(raw, "channel string, data array<map<string,string>>").where("m.channel = 'candle'").select("seq", "received_ts_ms", F.explode("m.data").alias("t"))  # a map, as its keys t and T differ in case only
+    at = lambda k: F.try_element_at(F.col("t"), F.lit(k))
+    ohlc = {n: exact(at(k)) for n, k in (("open", "o"), ("high", "h"), ("low", "l"), ("close", "c"), ("volume", "v"))}
+    return _typed(df, ["open", "close"], exchange=F.lit("hyperliquid"), market=at("s"), interval=at("i"), open_ts=timestamp_ms(at("t")), close_ts=timestamp_ms(at("T")), trade_count=at("n").try_cast("int"), **ohlc)
 
 
 def _levels(levels: Column, side: str, px: str = "px", sz: str = "sz") -> Column:
