@@ -17,9 +17,16 @@ from pyspark.sql import DataFrame
 from quotemill.operators.kernels import BasisKalman, BetaKalman, Book, Ema, FusedKalman, Observation
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Groups dealt over all cores: folds are heavy for their bytes, so their partitions must not be merged."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def fold(df: DataFrame, keys: list[str], order: list[str], schema: str, fn: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
     """``fn`` on every group's rows in order."""
-    return df.groupBy(*keys).applyInPandas(lambda g: fn(g.sort_values(order, kind="stable").reset_index(drop=True)), schema)
+    return spread(df, keys).groupBy(*keys).applyInPandas(lambda g: fn(g.sort_values(order, kind="stable").reset_index(drop=True)), schema)
 
 
 def ema(df: DataFrame, keys: list[str], order: list[str], value: str, alpha: float) -> DataFrame:
@@ -33,12 +40,17 @@ def ema(df: DataFrame, keys: list[str], order: list[str], value: str, alpha: flo
     return fold(df, keys, order, kinds + ", ema double", run)
 
 
-def _observed(g: pd.DataFrame) -> list[tuple[float, list[Observation]]]:
-    """Rows (event, now_ms, exchange, fair_value, variance, age_ms) as one list of observations per event."""
-    out = []
-    for _, rows in g.groupby("event_seq", sort=True):
-        out.append((rows["event_seq"].iloc[0], rows["now_ms"].iloc[0] / 1000.0, [Observation(r.exchange, r.fair_value, r.variance, r.age_ms, True, r.exchange.endswith("_perp")) for r in rows.sort_values("exchange").itertuples()]))
-    return out
+def _observed(g: pd.DataFrame) -> list[tuple[int, float, list[Observation]]]:
+    """Rows (event_seq, now_ms, exchange, fair_value, variance, age_ms) as one list of observations per event."""
+    g = g.sort_values(["event_seq", "exchange"], kind="stable")
+    events = g["event_seq"].to_numpy()
+    cuts = [0, *(np.flatnonzero(np.diff(events)) + 1).tolist(), len(g)]
+    names = g["exchange"].tolist()
+    perp = g["exchange"].str.endswith("_perp").tolist()
+    rows = list(zip(names, g["fair_value"].tolist(), g["variance"].tolist(), g["age_ms"].tolist(), perp))
+    seen = [Observation(n, v, s, a, True, p) for n, v, s, a, p in rows]
+    now = (g["now_ms"] / 1000.0).tolist()
+    return [(int(events[i]), now[i], seen[i:j]) for i, j in zip(cuts, cuts[1:]) if j > i]
 
 
 FUSED = "{k}, event_seq long, price double, fused double, gain double, q double, r double, p double"
@@ -52,7 +64,7 @@ def fused_kalman(states: DataFrame, key: str, **config) -> DataFrame:
                 rows.append((g[key].iloc[0], event, *(found[c] for c in ("price", "fused", "gain", "q", "r", "p"))))
         return pd.DataFrame(rows, columns=[key, "event_seq", "price", "fused", "gain", "q", "r", "p"])
 
-    return states.groupBy(key).applyInPandas(run, FUSED.format(k=f"{key} {states.schema[key].dataType.simpleString()}"))
+    return spread(states, [key]).groupBy(key).applyInPandas(run, FUSED.format(k=f"{key} {states.schema[key].dataType.simpleString()}"))
 
 
 def basis_kalman(states: DataFrame, key: str, hold: bool = True, **config) -> DataFrame:
@@ -68,7 +80,7 @@ def basis_kalman(states: DataFrame, key: str, hold: bool = True, **config) -> Da
         return pd.DataFrame(rows, columns=[key, "event_seq", "price", "stddev", "trace", "basis", "is_live"])
 
     kind = states.schema[key].dataType.simpleString()
-    return states.groupBy(key).applyInPandas(run, f"{key} {kind}, event_seq long, price double, stddev double, trace double, basis string, is_live boolean")
+    return spread(states, [key]).groupBy(key).applyInPandas(run, f"{key} {kind}, event_seq long, price double, stddev double, trace double, basis string, is_live boolean")
 
 
 def beta_kalman(df: DataFrame, key: str, order: list[str], features: list[str], target: str, *, warm: float = 0.3, ridge: float = 1e-6, delayed: int = 0) -> DataFrame:
