@@ -11,7 +11,7 @@ from quotemill.llm.mil import quality_score, train
 from quotemill.llm.packing import pack_documents
 from quotemill.llm.queries.op8 import tokenizer_path
 from quotemill.llm.recompress import remove_repeats
-from quotemill.llm.scratch import materialize
+from quotemill.llm.scratch import materialize, prepare
 from quotemill.llm.similar import similar_classes
 from quotemill.session import load, with_worker_path
 
@@ -26,18 +26,19 @@ def _shaped(docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below the threshold go."""
-    model = train(docs, load(with_worker_path(spark), sf_dir, "labels"))
+    model = train(docs, load(with_worker_path(prepare(spark)), sf_dir, "labels"))
     return docs.select(*COLUMNS).where(quality_score(model, F.col("text")) >= THRESHOLD)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of like lines the first stays."""
+    prepare(spark)
     return _shaped(dedup_lines(docs, extra=("lang", "source")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the least id stays."""
-    with_worker_path(spark)
+    with_worker_path(prepare(spark))
     gone = materialize(similar_classes(docs, words=5, similarity=0.8).where("doc_id <> component_id").select("doc_id"), "near-gone")
     maybe = may_contain(gone, "doc_id")(F.col("doc_id"))
     kept = docs.where(maybe).join(gone, "doc_id", "left_anti")
@@ -46,13 +47,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Runs of 50 words or more stay in the document with the least id only."""
-    with_worker_path(spark)
+    with_worker_path(prepare(spark))
     return _shaped(remove_repeats(docs, window=50, extra=("lang", "source")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all remaining documents and their places in sequences."""
-    with_worker_path(spark)
+    with_worker_path(prepare(spark))
     return pack_documents(docs, tokenizer_path(), capacity=2048)
 
 

@@ -7,16 +7,23 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quotemill.llm.scratch import prepare
+
 #: Query modules in ``quotemill.llm.queries``; each has NAME, run(spark, sf_dir) and ORACLE_SQL (None: not expressible).
 MODULES = ("op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10")
 
 
+def _prepared(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: run(prepare(spark), sf_dir)
+
+
 def _modules() -> list:
     return [import_module(f"quotemill.llm.queries.{m}") for m in MODULES]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {m.NAME: m.run for m in _modules()} | {"pipeline": import_module("corpus_pipeline").run}
+    found = {m.NAME: m.run for m in _modules()} | {"pipeline": import_module("corpus_pipeline").run}
+    return {name: _prepared(run) for name, run in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:

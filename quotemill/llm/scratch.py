@@ -28,6 +28,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Bound what a Python worker holds at once: batches of at most 1000 rows, as texts can be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return spark
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     _written.append(path)
@@ -36,7 +42,7 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back."""
-    spark = df.sparkSession
+    spark = prepare(df.sparkSession)
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

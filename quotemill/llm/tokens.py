@@ -19,7 +19,7 @@ import numpy as np
 class WordEncoder:
     """``encode(texts)`` gives little-endian unsigned 32-bit ids as bytes, without special tokens."""
 
-    CACHE = 500_000
+    CACHE = 250_000
 
     def __init__(self, path: str):
         import os
