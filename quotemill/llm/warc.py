@@ -176,15 +176,15 @@ def assign_records(pages: DataFrame, least_shared: int = LEAST_SHARED) -> DataFr
 
     Of pages with equal payloads of at least ``least_shared`` bytes, that with the
     largest id is the response; every row with that id is. Null html: empty payload.
-    Null ids are always responses. Equal payloads are told by SHA-256 and length.
+    Null ids are always responses; rows that share an id are told apart by payload. Equal payloads are told by SHA-256 and length.
     """
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"))
     base = base.withColumn("digest", F.sha1("payload")).withColumn("same", F.when(F.length("payload") >= least_shared, F.sha2("payload", 256)))
     keys = pages.select(F.col("page_id").cast("long").alias("page_id"), F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"))
     keys = keys.where(F.length("payload") >= least_shared).select("page_id", F.sha2("payload", 256).alias("same"))
     shared = materialize(keys.groupBy("same").agg(F.max("page_id").alias("keeper"), F.count("*").alias("k")).where("k > 1").select("same", "keeper"), "payloads")
-    refers = materialize(keys.join(shared, "same").where("page_id < keeper").select("page_id", "keeper").distinct(), "revisits")
-    return base.join(refers, "page_id", "left").select("page_id", "url", "payload", "digest", F.col("keeper").alias("refers_to"))
+    refers = materialize(keys.join(shared, "same").where("page_id < keeper").select("page_id", "same", "keeper").distinct(), "revisits")
+    return base.join(refers, ["page_id", "same"], "left").select("page_id", "url", "payload", "digest", F.col("keeper").alias("refers_to"))
 
 
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, intact boolean"

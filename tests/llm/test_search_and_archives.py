@@ -60,7 +60,7 @@ def test_tree_skips_computations():
 
 def test_archives(spark):
     big = "<p>" + "é" * 600 + "</p>"
-    rows = [(1, "http://a b/\n", big), (2, None, big), (3, "u", "small"), (4, "u", "small"), (5, "u", None), (None, "u", big), (7, "u", ""), (7, "u", ""), (9, "u", big + "x")]
+    rows = [(1, "http://a b/\n", big), (2, None, big), (3, "u", "small"), (4, "u", "small"), (5, "u", None), (None, "u", big), (7, "u", ""), (7, "u", ""), (9, "u", big + "x"), (1, "u", "another text of page 1")]
     df = spark.createDataFrame([(*r, 0) for r in rows], "page_id long, url string, html string, digest int")
     read, index, folder = warc.archive_pages(df)
     got = sorted((r.page_id is None, r.page_id or 0, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.intact) for r in read.collect())
