@@ -53,9 +53,6 @@ class WordEncoder:
         return [raw[a:b] for a, b in zip([0, *at[:-1]], at)]
 
     def _learn(self, new: list[str]) -> None:
-        if len(self._chunks) + len(new) > self.CACHE:
-            self._chunks.clear()
-            self._cores.clear()
         chunks, cores, tails, odd = [], [], [], []
         strip = string.punctuation
         for chunk in new:
@@ -86,13 +83,13 @@ class WordEncoder:
             gaps = [k for k, p in enumerate(parts) if not all(p)]  # also chunks without ids, which are rare
             if gaps:
                 new = list({c for k in gaps for c, p in zip(split[k], parts[k]) if p is None})
-                held = len(known)
                 self._learn(new)
-                if len(known) < held + len(new):  # the cache was emptied: the rest of these texts needs it too
-                    self._learn([c for c in set().union(*(split[k] for k in gaps)) if c not in known])
                 for k in gaps:
                     parts[k] = map(known.__getitem__, split[k])
             out += map(b"".join, parts)
+            if len(known) > self.CACHE:  # emptied between blocks only: a block needs all of its chunks
+                known.clear()
+                self._cores.clear()
         return out
 
 

@@ -187,3 +187,17 @@ def test_plan_places_every_rank():
                 assert o == at
                 at += n
             assert at <= 100
+
+
+def test_word_cache_smaller_than_a_block(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from quotemill.llm.tokens import WordEncoder
+
+    path = op8.tokenizer_path()
+    encoder, t = WordEncoder(path), Tokenizer.from_file(path)
+    monkeypatch.setattr(encoder, "CACHE", 50)
+    ordinary = [f"word{chr(97 + i)} plain" for i in range(20)]
+    for texts in (ordinary, [*ordinary, " ".join(f"id{i}x" for i in range(500))], ordinary):
+        want = [np.array(t.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in texts]
+        assert encoder.encode(texts) == want
