@@ -10,11 +10,21 @@ encoding the whole text at once.
 
 from __future__ import annotations
 
+import re
 import string
 from functools import lru_cache
 
 import numpy as np
 
+#: str.split() cuts at these and drops them; to the tokenizer they are no white space.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+_CHUNK = re.compile("(?:\\S|[\x1c-\x1f])+")
+
+
+def chunks_of(text: str) -> list[str]:
+    """What stands between the tokenizer's white space."""
+    return _CHUNK.findall(text) if _SEPARATORS.search(text) else text.split()
+
 
 class WordEncoder:
     """``encode(texts)`` gives little-endian unsigned 32-bit ids as bytes, without special tokens."""
@@ -77,7 +87,7 @@ class WordEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out = []
         for i in range(0, len(texts), 256):
-            split = [(t or "").split() for t in texts[i : i + 256]]
+            split = [chunks_of(t or "") for t in texts[i : i + 256]]
             known = self._chunks
             parts = [list(map(known.get, chunks)) for chunks in split]
             gaps = [k for k, p in enumerate(parts) if not all(p)]  # also chunks without ids, which are rare

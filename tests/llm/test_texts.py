@@ -201,3 +201,15 @@ def test_word_cache_smaller_than_a_block(monkeypatch):
     for texts in (ordinary, [*ordinary, " ".join(f"id{i}x" for i in range(500))], ordinary):
         want = [np.array(t.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in texts]
         assert encoder.encode(texts) == want
+
+
+def test_control_characters_keep_their_tokens():
+    from tokenizers import Tokenizer
+
+    from quotemill.llm.tokens import WordEncoder
+
+    path = op8.tokenizer_path()
+    t = Tokenizer.from_file(path)
+    texts = [f"hello{c}world and {c} more{c}\n{c}end" for c in "\x1c\x1d\x1e\x1f\x85\xa0 　\x0b\x0c\x00"]
+    want = [np.array(t.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in texts]
+    assert WordEncoder(path).encode(texts) == want
