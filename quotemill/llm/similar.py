@@ -1,17 +1,17 @@
-"""Near-duplicates of a stated shingle similarity by meet-in-the-middle ball hashing.
-
-A Jaccard similarity of 0.8 leaves about 15 % of SimHash bits different, far outside
-any ball that can be listed on a whole fingerprint. So a fingerprint of six words is
-cut into twelve fields of 28 bits; two documents meet if on some field they are at
-most two bits apart (at a similarity of 0.8 in more than nine cases of ten, at 0.85 in
-98 of 100): every field emits all values one bit away, the values are shuffled, and
-who meets on a value is compared on the whole fingerprint. Pairs that it cannot tell
-for certain are verified on their exact sets of shingles. As for lines, a value's
-members are first compared with its least member, then only across components.
+"""Near-duplicates of a stated shingle similarity, found by shared shingles.
+
+Two sets of shingles of a Jaccard similarity of t share at least t of the larger one.
+So of any order of shingles, here that of their hashes, the first (1 - t) n + 1 of
+each text's n shingles have one in common: these are a text's keys, and no such pair
+is missed, whatever its size. Who meets on a key is compared on a fingerprint of six
+words, which rules out what is far apart; pairs that it cannot tell for certain are
+verified on their exact sets of shingles. As for lines, a key's members are first
+compared with its least member, then only across components.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +25,9 @@ from quotemill.llm.scratch import materialize
 from quotemill.llm.simhash import fingerprint_of
 from quotemill.llm.words import shingle_hashes
 
-WORDS, FIELD, SIDES = 6, 28, 2
-SURE, MAYBE = 34, 78  # of 384 bits: a similarity of 0.92 or more; of 0.67 or more
+WORDS = 6
+#: Of 384 bits. At a similarity of 0.8 they differ in 72 on average at most (computed for up to 60 shingles), with a deviation of 8: MAYBE is seven deviations away.
+SURE, MAYBE = 34, 130
 _SALT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD)
 
 
@@ -44,6 +45,12 @@ def signature_of(text: str | None, words: int) -> list[int]:
     return out.view(np.int64).tolist()
 
 
+def keys_of(text: str | None, words: int, similarity: float) -> np.ndarray:
+    """Signed hashes of the shingles of which a similar text has at least one among its own."""
+    h = np.unique(shingle_hashes(text, words, 42))
+    return h[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1].view(np.int64)
+
+
 def _differing() -> Column:
     return sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, WORDS)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
 
@@ -61,15 +68,13 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             table = np.array([signature_of(t, words) for t in df["text"]], dtype=np.int64).reshape(-1, WORDS)
-            yield pd.DataFrame({"doc_id": df["doc_id"], **{f"w{i}": table[:, i] for i in range(WORDS)}})
+            yield pd.DataFrame({"doc_id": df["doc_id"], **{f"w{i}": table[:, i] for i in range(WORDS)}, "keys": [keys_of(t, words, similarity) for t in df["text"]]})
 
     cols = [f"w{i}" for i in range(WORDS)]
-    marked = materialize(kept.mapInPandas(scan, "doc_id long, " + ", ".join(f"{c} long" for c in cols)), "signatures")
+    marked = materialize(kept.mapInPandas(scan, "doc_id long, " + ", ".join(f"{c} long" for c in cols) + ", keys array<long>"), "signatures")
     distinct = materialize(marked.groupBy(*cols).agg(F.min("doc_id").alias("nid")), "signatures-distinct")
-    limit = F.lit((1 << FIELD) - 1)
-    fields = F.array(*[F.shiftright(c, at * FIELD).bitwiseAND(limit).bitwiseOR(F.lit((SIDES * i + at) << FIELD)) for i, c in enumerate(cols) for at in range(SIDES)])
-    near = F.array(F.lit(0).cast("long"), *[F.lit(1 << b) for b in range(FIELD)])
-    spread = distinct.select("nid", F.explode(fields).alias("field")).select("nid", "field", F.explode(near).alias("flip")).select("nid", F.col("field").bitwiseXOR(F.col("flip")).alias("value"))
+    least = distinct.withColumnRenamed("nid", "doc_id")
+    spread = marked.join(least, ["doc_id", *cols], "left_semi").select(F.col("doc_id").alias("nid"), F.explode("keys").alias("value")).distinct()
     on = Window.partitionBy("value")
     met = spread.withColumn("least", F.min("nid").over(on)).withColumn("most", F.max("nid").over(on)).where("least < most").select("value", "nid", "least")
     met = materialize(met, "met")

@@ -213,3 +213,14 @@ def test_control_characters_keep_their_tokens():
     texts = [f"hello{c}world and {c} more{c}\n{c}end" for c in "\x1c\x1d\x1e\x1f\x85\xa0 　\x0b\x0c\x00"]
     want = [np.array(t.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in texts]
     assert WordEncoder(path).encode(texts) == want
+
+
+def test_similar_at_the_threshold_and_short(make_docs):
+    rng = np.random.default_rng(12)
+    texts = []
+    for shared in (4, 8, 40, 200):  # sets of shingles of which one is 4/5 of the other
+        for _ in range(40):
+            w = [f"w{i}" for i in rng.integers(0, 10**6, shared * 5 // 4 + 4)]
+            texts += [" ".join(w[: shared + 4]), " ".join(w)]
+    got = {r.doc_id: r.component_id for r in similar.similar_classes(make_docs(texts)).collect()}
+    assert got == {i: i - i % 2 for i in range(len(texts))}
