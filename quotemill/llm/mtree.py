@@ -96,8 +96,9 @@ def build_tree(ids: np.ndarray, x: np.ndarray, most: float, seed: int = 0) -> li
         for k in range(FAN):
             if (mine := rows[of == k]).size:
                 if mine.size == len(rows):
-                    half = rows[d < radius]
-                    stack += [(half, center, node, center), (rows[d == radius], pivots[-1], node, center)]
+                    if (half := rows[d < radius]).size:  # else all are at the radius, and the farthest is their centre
+                        stack.append((half, center, node, center))
+                    stack.append((rows[d == radius], pivots[-1], node, center))
                     break
                 stack.append((mine, pivots[k], node, center))
     return out

@@ -91,3 +91,12 @@ def test_frames_are_independent_zstandard():
         assert warc.read_frame(data, frame)[offset:].startswith(records[i])
     with pytest.raises(ValueError):
         warc.seek_table(b"0" * 20)
+
+
+def test_two_large_groups_of_copies_in_a_block():
+    x = np.concatenate([np.zeros((300, 4), dtype=np.int64), np.full((7892, 4), 3, dtype=np.int64)])
+    for seed in range(6):
+        pages = mtree.build_tree(np.arange(len(x)), x, 36.0, seed)
+        held = np.concatenate([p[7] for p in pages if p[2]])
+        assert sorted(held.tolist()) == list(range(len(x)))
+        assert all(len(p[7]) <= mtree.PAGE for p in pages if p[2])
