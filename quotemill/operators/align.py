@@ -1,15 +1,17 @@
 """As-of, nearest and tolerance joins over event time without cross products.
 
 Both sides are stacked and one window per key carries the matching row across, so a
-join costs one shuffle and one sort on the key whatever the number of matches. For a
-key too large for one task give ``bucket_ms``: it becomes (key, time bucket) and each
-bucket is seeded with the last row of the earlier ones, found from per-bucket
-summaries.
+join costs one shuffle and one sort on the key whatever the number of matches. Frames
+always end at the current row, which Spark keeps running: rows after it are reached
+by the reversed order. For a key too large for one task give ``bucket_ms``: it becomes
+(key, time bucket), and each bucket is seeded with the last right row of the earlier
+buckets and the first one of the later, found from one row per bucket. Without keys
+the buckets are all that rows are dealt by.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -20,7 +22,39 @@ def _stack(left: DataFrame, right: DataFrame, keys: list[str], time: str, seq: s
     return a.unionByName(b, allowMissingColumns=True)
 
 
-def _out(df: DataFrame, found: Column, left: DataFrame, values: list[str], prefix: str, time: str, tolerance: int | None, shift: int) -> DataFrame:
+def _by_bucket(stacked: DataFrame, keys: list[str], bucket_ms: int | None, back: bool, ahead: bool) -> tuple[DataFrame, list[str]]:
+    """The rows, with the seeds of their buckets, and what they are dealt by."""
+    if not bucket_ms:
+        return stacked, keys
+    stacked = stacked.withColumn("_b", F.floor(F.col("_t") / bucket_ms))
+    row = F.when(F.col("_side") == 0, F.struct("_t", "_seq", "_right"))
+    ends = stacked.groupBy(*keys, "_b").agg(F.max(row).alias("_hi"), F.min(row).alias("_lo"))
+    over = Window.partitionBy(*(keys or [F.lit(0)]))  # one row per bucket
+    out = stacked
+    for end, order, wanted in (("_hi", F.col("_b").asc(), back), ("_lo", F.col("_b").desc(), ahead)):
+        if wanted:
+            seed = F.last(end, ignorenulls=True).over(over.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+            seeds = ends.withColumn("_e", seed).where("_e is not null")
+            seeds = seeds.select(*keys, "_b", F.col("_e._t").alias("_t"), F.lit(0).alias("_side"), F.col("_e._seq").alias("_seq"), F.col("_e._right").alias("_right"))
+            out = out.unionByName(seeds, allowMissingColumns=True)
+    return out, [*keys, "_b"]
+
+
+def _running(by: list[str], *order: Column | str) -> WindowSpec:
+    return Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _previous(by: list[str]) -> Column:
+    """The last right row at or before this row."""
+    return F.last("_right", ignorenulls=True).over(_running(by, "_t", "_side", "_seq"))
+
+
+def _next(by: list[str]) -> Column:
+    """The first right row at or after this row."""
+    return F.last("_right", ignorenulls=True).over(_running(by, F.col("_t").desc(), "_side", F.col("_seq").desc()))
+
+
+def _out(df: DataFrame, found: Column, left: DataFrame, values: list[str], prefix: str, time: str, tolerance: int | None) -> DataFrame:
     df = df.withColumn("_m", found).where("_side = 1")
     if tolerance is not None:
         df = df.withColumn("_m", F.when(F.abs(F.col("_m._rt") - F.col("_t")) <= tolerance, F.col("_m")))
@@ -33,44 +67,27 @@ def asof_backward(left: DataFrame, right: DataFrame, *, keys: list[str], time: s
     Among right rows of one time the largest ``seq`` counts. Matches further than
     ``tolerance`` away are null. Rows are never lost or doubled.
     """
-    stacked = _stack(left, right, keys, time, seq, values, -lag)
-    by, order = keys, ["_t", "_side", "_seq"]
-    if bucket_ms:
-        stacked = stacked.withColumn("_b", F.floor(F.col("_t") / bucket_ms))
-        ends = stacked.where("_side = 0").groupBy(*keys, "_b").agg(F.max(F.struct("_t", "_seq", "_right")).alias("_e"))
-        grid = stacked.select(*keys, "_b").distinct().join(ends, [*keys, "_b"], "left")
-        before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-        seeds = grid.withColumn("_e", F.last("_e", ignorenulls=True).over(before)).where("_e is not null")
-        seeds = seeds.select(*keys, "_b", F.col("_e._t").alias("_t"), F.lit(0).alias("_side"), F.col("_e._seq").alias("_seq"), F.col("_e._right").alias("_right"))
-        stacked = stacked.unionByName(seeds, allowMissingColumns=True)
-        by = [*keys, "_b"]
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return _out(stacked, F.last("_right", ignorenulls=True).over(w), left, values, prefix, time, tolerance, -lag)
-
-
-def asof_forward(left: DataFrame, right: DataFrame, *, keys: list[str], time: str, seq: str, values: list[str], prefix: str = "r_", ahead: int = 0, tolerance: int | None = None, clip: bool = False) -> DataFrame:
+    rows, by = _by_bucket(_stack(left, right, keys, time, seq, values, -lag), keys, bucket_ms, back=True, ahead=False)
+    return _out(rows, _previous(by), left, values, prefix, time, tolerance)
+
+
+def asof_forward(left: DataFrame, right: DataFrame, *, keys: list[str], time: str, seq: str, values: list[str], prefix: str = "r_", ahead: int = 0, tolerance: int | None = None, clip: bool = False, bucket_ms: int | None = None) -> DataFrame:
     """Each left row with the first right row at or after its time plus ``ahead``.
 
     Among right rows of one time the smallest ``seq`` counts. ``clip``: after the end
     of the right side its last row counts.
     """
-    stacked = _stack(left, right, keys, time, seq, values, ahead)
-    w = Window.partitionBy(*keys).orderBy("_t", F.col("_side").desc(), "_seq").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    found = F.first("_right", ignorenulls=True).over(w)
-    if clip:
-        back = Window.partitionBy(*keys).orderBy("_t", F.col("_side").desc(), "_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        found = F.coalesce(found, F.last("_right", ignorenulls=True).over(back))
-    return _out(stacked, found, left, values, prefix, time, tolerance, ahead)
+    rows, by = _by_bucket(_stack(left, right, keys, time, seq, values, ahead), keys, bucket_ms, back=clip, ahead=True)
+    found = F.coalesce(_next(by), _previous(by)) if clip else _next(by)
+    return _out(rows, found, left, values, prefix, time, tolerance)
 
 
-def nearest(left: DataFrame, right: DataFrame, *, keys: list[str], time: str, seq: str, values: list[str], prefix: str = "r_", tolerance: int | None = None) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, *, keys: list[str], time: str, seq: str, values: list[str], prefix: str = "r_", tolerance: int | None = None, bucket_ms: int | None = None) -> DataFrame:
     """Each left row with the right row nearest in time; ties go to the earlier one."""
-    stacked = _stack(left, right, keys, time, seq, values, 0)
-    back = Window.partitionBy(*keys).orderBy("_t", "_side", "_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = Window.partitionBy(*keys).orderBy("_t", F.col("_side").desc(), "_seq").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    both = stacked.withColumn("_p", F.last("_right", ignorenulls=True).over(back)).withColumn("_n", F.first("_right", ignorenulls=True).over(ahead))
+    rows, by = _by_bucket(_stack(left, right, keys, time, seq, values, 0), keys, bucket_ms, back=True, ahead=True)
+    both = rows.withColumn("_p", _previous(by)).withColumn("_n", _next(by))
     pick = F.when(F.col("_n").isNull(), F.col("_p")).when(F.col("_p").isNull(), F.col("_n")).when(F.col("_t") - F.col("_p._rt") <= F.col("_n._rt") - F.col("_t"), F.col("_p")).otherwise(F.col("_n"))
-    return _out(both, pick, left, values, prefix, time, tolerance, 0)
+    return _out(both, pick, left, values, prefix, time, tolerance)
 
 
 def asof_many(left: DataFrame, right: DataFrame, *, time: str, seq: str, who: str, others: list[str], value: str, bucket_ms: int) -> DataFrame:

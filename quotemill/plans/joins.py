@@ -16,7 +16,7 @@ add = book.add
 
 def _sides(s, d):
     t = domain.tape(s, d).select("seq", "ts_ms", "exchange", "price")
-    return t.where("exchange = 'purchase'").withColumn("k", F.lit(1)), t.where("exchange = 'click'").withColumn("k", F.lit(1))
+    return t.where("exchange = 'purchase'"), t.where("exchange = 'click'")
 
 
 SIDES = TAPE + ", l AS (SELECT * FROM tape WHERE exchange = 'purchase'), r AS (SELECT * FROM tape WHERE exchange = 'click')"
@@ -26,13 +26,13 @@ PICK = "l.seq, r.ts_ms AS r_ts_ms, r.price AS r_price"
 @add("jn1_asof_backward", f"WITH {SIDES} SELECT {PICK} FROM l ASOF LEFT JOIN r ON l.ts_ms >= r.ts_ms")
 def _(s, d):
     l, r = _sides(s, d)
-    return align.asof_backward(l, r, keys=["k"], time="ts_ms", seq="seq", values=["price"]).select("seq", "r_ts_ms", "r_price")
+    return align.asof_backward(l, r, keys=[], time="ts_ms", seq="seq", values=["price"], bucket_ms=DAY).select("seq", "r_ts_ms", "r_price")
 
 
 @add("jn1_asof_backward_bucketed", f"WITH {SIDES} SELECT {PICK} FROM l ASOF LEFT JOIN r ON l.ts_ms >= r.ts_ms")
 def _(s, d):
     l, r = _sides(s, d)
-    return align.asof_backward(l, r, keys=["k"], time="ts_ms", seq="seq", values=["price"], bucket_ms=DAY).select("seq", "r_ts_ms", "r_price")
+    return align.asof_backward(l, r, keys=[], time="ts_ms", seq="seq", values=["price"], bucket_ms=6 * HOUR).select("seq", "r_ts_ms", "r_price")
 
 
 FORWARD = f"WITH {TAPE}, l AS (SELECT *, ts_ms + {HOUR} AS goal FROM tape) SELECT l.seq, r.ts_ms AS r_ts_ms, r.price AS r_price FROM l ASOF LEFT JOIN tape r ON l.exchange = r.exchange AND l.goal <= r.ts_ms"
@@ -41,39 +41,39 @@ FORWARD = f"WITH {TAPE}, l AS (SELECT *, ts_ms + {HOUR} AS goal FROM tape) SELEC
 @add("jn2_asof_forward", FORWARD)
 def _(s, d):
     t = domain.tape(s, d)
-    return align.asof_forward(t, t, keys=["exchange"], time="ts_ms", seq="seq", values=["price"], ahead=HOUR).select("seq", "r_ts_ms", "r_price")
+    return align.asof_forward(t, t, keys=["exchange"], time="ts_ms", seq="seq", values=["price"], ahead=HOUR, bucket_ms=DAY).select("seq", "r_ts_ms", "r_price")
 
 
 @add("jn3_asof_tolerance", f"WITH {SIDES} SELECT l.seq, CASE WHEN l.ts_ms - r.ts_ms <= {HOUR} THEN r.price END AS r_price FROM l ASOF LEFT JOIN r ON l.ts_ms >= r.ts_ms")
 def _(s, d):
     l, r = _sides(s, d)
-    return align.asof_backward(l, r, keys=["k"], time="ts_ms", seq="seq", values=["price"], tolerance=HOUR).select("seq", "r_price")
+    return align.asof_backward(l, r, keys=[], time="ts_ms", seq="seq", values=["price"], tolerance=HOUR, bucket_ms=DAY).select("seq", "r_price")
 
 
 @add("jn4_asof_lagged", f"WITH {TAPE}, l AS (SELECT *, ts_ms - {HOUR} AS goal FROM tape) SELECT l.seq, CASE WHEN l.ts_ms - r.ts_ms <= {2 * HOUR} THEN r.price END AS r_price FROM l ASOF LEFT JOIN tape r ON l.exchange = r.exchange AND l.goal >= r.ts_ms")
 def _(s, d):
     t = domain.tape(s, d)
-    df = align.asof_backward(t, t, keys=["exchange"], time="ts_ms", seq="seq", values=["price"], lag=HOUR)
+    df = align.asof_backward(t, t, keys=["exchange"], time="ts_ms", seq="seq", values=["price"], lag=HOUR, bucket_ms=DAY)
     return df.select("seq", F.when(F.col("ts_ms") - F.col("r_ts_ms") <= 2 * HOUR, F.col("r_price")).alias("r_price"))
 
 
 @add("jn5_asof_forward_where_target", f"WITH {TAPE}, g AS (SELECT * FROM tape WHERE size >= 50), l AS (SELECT *, ts_ms + {HOUR} AS goal FROM tape) SELECT l.seq, r.price AS r_price FROM l ASOF LEFT JOIN g r ON l.exchange = r.exchange AND l.goal <= r.ts_ms")
 def _(s, d):
     t = domain.tape(s, d)
-    return align.asof_forward(t, t.where("size >= 50"), keys=["exchange"], time="ts_ms", seq="seq", values=["price"], ahead=HOUR).select("seq", "r_price")
+    return align.asof_forward(t, t.where("size >= 50"), keys=["exchange"], time="ts_ms", seq="seq", values=["price"], ahead=HOUR, bucket_ms=DAY).select("seq", "r_price")
 
 
 @add("jn6_asof_first_duplicate", f"WITH {SIDES}, u AS (SELECT ts_ms // {HOUR} * {HOUR} AS h, arg_min(price, seq) AS price FROM r GROUP BY 1) SELECT l.seq, CASE WHEN l.ts_ms - u.h <= {2 * HOUR} THEN u.price END AS r_price FROM l ASOF LEFT JOIN u ON l.ts_ms >= u.h")
 def _(s, d):
     l, r = _sides(s, d)
-    first = r.groupBy("k", (F.floor(F.col("ts_ms") / HOUR) * HOUR).cast("long").alias("ts_ms")).agg(F.min_by("price", "seq").alias("price"), F.min("seq").alias("seq"))
-    return align.asof_backward(l, first, keys=["k"], time="ts_ms", seq="seq", values=["price"], tolerance=2 * HOUR).select("seq", "r_price")
+    first = r.groupBy((F.floor(F.col("ts_ms") / HOUR) * HOUR).cast("long").alias("ts_ms")).agg(F.min_by("price", "seq").alias("price"), F.min("seq").alias("seq"))
+    return align.asof_backward(l, first, keys=[], time="ts_ms", seq="seq", values=["price"], tolerance=2 * HOUR, bucket_ms=DAY).select("seq", "r_price")
 
 
 @add("jn7_asof_default_zero", f"WITH {SIDES} SELECT l.seq, coalesce(r.price, 0.0) AS r_price FROM l ASOF LEFT JOIN r ON l.ts_ms >= r.ts_ms")
 def _(s, d):
     l, r = _sides(s, d)
-    return align.asof_backward(l, r, keys=["k"], time="ts_ms", seq="seq", values=["price"]).select("seq", F.coalesce("r_price", F.lit(0.0)).alias("r_price"))
+    return align.asof_backward(l, r, keys=[], time="ts_ms", seq="seq", values=["price"], bucket_ms=DAY).select("seq", F.coalesce("r_price", F.lit(0.0)).alias("r_price"))
 
 
 NEAR = f"WITH {SIDES}, p AS (SELECT l.seq, l.ts_ms, r.ts_ms AS pt, r.price AS pp FROM l ASOF LEFT JOIN r ON l.ts_ms >= r.ts_ms), n AS (SELECT l.seq, r.ts_ms AS nt, r.price AS np FROM l ASOF LEFT JOIN r ON l.ts_ms <= r.ts_ms), b AS (SELECT seq, CASE WHEN nt IS NULL OR ts_ms - pt <= nt - ts_ms THEN pp ELSE np END AS price, CASE WHEN nt IS NULL OR ts_ms - pt <= nt - ts_ms THEN ts_ms - pt ELSE nt - ts_ms END AS gap FROM p JOIN n USING (seq))"
@@ -82,25 +82,25 @@ NEAR = f"WITH {SIDES}, p AS (SELECT l.seq, l.ts_ms, r.ts_ms AS pt, r.price AS pp
 @add("jn8_nearest_tolerance", f"{NEAR} SELECT seq, CASE WHEN gap <= {HOUR} THEN price END AS r_price FROM b")
 def _(s, d):
     l, r = _sides(s, d)
-    return align.nearest(l, r, keys=["k"], time="ts_ms", seq="seq", values=["price"], tolerance=HOUR).select("seq", "r_price")
+    return align.nearest(l, r, keys=[], time="ts_ms", seq="seq", values=["price"], tolerance=HOUR, bucket_ms=DAY).select("seq", "r_price")
 
 
 @add("jn9_nearest", f"{NEAR} SELECT seq, price AS r_price FROM b")
 def _(s, d):
     l, r = _sides(s, d)
-    return align.nearest(l, r, keys=["k"], time="ts_ms", seq="seq", values=["price"]).select("seq", "r_price")
+    return align.nearest(l, r, keys=[], time="ts_ms", seq="seq", values=["price"], bucket_ms=DAY).select("seq", "r_price")
 
 
 @add("jn10_forward_clipped", f"WITH {SIDES}, z AS (SELECT arg_max(price, ts_ms) AS price FROM r) SELECT l.seq, coalesce(r.price, z.price) AS r_price FROM l ASOF LEFT JOIN r ON l.ts_ms <= r.ts_ms CROSS JOIN z")
 def _(s, d):
     l, r = _sides(s, d)
-    return align.asof_forward(l, r, keys=["k"], time="ts_ms", seq="seq", values=["price"], clip=True).select("seq", "r_price")
+    return align.asof_forward(l, r, keys=[], time="ts_ms", seq="seq", values=["price"], clip=True, bucket_ms=DAY).select("seq", "r_price")
 
 
 @add("jn11_nearest_at_end", f"{NEAR} SELECT max(seq) AS seq, arg_max(price, seq) AS r_price FROM b")
 def _(s, d):
     l, r = _sides(s, d)
-    near = align.nearest(l, r, keys=["k"], time="ts_ms", seq="seq", values=["price"])
+    near = align.nearest(l, r, keys=[], time="ts_ms", seq="seq", values=["price"], bucket_ms=DAY)
     return near.agg(F.max("seq").alias("seq"), F.max_by("r_price", "seq").alias("r_price"))
 
 
@@ -161,13 +161,13 @@ def _(s, d):
 @add("jn19_exit_tick", f"WITH {SIDES}, g AS (SELECT *, ts_ms + {6 * HOUR} AS goal FROM l) SELECT g.seq, r.seq AS exit_seq FROM g ASOF JOIN l r ON g.goal <= r.ts_ms")
 def _(s, d):
     l, _ = _sides(s, d)
-    df = align.asof_forward(l, l.withColumn("exit_seq", F.col("seq")), keys=["k"], time="ts_ms", seq="seq", values=["exit_seq"], ahead=6 * HOUR, prefix="r_")
+    df = align.asof_forward(l, l.withColumn("exit_seq", F.col("seq")), keys=[], time="ts_ms", seq="seq", values=["exit_seq"], ahead=6 * HOUR, prefix="r_", bucket_ms=DAY)
     return df.where("r_exit_seq is not null").select("seq", F.col("r_exit_seq").alias("exit_seq"))
 
 
 @add("jn20_feature_target_pairs", f"WITH {TAPE}, l AS (SELECT *, ts_ms + {HOUR} AS goal FROM tape), j AS (SELECT l.exchange, l.seq, l.size, r.price - l.price AS drift FROM l ASOF JOIN tape r ON l.exchange = r.exchange AND l.goal <= r.ts_ms WHERE r.ts_ms - l.goal <= {2 * HOUR}) SELECT seq, size, round(drift, 6) AS drift FROM j QUALIFY count(*) OVER (PARTITION BY exchange) >= 50")
 def _(s, d):
     t = domain.tape(s, d)
-    df = align.asof_forward(t, t, keys=["exchange"], time="ts_ms", seq="seq", values=["price"], ahead=HOUR, tolerance=2 * HOUR).where("r_price is not null")
+    df = align.asof_forward(t, t, keys=["exchange"], time="ts_ms", seq="seq", values=["price"], ahead=HOUR, tolerance=2 * HOUR, bucket_ms=DAY).where("r_price is not null")
     counts = df.groupBy("exchange").agg(F.count("*").alias("n")).where("n >= 50")
     return df.join(counts, "exchange").select("seq", "size", F.round(F.col("r_price") - F.col("price"), 6).alias("drift"))

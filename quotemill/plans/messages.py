@@ -117,7 +117,7 @@ def _(s, d):
 def _(s, d):
     m = domain.measures(s, d)
     grid = m.select("exchange", (F.floor(F.col("ts_ms") / DAY) * DAY + DAY).cast("long").alias("ts_ms")).distinct().withColumn("seq", F.lit(0).cast("long"))
-    df = align.asof_backward(grid, m, keys=["exchange"], time="ts_ms", seq="seq", values=["mid"])
+    df = align.asof_backward(grid, m, keys=["exchange"], time="ts_ms", seq="seq", values=["mid"], bucket_ms=DAY)
     return df.where("r_ts_ms is not null").select("exchange", F.col("ts_ms").alias("now"), F.round("r_mid", 8).alias("mid"), (F.col("ts_ms") - F.col("r_ts_ms")).alias("age_ms"))
 
 
@@ -211,8 +211,8 @@ def _(s, d):
     fills = simulators.maker(simulators.with_grid(models._maker_rows(s, d), [{"half_spread": 1.0, "skew": 0.05}]), ["exchange"], ["half_spread", "skew"])
     m = domain.measures(s, d)
     vol = w.return_volatility(m, "mid", ["exchange"], "ts_ms", "seq", 6 * HOUR, "vol")
-    f = align.asof_forward(fills, m, keys=["exchange"], time="ts_ms", seq="seq", values=["mid"], ahead=HOUR)
-    f = align.asof_backward(f, vol, keys=["exchange"], time="ts_ms", seq="seq", values=["vol"], prefix="v_").where("r_mid is not null and v_vol is not null")
+    f = align.asof_forward(fills, m, keys=["exchange"], time="ts_ms", seq="seq", values=["mid"], ahead=HOUR, bucket_ms=DAY)
+    f = align.asof_backward(f, vol, keys=["exchange"], time="ts_ms", seq="seq", values=["vol"], prefix="v_", bucket_ms=DAY).where("r_mid is not null and v_vol is not null")
     cuts = f.groupBy("exchange").agg(*[F.percentile("v_vol", p).alias(n) for n, p in (("a", 0.25), ("b", 0.5), ("c", 0.75))])
     move = F.col("r_mid") - F.col("price")
     pnl = F.when(F.col("side") == "buy", move).otherwise(-move)

@@ -24,7 +24,7 @@ FEAT = MEASURES + f", feats AS (SELECT m.seq, m.exchange, m.ts_ms, m.micro - m.m
 
 def _features(s, d):
     m = domain.measures(s, d)
-    f = align.asof_forward(m, m, keys=["exchange"], time="ts_ms", seq="seq", values=["mid"], ahead=HOUR, prefix="next_")
+    f = align.asof_forward(m, m, keys=["exchange"], time="ts_ms", seq="seq", values=["mid"], ahead=HOUR, prefix="next_", bucket_ms=DAY)
     return f.select("seq", "exchange", "ts_ms", (F.col("micro") - F.col("mid")).alias("lean"), "imb", "size", "mid", "next_mid", F.col("next_ts_ms").alias("next_ts"))
 
 
@@ -72,7 +72,7 @@ def _(s, d):
     t = domain.tape(s, d)
     out = t
     for k in (1, 3):
-        out = align.asof_backward(out, t, keys=["exchange"], time="ts_ms", seq="seq", values=["size"], lag=k * HOUR, prefix=f"p{k}_")
+        out = align.asof_backward(out, t, keys=["exchange"], time="ts_ms", seq="seq", values=["size"], lag=k * HOUR, prefix=f"p{k}_", bucket_ms=DAY)
         out = out.where(F.col("ts_ms") - F.col(f"p{k}_ts_ms") <= 2 * k * HOUR)
     return out.select("seq", *[(F.col("size") - F.col(f"p{k}_size")).alias(f"d{k}") for k in (1, 3)])
 
@@ -241,7 +241,7 @@ def _(s, d):
 def _(s, d):
     fills = simulators.maker(simulators.with_grid(_maker_rows(s, d), [{"half_spread": 1.0, "skew": 0.0}]), ["exchange"], ["half_spread", "skew"])
     t = domain.measures(s, d)
-    ahead = align.asof_forward(fills, t, keys=["exchange"], time="ts_ms", seq="seq", values=["mid"], ahead=HOUR)
+    ahead = align.asof_forward(fills, t, keys=["exchange"], time="ts_ms", seq="seq", values=["mid"], ahead=HOUR, bucket_ms=DAY)
     move = F.col("r_mid") - F.col("price")
     return ahead.where("r_mid is not null").groupBy("exchange", "side").agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("side") == "buy", move).otherwise(-move)), 6).alias("edge"))
 
@@ -290,8 +290,8 @@ def _(s, d):
 
 @add("sim11_pairwise_arb", f"WITH {TAPE}, l AS (SELECT * FROM tape WHERE exchange = 'purchase'), r AS (SELECT * FROM tape WHERE exchange = 'click'), p AS (SELECT l.seq, l.price, r.price AS rp, l.ts_ms - r.ts_ms AS g1 FROM l ASOF LEFT JOIN r ON l.ts_ms >= r.ts_ms), n AS (SELECT l.seq, r.price AS np, r.ts_ms - l.ts_ms AS g2 FROM l ASOF LEFT JOIN r ON l.ts_ms <= r.ts_ms), e AS (SELECT p.price - CASE WHEN g2 IS NULL OR g1 <= g2 THEN rp ELSE np END AS edge FROM p JOIN n USING (seq) WHERE least(coalesce(g1, 1e18), coalesce(g2, 1e18)) <= {HOUR}) SELECT count(*) AS n, round(median(edge), 6) AS median, round(avg((edge > 0)::INT), 6) AS positive FROM e")
 def _(s, d):
-    t = domain.tape(s, d).withColumn("k", F.lit(1))
-    near = align.nearest(t.where("exchange = 'purchase'"), t.where("exchange = 'click'"), keys=["k"], time="ts_ms", seq="seq", values=["price"], tolerance=HOUR)
+    t = domain.tape(s, d)
+    near = align.nearest(t.where("exchange = 'purchase'"), t.where("exchange = 'click'"), keys=[], time="ts_ms", seq="seq", values=["price"], tolerance=HOUR, bucket_ms=DAY)
     edge = F.col("price") - F.col("r_price")
     return near.where("r_price is not null").agg(F.count("*").alias("n"), F.round(F.median(edge), 6).alias("median"), F.round(stats.share(edge > 0), 6).alias("positive"))
 

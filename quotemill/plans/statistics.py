@@ -250,7 +250,7 @@ def _(s, d):
 @add("wn6_lagged_difference", f"WITH {TAPE}, l AS (SELECT *, ts_ms - {HOUR} AS goal FROM tape) SELECT l.seq, round(l.size - r.size, 6) AS change FROM l ASOF JOIN tape r ON l.exchange = r.exchange AND l.goal >= r.ts_ms WHERE l.ts_ms - r.ts_ms <= {2 * HOUR}")
 def _(s, d):
     t = domain.tape(s, d)
-    df = align.asof_backward(t, t, keys=["exchange"], time="ts_ms", seq="seq", values=["size"], lag=HOUR)
+    df = align.asof_backward(t, t, keys=["exchange"], time="ts_ms", seq="seq", values=["size"], lag=HOUR, bucket_ms=DAY)
     return df.where(F.col("ts_ms") - F.col("r_ts_ms") <= 2 * HOUR).select("seq", F.round(F.col("size") - F.col("r_size"), 6).alias("change"))
 
 
