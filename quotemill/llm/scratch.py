@@ -9,12 +9,15 @@ master is local, as in tests.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
 _OWN = "/tmp/checkpoints/quotemill"
-_written: list[str] = []
+_scopes: list[list[str]] = []
+_finished: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,7 +39,8 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 def new_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _written.append(path)
+    if _scopes:
+        _scopes[-1].append(path)
     return path
 
 
@@ -45,7 +49,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = prepare(df.sparkSession)
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
 
 
 def drop(spark: SparkSession, path: str) -> None:
@@ -54,7 +60,24 @@ def drop(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every table this process has written; call once results are stored."""
-    while _written:
-        drop(spark, _written.pop())
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing will read again."""
+    for df in tables:
+        if path := getattr(df, "_scratch_path", None):
+            drop(df.sparkSession, path)
+
+
+@contextmanager
+def scope(name: str) -> Iterator[None]:
+    """Tables written inside belong to ``name`` and go with ``release(name)``."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        _finished.setdefault(name, []).extend(_scopes.pop())
+
+
+def release(spark: SparkSession, name: str) -> None:
+    """Delete the tables of finished scopes of that name; call once their results are stored."""
+    for path in _finished.pop(name, []):
+        drop(spark, path)

@@ -1,132 +1,177 @@
-"""Near-duplicates of a stated shingle similarity, found by shared shingles.
-
-Two sets of shingles of a Jaccard similarity of t share at least t of the larger one.
-So of any order of shingles, here that of their hashes, the first (1 - t) n + 1 of
-each text's n shingles have one in common: these are a text's keys, and no such pair
-is missed, whatever its size. Who meets on a key is compared on a fingerprint of six
-words, which rules out what is far apart; pairs that it cannot tell for certain are
-verified on their exact sets of shingles. As for lines, a key's members are first
-compared with its least member, then only across components.
+"""Near-duplicates of a stated shingle similarity.
+
+SimHash balls, as in :mod:`simhash`, cannot be had at a similarity of 0.8: two texts
+with 0.8 of their shingles in common differ in some 10 to 16 of 64 bits, and all
+variants within half of that number in millions for each text. So texts meet on
+``BANDS`` keys of ``ROWS`` minima of salted shingle hashes, which two texts of
+similarity s share with a probability of 1 - (1 - s^ROWS)^BANDS: 0.9999 at 0.8, and
+1 in 30 at 0.3, as of texts that have a passage in common. A sketch of 128 bits, one
+from each of as many minima, rules out what is far apart, and exact sets of shingles
+decide. Equal sets are one node from the start.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotemill.llm.components import connected_components
 from quotemill.llm.idfilter import may_contain
-from quotemill.llm.scratch import materialize
-from quotemill.llm.simhash import fingerprint_of
-from quotemill.llm.words import shingle_hashes
-
-WORDS = 6
-#: Of 384 bits. At a similarity of 0.8 they differ in 72 on average at most (computed for up to 60 shingles), with a deviation of 8: MAYBE is seven deviations away.
-SURE, MAYBE = 34, 130
-_SALT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD)
+from quotemill.llm.meeting import components_of, meetings
+from quotemill.llm.scratch import discard, materialize
+
+ROWS, BANDS = 6, 32
+MINIMA = ROWS * BANDS
+#: Of 128 sketch bits. At a similarity of 0.8 a tenth differs, 13 with a deviation of 3.4; FAR is over four deviations away.
+FAR = 28
+#: Texts of up to MANY shingles take the minima of salted hashes, those of over FEW the minima of parts of one hash; between them both, so that all similar texts share a kind.
+FEW, MANY = 1000, 1250
+#: Rows that share a partner are dealt over so many tasks.
+SALT = 16
+_U = np.uint64
+_ODD = np.random.default_rng(1).integers(0, 2**63, MINIMA, dtype=np.uint64) * _U(2) + _U(1)
+_BLOCK = 1 << 12
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    u = np.uint64
-    x = (x ^ (x >> u(30))) * u(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> u(27))) * u(0x94D049BB133111EB)
-    return x ^ (x >> u(31))
-
-
-def signature_of(text: str | None, words: int) -> list[int]:
-    """Six signed 64-bit SimHash words over the distinct shingles of a text."""
-    h = np.unique(shingle_hashes(text, words, 42))
-    out = np.array([fingerprint_of(_mix(h ^ np.uint64(s))) for s in _SALT], dtype=np.uint64)
-    return out.view(np.int64).tolist()
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
 
 
-def keys_of(text: str | None, words: int, similarity: float) -> np.ndarray:
-    """Signed hashes of the shingles of which a similar text has at least one among its own."""
-    h = np.unique(shingle_hashes(text, words, 42))
-    return h[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1].view(np.int64)
+def shingle_set(text: str | None, n: int) -> np.ndarray:
+    """Sorted distinct 64-bit names of the n-word shingles of a text, A-Z lower-cased.
 
-
-def _differing() -> Column:
-    return sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, WORDS)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
+    A name is mixed from the hashes of the shingle's words in their order. Fewer than
+    n words: one shingle of all; none: an empty set.
+    """
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, dtype=_U)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=_U, count=len(words))
+    n = min(n, len(words))
+    out = np.zeros(len(words) - n + 1, dtype=_U)
+    for i in range(n):
+        out = (out ^ h[i : len(h) - n + 1 + i]) * _U(0x9E3779B97F4A7C15)
+        out ^= out >> _U(32)
+    return np.unique(_mix(out))
+
+
+def _salted(names: np.ndarray) -> np.ndarray:
+    out = np.full(MINIMA, 2**64 - 1, dtype=_U)
+    for at in range(0, len(names), _BLOCK // 16):
+        product = names[at : at + _BLOCK // 16, None] * _ODD[None, :]
+        np.minimum(out, product.min(axis=0), out=out)
+    return out
+
+
+def _parted(names: np.ndarray) -> np.ndarray:
+    """The least name of each of ``MINIMA`` parts; an empty part takes over the next one's."""
+    part = (names % _U(MINIMA)).astype(np.int64)
+    out = np.zeros(MINIMA, dtype=_U)
+    full = np.zeros(MINIMA, dtype=bool)
+    out[part[::-1]] = names[::-1]  # of repeated places the last value stays: the least name
+    full[part] = True
+    at = np.flatnonzero(full)
+    taken = at[np.searchsorted(at, np.arange(MINIMA)) % len(at)]
+    return out[taken] + _U(0x9E3779B97F4A7C15) * ((np.arange(MINIMA) - taken) % MINIMA).astype(_U)
+
+
+def _keys(minima: np.ndarray, kind: int) -> np.ndarray:
+    banded = minima.reshape(BANDS, ROWS)
+    key = np.arange(BANDS, dtype=_U) + _U(kind * BANDS)
+    for i in range(ROWS):
+        key = _mix(key * _U(0x9E3779B97F4A7C15) + banded[:, i])
+    return key
+
+
+def marks_of(names: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Signed meeting keys of a set of shingles, and its sketch of 128 bits of each kind of minima (empty where it takes none)."""
+    keys, sketch = [], []
+    for kind, (wanted, minima) in enumerate(((len(names) <= MANY, _salted), (len(names) > FEW, _parted))):
+        if wanted and len(names):
+            found = minima(names)
+            keys.append(_keys(found, kind))
+            bits = (_mix(found[:128]) & _U(1)).astype(np.uint8)
+            sketch.append(np.packbits(bits).tobytes())
+        else:
+            sketch.append(b"")
+    return np.concatenate(keys).view(np.int64).tolist() if keys else [], sketch
+
+
+def _near(a: str, b: str) -> Column:
+    """Whether the sketches of a kind that both have are not far apart."""
+    bits = lambda w: F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}")))
+    return F.coalesce(bits("w0") + bits("w1") <= FAR, F.lit(False)) | F.coalesce(bits("w2") + bits("w3") <= FAR, F.lit(False))
 
 
 def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id and component_id, the least id of its group, of every document.
+    """doc_id, row, component_id (the least id of its group) and keep, of every document.
 
     Documents whose sets of ``words``-word shingles have at least the similarity are
     linked. Texts of fewer words are one shingle; null and empty texts have none and
-    are alike. Null ids are left out; rows with one id count as one document. An empty
-    table gives an empty result; other columns are ignored.
+    are alike. ``row`` is a hash of the text: rows that share an id and differ in text
+    are documents of their own, rows that share both are one, and ``keep`` is true for
+    the first of a group by (doc_id, row). Null ids are left out. An empty table gives
+    an empty result; other columns are ignored.
     """
-    kept = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sketches = [f"w{i}" for i in range(4)]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            table = np.array([signature_of(t, words) for t in df["text"]], dtype=np.int64).reshape(-1, WORDS)
-            yield pd.DataFrame({"doc_id": df["doc_id"], **{f"w{i}": table[:, i] for i in range(WORDS)}, "keys": [keys_of(t, words, similarity) for t in df["text"]]})
-
-    cols = [f"w{i}" for i in range(WORDS)]
-    marked = materialize(kept.mapInPandas(scan, "doc_id long, " + ", ".join(f"{c} long" for c in cols) + ", keys array<long>"), "signatures")
-    distinct = materialize(marked.groupBy(*cols).agg(F.min("doc_id").alias("nid")), "signatures-distinct")
-    least = distinct.withColumnRenamed("nid", "doc_id")
-    spread = marked.join(least, ["doc_id", *cols], "left_semi").select(F.col("doc_id").alias("nid"), F.explode("keys").alias("value")).distinct()
-    on = Window.partitionBy("value")
-    met = spread.withColumn("least", F.min("nid").over(on)).withColumn("most", F.max("nid").over(on)).where("least < most").select("value", "nid", "least")
-    met = materialize(met, "met")
-    left = distinct.select(F.col("nid").alias("a"), *[F.col(c).alias(f"a{i}") for i, c in enumerate(cols)])
-    right = distinct.select(F.col("nid").alias("b"), *[F.col(c).alias(f"b{i}") for i, c in enumerate(cols)])
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        found = pairs.join(left, "a").join(right, "b").select("a", "b", _differing().alias("bits")).where(F.col("bits") <= MAYBE)
-        return materialize(found, "compared")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Of the uncertain pairs those whose shingles are similar enough."""
-        ids = materialize(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct(), "uncertain")
-
-        def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for df in batches:
-                yield df[["doc_id"]].assign(s=[np.unique(shingle_hashes(t, words, 42).astype(np.uint32)).tobytes() for t in df["text"]])
-
-        some = kept.where(may_contain(ids, "doc_id")(F.col("doc_id"))).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        some = materialize(some.mapInPandas(sets, "doc_id long, s binary"), "shingles")
-        both = pairs.join(some.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a").join(some.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b")
-
-        def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for df in batches:
-                good = []
-                for x, y in zip(df["x"], df["y"]):
-                    x, y = np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)
-                    both = np.intersect1d(x, y, assume_unique=True).size
-                    good.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-                yield df.loc[good, ["a", "b"]]
-
-        return both.select("a", "b", "x", "y").mapInPandas(check, "a long, b long")
-
-    def links(pairs: DataFrame, sure: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """All links among compared pairs and before, and their components."""
-        sure = materialize(sure.unionAll(pairs.where(F.col("bits") <= SURE).select("a", "b")), "sure")
-        classes = connected_components(sure)
-        of = lambda side: classes.select(F.col("node").alias(side), F.col("component").alias(f"{side}c"))
-        open_ = pairs.where(F.col("bits") > SURE).join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ac", "a") != F.coalesce("bc", "b"))
-        found = materialize(sure.unionAll(verified(open_.select("a", "b"))), "links")
-        return found, connected_components(found)
-
-    none = marked.sparkSession.createDataFrame([], "a long, b long")
-    found, classes = links(compared(met.where("nid <> least").select(F.col("nid").alias("a"), F.col("least").alias("b")).distinct()), none)
-    own = classes.select(F.col("node").alias("nid"), "component")
-    head = classes.select(F.col("node").alias("least"), F.col("component").alias("head"))
-    placed = met.join(own, "nid", "left").join(head, "least", "left").select("value", "nid", "least", F.coalesce("component", "nid").alias("c"), F.coalesce("head", "least").alias("hc"))
-    placed = materialize(placed, "placed")
-    apart = placed.where("c <> hc").select("value", F.col("nid").alias("other"), F.col("c").alias("oc"))
-    rest = placed.where("nid <> least").join(apart, "value").where("c <> oc").select(F.greatest("nid", "other").alias("a"), F.least("nid", "other").alias("b")).distinct()
-    rest = compared(rest)
-    if not rest.isEmpty():
-        found, classes = links(rest, found)
-    named = distinct.join(classes, F.col("nid") == F.col("node"), "left").select(*cols, F.coalesce("component", "nid").alias("component_id"))
-    return marked.join(named, cols).select("doc_id", "component_id")
+            rows = []
+            for text in df["text"]:
+                names = shingle_set(text, words)
+                digest = np.frombuffer(xxhash.xxh3_128_digest(names.tobytes()), dtype=np.int64)
+                keys, sketch = marks_of(names)
+                rows.append((*digest.tolist(), len(names), *[x for s in sketch for x in (np.frombuffer(s, dtype=np.int64).tolist() or (None, None))], keys))
+            found = pd.DataFrame(rows, columns=["s1", "s2", "n", *sketches, "keys"]).astype({w: "Int64" for w in sketches})
+            yield pd.concat([df[["doc_id", "row"]].reset_index(drop=True), found], axis=1)
+
+    schema = "doc_id long, row long, s1 long, s2 long, n int, " + ", ".join(f"{w} long" for w in sketches) + ", keys array<long>"
+    marked = materialize(known.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInPandas(scan, schema), "near-marked")
+    # equal sets are one node
+    own = [F.min(F.struct("doc_id", "row")).alias("first"), F.first("n").alias("n"), F.first(F.struct(*sketches)).alias("sig"), F.first("keys").alias("keys")]
+    nodes = materialize(marked.groupBy("s1", "s2").agg(*own).withColumn("node", F.col("s1")), "near-nodes")
+    met = meetings(nodes.select(F.explode("keys").alias("key"), "node"), "near-met")
+    wanted = materialize(nodes.join(met.select("node").distinct(), "node", "left_semi").select("first.doc_id").distinct(), "near-wanted")
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            raw = [shingle_set(t, words).tobytes() for t in df["text"]]
+            yield pd.DataFrame({"node": [int(np.frombuffer(xxhash.xxh3_128_digest(r), dtype=np.int64)[0]) for r in raw], "names": raw})
+
+    some = known.where(may_contain(wanted, "doc_id")(F.col("doc_id"))).join(wanted, "doc_id", "left_semi").select("text")
+    texts = materialize(some.mapInPandas(sets, "node long, names binary").dropDuplicates(["node"]), "near-sets")
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            good = []
+            for x, y in zip(df["x"], df["y"]):
+                x, y = np.frombuffer(x, dtype=_U), np.frombuffer(y, dtype=_U)
+                both = np.intersect1d(x, y, assume_unique=True).size
+                good.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield df.loc[good, ["a", "b"]]
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        side = lambda c, s, n: nodes.select(F.col("node").alias(c), F.col("sig").alias(s), F.col("n").alias(n))
+        both = pairs.join(side("a", "sa", "na"), "a").join(side("b", "sb", "nb"), "b")
+        both = both.where(_near("sa", "sb") & (F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9)).select("a", "b")
+        both = materialize(both.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALT)).cast("int")), "near-pairs")
+        x = texts.select(F.col("node").alias("a"), F.col("names").alias("x"))
+        # the least member of a large group is a partner of all its rows
+        y = texts.select(F.col("node").alias("b"), F.col("names").alias("y")).join(both.select("b", "salt").distinct(), "b")
+        return both.join(x, "a").join(y, ["b", "salt"]).select("a", "b", "x", "y").mapInPandas(check, "a long, b long")
+
+    classes = components_of(met, linked, "near", nodes.select("node", "sig"), _near)
+    named = nodes.join(classes, "node", "left").select("s1", "s2", "first", F.coalesce("component", "node").alias("component"))
+    least = named.groupBy("component").agg(F.min("first").alias("group"))
+    named = materialize(named.join(least, "component").select("s1", "s2", F.col("group.doc_id").alias("component_id"), F.col("group.row").alias("component_row")), "near-named")
+    discard(met, wanted, texts, nodes)
+    keep = (F.col("doc_id") == F.col("component_id")) & (F.col("row") == F.col("component_row"))
+    return marked.select("doc_id", "row", "s1", "s2").join(named, ["s1", "s2"]).select("doc_id", "row", "component_id", keep.alias("keep"))
