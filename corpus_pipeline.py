@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from quotemill.llm.mil import quality_score, train
 from quotemill.llm.packing import pack_documents
 from quotemill.llm.queries.op8 import tokenizer_path
 from quotemill.llm.recompress import remove_repeats
-from quotemill.llm.scratch import materialize, prepare
+from quotemill.llm.scratch import materialize, prepare, release, scope
 from quotemill.llm.similar import similar_classes
 from quotemill.session import load, with_worker_path
 
@@ -37,12 +39,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id stays."""
+    """Of each group of near-duplicates the first document by id stays; rows without an id stay."""
     with_worker_path(prepare(spark))
-    gone = materialize(similar_classes(docs, words=5, similarity=0.8).where("doc_id <> component_id").select("doc_id"), "near-gone")
+    classes = similar_classes(docs, words=5, similarity=0.8)
+    gone = materialize(classes.where("not keep").select("doc_id", "row").distinct(), "near-gone")
+    own = docs.select(*COLUMNS)
     maybe = may_contain(gone, "doc_id")(F.col("doc_id"))
-    kept = docs.where(maybe).join(gone, "doc_id", "left_anti")
-    return docs.where(~maybe).select(*COLUMNS).unionAll(kept.select(*COLUMNS))
+    kept = own.where(maybe).withColumn("row", F.xxhash64("text")).join(gone, ["doc_id", "row"], "left_anti")
+    return own.where(~maybe).unionAll(kept.select(*COLUMNS))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +61,18 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, tokenizer_path(), capacity=2048)
 
 
-STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("packing", packing)]
+def _staged(stage: Callable[..., DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage; it begins by deleting the tables of earlier stages, whose results are stored by then."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, "corpus-stage")
+        with scope("corpus-stage"):
+            return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [(f.__name__, _staged(f)) for f in (quality, line_dedup, near_dedup, substring_dedup, packing)]
 
 #: No stage's learning, fingerprints or tokens can be put in SQL.
 ORACLE_SQL = None
