@@ -1,8 +1,10 @@
 """Components of rows that meet on keys, found without listing the pairs of a key.
 
 Every member of a key is compared with the key's least member, which is linear in
-the number of members. What is then still in another component than its key's least
-member is compared with the other members of the key that are in other components. So every link that could join two components is
+the number of members: first each node with the least of all its keys, then, where
+that has not put both in one component, with the least of each single key. What is
+then still in another component than its key's least member is compared with the
+other members of the key that are in other components. So every link that could join two components is
 tried, and the pairs of a group of copies are not.
 """
 
@@ -32,8 +34,9 @@ def components_of(met: DataFrame, verify: Verify, label: str, nodes: DataFrame |
     ``nodes`` and ``near``: columns of each node (node, sig) and a condition on two of
     them that linked nodes meet; it spares joins the rows of far pairs.
     """
-    heads = met.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    links = materialize(verify(heads), f"{label}-links")
+    first = met.where("node <> least").groupBy("node").agg(F.min("least").alias("first"))
+    first = materialize(first, f"{label}-first")
+    links = materialize(verify(first.select(F.col("node").alias("a"), F.col("first").alias("b"))), f"{label}-links")
     classes = connected_components(links)
 
     def placed() -> DataFrame:
@@ -41,6 +44,11 @@ def components_of(met: DataFrame, verify: Verify, label: str, nodes: DataFrame |
         both = own.join(classes.select(F.col("node").alias("least"), F.col("component").alias("hc")), "least", "left")
         return both.select("key", "node", "least", F.coalesce("c", "node").alias("c"), F.coalesce("hc", "least").alias("hc"))
 
+    others = placed().where("c <> hc").join(first, "node").where("least <> first").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    more = materialize(verify(others), f"{label}-links")
+    if not more.isEmpty():
+        links = materialize(links.unionAll(more), f"{label}-links")
+        classes = connected_components(links)
     apart = placed().where("c <> hc").select("key", F.col("node").alias("m"), F.col("c").alias("mc"))
     apart = materialize(apart, f"{label}-apart")
     if not apart.isEmpty():
@@ -58,5 +66,5 @@ def components_of(met: DataFrame, verify: Verify, label: str, nodes: DataFrame |
         if not last.isEmpty():
             links = materialize(links.unionAll(last), f"{label}-links")
             classes = connected_components(links)
-    discard(apart)
+    discard(apart, first)
     return classes

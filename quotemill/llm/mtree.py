@@ -124,49 +124,68 @@ class Tree:
         self.children = [order[edges[i] : edges[i + 1]] for i in range(len(pages))]
         self.computed = 0
 
-    def _distance(self, rows, q: np.ndarray, q2: float) -> np.ndarray:
-        self.computed += np.size(rows)
-        return np.sqrt(np.maximum(0.0, q2 + self.most - 2 * (self.centers[rows] @ q)))
-
-    def search(self, query_id: int, q: np.ndarray, k: int, least: int | None = None) -> list[tuple[int, int]]:
-        """The k best (score, id), best first; ``least``: a score known to be reached k times elsewhere."""
-        qf = q.astype(np.float64)
-        q2 = float(qf @ qf)
-        limit = np.inf if least is None else np.sqrt(max(0.0, q2 + self.most - 2 * least)) + _SLACK
-        best: list[tuple[int, int]] = []
-        d0 = float(self._distance(0, qf, q2))
-        heap = [(max(0.0, d0 - self.radius[0]), 0, d0)]
+    def search(self, query_ids: np.ndarray, q: np.ndarray, k: int, least: np.ndarray) -> list[tuple[int, int, int]]:
+        """(query id, id, score) of the k best of every query.
+
+        ``least``: a score known to be reached k times elsewhere, NaN for none. Pages
+        are visited best first, by the least bound of the queries that still want
+        them; a page takes all of these at once. A query enters a page or a member
+        only if its stored distances, the triangle inequality and its own best so far
+        let it in.
+        """
+        m, qf = len(q), q.astype(np.float64)
+        q2 = (qf * qf).sum(axis=1)
+        reach = lambda score: np.sqrt(np.maximum(0.0, q2 + self.most - 2 * score)) + _SLACK
+        known = np.where(np.isnan(least), np.inf, reach(np.nan_to_num(least)))
+        limit = known.copy()
+        best = np.full((m, k), np.iinfo(np.int64).min)
+        ids = np.full((m, k), np.iinfo(np.int64).max)
+        slack = lambda x: x * (1 + 1e-12) + 2 * _SLACK
+
+        def distances(rows: np.ndarray, who: np.ndarray) -> np.ndarray:
+            self.computed += len(rows) * len(who)
+            return np.sqrt(np.maximum(0.0, (q2[who] + self.most)[:, None] - 2 * (qf[who] @ self.centers[rows].T)))
+
+        everyone = np.arange(m)
+        d0 = distances(np.array([0]), everyone)[:, 0]
+        heap = [(0.0, 0, everyone, d0)]
         while heap:
-            bound, node, d = heapq.heappop(heap)
-            if bound > limit * (1 + 1e-12) + _SLACK:
-                break
+            _, node, who, d = heapq.heappop(heap)
+            on = np.maximum(0.0, d - self.radius[node]) <= slack(limit[who])
+            who, d = who[on], d[on]
+            if not len(who):
+                continue
             if not self.leaf[node]:
                 kids = self.children[node]
-                kids = kids[np.abs(d - self.up[kids]) - self.radius[kids] <= limit + _SLACK]  # by stored distances
+                near = np.abs(d[:, None] - self.up[kids][None, :]) - self.radius[kids][None, :] <= slack(limit[who])[:, None]  # by stored distances
+                kids, near = kids[near.any(axis=0)], near[:, near.any(axis=0)]
                 if len(kids):
-                    far = self._distance(kids, qf, q2)
-                    for b, kid, own in zip(np.maximum(0.0, far - self.radius[kids]).tolist(), kids.tolist(), far.tolist()):
-                        if b <= limit + _SLACK:
-                            heapq.heappush(heap, (b, kid, own))
+                    far = distances(kids, who)
+                    near &= far - self.radius[kids][None, :] <= slack(limit[who])[:, None]
+                    for j, kid in enumerate(kids.tolist()):
+                        if (mine := np.flatnonzero(near[:, j])).size:
+                            bound = float(np.maximum(0.0, far[mine, j] - self.radius[kid]).min())
+                            heapq.heappush(heap, (bound, kid, who[mine], far[mine, j]))
                 continue
-            at = np.flatnonzero(np.abs(d - self.dists[node]) <= limit + _SLACK)
-            if not len(at):
+            near = np.abs(d[:, None] - self.dists[node][None, :]) <= slack(limit[who])[:, None]
+            some, rows = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+            if not len(rows):
                 continue
-            self.computed += len(at)
-            score = (self.floats[node][at] @ qf).astype(np.int64) if self.exact else self.vectors[node][at] @ q
-            ids = self.ids[node][at]
-            good = ids != query_id
-            if len(best) == k:
-                good &= score >= best[-1][0]
-            if least is not None:
-                good &= score >= least
-            if good.any():
-                score, ids = score[good], ids[good]
-                top = np.lexsort((ids, -score))[:k]
-                best = sorted([*best, *zip(score[top].tolist(), ids[top].tolist())], key=lambda x: (-x[0], x[1]))[:k]
-                if len(best) == k:
-                    limit = min(limit, np.sqrt(max(0.0, q2 + self.most - 2 * best[-1][0])) + _SLACK)
-        return best
+            who, near = who[some], near[np.ix_(some, rows)]
+            self.computed += near.size
+            score = (qf[who] @ self.floats[node][rows].T).astype(np.int64) if self.exact else q[who] @ self.vectors[node][rows].T
+            own = self.ids[node][rows]
+            near &= own[None, :] != query_ids[who][:, None]
+            near &= (score >= best[who, -1][:, None]) & ~(score < least[who][:, None])
+            for i in np.flatnonzero(near.any(axis=1)).tolist():
+                w, at = who[i], np.flatnonzero(near[i])
+                all_scores, all_ids = np.concatenate([best[w], score[i, at]]), np.concatenate([ids[w], own[at]])
+                top = np.lexsort((all_ids, -all_scores.astype(np.float64) if self.exact else ~all_scores))[:k]
+                best[w], ids[w] = all_scores[top], all_ids[top]
+            full = best[who, -1] > np.iinfo(np.int64).min
+            limit[who] = np.where(full, np.minimum(limit[who], np.sqrt(np.maximum(0.0, q2[who] + self.most - 2.0 * np.where(full, best[who, -1], 0))) + _SLACK), limit[who])
+        at, place = np.nonzero(best > np.iinfo(np.int64).min)
+        return list(zip(query_ids[at].tolist(), ids[at, place].tolist(), best[at, place].tolist()))
 
 
 def top_k(embeddings: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
@@ -246,12 +265,12 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
         return run
 
     def look(key: tuple, mine: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        rows = []
+        rows: list[tuple] = []
         if len(mine) and len(queries):
             tree = Tree(mine, width, most)
-            for query_id, raw, least in zip(queries["query_id"], _matrix(queries["q"].tolist(), width), queries["least"]):
-                for score, vec_id in tree.search(int(query_id), raw, k, None if pd.isna(least) else int(least)):
-                    rows.append((query_id, vec_id, score))
+            for i in range(0, len(queries), 512):
+                some = queries.iloc[i : i + 512]
+                rows += tree.search(some["query_id"].to_numpy(np.int64), _matrix(some["q"].tolist(), width), k, some["least"].to_numpy(np.float64, na_value=np.nan))
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
 
     asks = "query_id long, q binary, part int, least long, cell int, block int"

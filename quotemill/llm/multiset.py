@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from quotemill.llm import rowids
+
 LANES = 16  # uniform lanes, 512 bits
 SKETCH = 128
 GRAM = 6
@@ -102,41 +104,59 @@ def vector_of(fingerprint: str) -> np.ndarray:
 
 
 def document_fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fingerprint (hex) of every document; null text: empty, other columns are ignored."""
+    """doc_id and fingerprint (hex) of every document; null text: empty, null ids stay null, other columns are ignored."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            yield df[["doc_id"]].assign(fingerprint=[text_of(fingerprint_vector(t)) for t in df["text"]])
+            yield df[["doc_id", "no_id"]].assign(fingerprint=[text_of(fingerprint_vector(t)) for t in df["text"]])
+
+    found = docs.select(*rowids.apart(), "text").mapInPandas(scan, "doc_id long, no_id boolean, fingerprint string")
+    return found.select(rowids.together(), "fingerprint")
+
 
-    return docs.select("doc_id", "text").mapInPandas(scan, "doc_id long, fingerprint string")
+EDITS = "doc_id long, no_id boolean, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-EDITS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+def _limits(base: DataFrame, parts: int) -> np.ndarray:
+    """Some ``parts`` keys in ascending order, all of them keys of the table: about evenly many rows lie between."""
+    spark = base.sparkSession
+    rows = max(1, base.count())
+    # a hashed share of the keys, of a size set by the number of ranges alone
+    share = min(1.0, 200.0 * parts / rows)
+    drawn = base.select("key").distinct().where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).orderBy("key")
+    keys = np.array([r["key"] for r in drawn.collect()], dtype=np.int64)
+    return np.unique(keys[np.linspace(0, len(keys) - 1, min(parts, len(keys))).astype(int)]) if len(keys) else keys
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """Documents dealt by ranges of their ids, each range followed by the first document of the next.
 
-    Columns doc_id, text, key, part, copy: rows with copy = 1 are only successors. One
-    shuffle carries each text once. The driver sees one id for each range, and there
-    are four ranges for each shuffle partition, whatever the input.
+    Columns doc_id, no_id, text, key, part, copy: rows with copy = 1 are only
+    successors. One shuffle carries each text once. The driver sees a sample of ids of
+    a size set by the number of shuffle partitions, and the first row of each range.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.coalesce("doc_id", F.lit(-(2**63))))
+    # null ids come first, also before the least id
+    base = docs.select(*rowids.apart(), "text").withColumn("key", F.when(F.col("no_id"), F.lit(-(2**63))).otherwise(F.col("doc_id")))
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = base.approxQuantile("key", [i / parts for i in range(parts)], 0.2 / parts)
-    least = base.agg(F.min("key")).first()[0]
-    limits = np.array(sorted({int(x) for x in found if x > (least or 0)}), dtype=np.int64)
+    limits = _limits(base, parts)
 
     @pandas_udf("int")
     def place(keys: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(limits, keys.to_numpy(np.int64), side="right").astype(np.int32))
 
     dealt = base.withColumn("part", place("key"))
-    heads = base.select("key").withColumn("part", place("key")).groupBy("part").agg(F.min("key").alias("key"))
-    heads = dealt.join(F.broadcast(heads), ["part", "key"])  # one row for each range
-    ahead = F.when(F.col("part") == 0, len(limits)).otherwise(F.col("part") - 1).cast("int")
-    return dealt.withColumn("copy", F.lit(0)).unionByName(heads.withColumn("part", ahead).withColumn("copy", F.lit(1)))
+    first = F.min(F.struct(~F.col("no_id"), "key")).alias("first")
+    full = sorted((r["part"], r["first"][0], r["first"][1]) for r in dealt.groupBy("part").agg(first).collect())  # a row for each range
+    ahead = {part: full[i - 1][0] for i, (part, _, _) in enumerate(full)}  # the range before, of those with rows
+    if not full:
+        return dealt.withColumn("copy", F.lit(0))
+    heads = spark.createDataFrame([(part, key, not known, ahead[part]) for part, known, key in full], "part int, key long, no_id boolean, before int")
+    heads = dealt.join(F.broadcast(heads), ["part", "key", "no_id"])
+    # of rows that share an id the first by text is first
+    heads = heads.groupBy("part", "before", "key", "no_id", "doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    copies = heads.select("doc_id", "no_id", "text", "key", F.col("before").alias("part"), F.lit(1).alias("copy"))
+    return dealt.withColumn("copy", F.lit(0)).unionByName(copies)
 
 
 def edit_likeness(docs: DataFrame) -> DataFrame:
@@ -148,26 +168,24 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
     order of their text. A single document is its own successor. Empty table: empty
     result. Other columns are ignored.
     """
-    dealt = with_next(docs)
+    dealt = with_next(docs).withColumn("text", F.coalesce("text", F.lit("")))
     parts = dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ordered = dealt.repartition(int(parts), "part").sortWithinPartitions("part", "copy", "key", "text")
+    ordered = dealt.repartition(int(parts), "part").sortWithinPartitions("part", "copy", F.col("no_id").desc(), "key", "text")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None  # (id, text, vector, part) of the row before
+        held = None  # (id, no id, text, vector, part) of the row before
         for df in batches:
             rows = []
-            for doc_id, text, part, copy in zip(df["doc_id"], df["text"], df["part"], df["copy"]):
-                text = text or ""
+            for doc_id, no_id, text, part, copy in zip(df["doc_id"], df["no_id"], df["text"], df["part"], df["copy"]):
                 vector = fingerprint_vector(text)
-                if held is not None and held[3] == part:
-                    before, own = held[1], held[2]
+                if held is not None and held[4] == part:
+                    before, own = held[2], held[3]
                     half = len(before) // 2
                     edited = before[: len(before) - half] + text[:half]
                     changed = fingerprint_vector(edited)
-                    rows.append((held[0], len(before), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), text_of(own), text_of(changed), likeness(own, changed), likeness(own, vector)))
-                held = (None if pd.isna(doc_id) else int(doc_id), text, vector, part) if not copy else None
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in EDITS.split(", ")])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+                    rows.append((held[0], held[1], len(before), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), text_of(own), text_of(changed), likeness(own, changed), likeness(own, vector)))
+                held = (doc_id, no_id, text, vector, part) if not copy else None
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in EDITS.split(", ")])
 
-    return ordered.mapInPandas(compare, EDITS)
+    found = ordered.mapInPandas(compare, EDITS)
+    return found.select(rowids.together(), *found.columns[2:])

@@ -19,11 +19,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quotemill.llm import rowids
 from quotemill.llm.scratch import materialize
 from quotemill.llm.tokens import encoder
 
 BUCKET_ROWS = 50_000
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, no_id boolean, piece int, start long, length long, ids_crc32 long"
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> np.ndarray:
@@ -107,7 +108,8 @@ def pack(pieces: DataFrame, capacity: int, order: list[str]) -> DataFrame:
     slots = slots[at]
     shared = spark.sparkContext.broadcast(slots)  # bounded by the number of lengths, not by the corpus
     buckets = max(8, sum(counts.values()) // BUCKET_ROWS)
-    split = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    # equal rows are dealt over buckets too: which of them has which place is open
+    split = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*order, F.monotonically_increasing_id()), F.lit(buckets)).cast("int"))
     before = (
         split.groupBy("length", "_bucket")
         .agg(F.count("*").alias("_n"))
@@ -142,14 +144,15 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
         encode = encoder(tokenizer).encode
         for df in batches:
             rows = []
-            for doc_id, ids in zip(df["doc_id"], encode(df["text"].tolist())):
+            for doc_id, no_id, ids in zip(df["doc_id"], df["no_id"], encode(df["text"].tolist())):
                 ids += end
                 for i in range(0, len(ids), 4 * capacity):
                     part = ids[i : i + 4 * capacity]
-                    rows.append((doc_id, i // (4 * capacity), i // 4, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    rows.append((doc_id, no_id, i // (4 * capacity), i // 4, len(part) // 4, zlib.crc32(part)))
+            yield pd.DataFrame(rows, columns=["doc_id", "no_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInPandas(cut, PIECES)
+    cuts = docs.select(*rowids.apart(), "text").mapInPandas(cut, PIECES)
+    return cuts.select(rowids.together(), "piece", "start", "length", "ids_crc32")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> DataFrame:

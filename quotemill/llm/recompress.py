@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quotemill.llm import rowids
 from quotemill.llm.idfilter import may_contain
 from quotemill.llm.scratch import materialize
 from quotemill.llm.words import split_words
@@ -215,7 +216,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return whole.unionAll(part)
 
 
-RESULT = "doc_id long, text string, n_words long, n_removed long, kept_sha256 string"
+RESULT = "doc_id long, no_id boolean, text string, n_words long, n_removed long, kept_sha256 string"
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -232,7 +233,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, extra: tuple[str, ...]
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             rows = []
-            for doc_id, text, marks in zip(df["doc_id"], df["text"], df["gone"]):
+            for doc_id, no_id, text, marks in zip(df["doc_id"], df["no_id"], df["text"], df["gone"]):
                 words = split_words(text)
                 if marks is not None and len(marks):
                     at = [(m["p"], m["n"]) for m in marks]
@@ -246,9 +247,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, extra: tuple[str, ...]
                 else:
                     kept = words
                 joined = b" ".join(kept)
-                rows.append((doc_id, text if len(kept) == len(words) else joined.decode("utf-8", "surrogatepass"), len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest()))
-            out = pd.DataFrame(rows, columns=["doc_id", "text", "n_words", "n_removed", "kept_sha256"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
+                rows.append((doc_id, no_id, text if len(kept) == len(words) else joined.decode("utf-8", "surrogatepass"), len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest()))
+            out = pd.DataFrame(rows, columns=["doc_id", "no_id", "text", "n_words", "n_removed", "kept_sha256"])
             yield pd.concat([out, df[names].reset_index(drop=True)], axis=1)
 
     names = [f"extra_{i}" for i in range(len(extra))]
@@ -257,5 +257,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, extra: tuple[str, ...]
     marked = may_contain(marks, "doc_id")(F.col("doc_id"))
     plain = wanted.where(~marked).withColumn("gone", F.lit(None).cast(marks.schema["gone"].dataType))
     joined = wanted.where(marked).join(marks, "doc_id", "left").select("doc_id", "text", *names, "gone")
-    done = plain.unionAll(joined).mapInPandas(cut, RESULT + kinds)
-    return done.select("doc_id", "text", "n_words", "n_removed", "kept_sha256", *[F.col(n).alias(c) for n, c in zip(names, extra)])
+    done = plain.unionAll(joined).select(*rowids.apart(), "text", *names, "gone").mapInPandas(cut, RESULT + kinds)
+    return done.select(rowids.together(), "text", "n_words", "n_removed", "kept_sha256", *[F.col(n).alias(c) for n, c in zip(names, extra)])

@@ -23,6 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quotemill.llm import rowids
 from quotemill.llm.scratch import materialize, new_path
 
 # Fixed values of the public Zstandard seekable format.
@@ -140,7 +141,7 @@ def _store(path: str, data: bytes) -> None:
     system.move(f"{inner}.part", inner)
 
 
-INDEX = "page_id long, record_type string, bundle string, frame int, offset long, size long"
+INDEX = "page_id long, no_id boolean, record_type string, bundle string, frame int, offset long, size long"
 
 
 def write_bundles(records: DataFrame, folder: str) -> DataFrame:
@@ -152,23 +153,23 @@ def write_bundles(records: DataFrame, folder: str) -> DataFrame:
         def finish() -> pd.DataFrame:
             name = f"bundle-{uuid.uuid4().hex}.warc.zst"
             _store(f"{folder}/{name}", writer.close())
-            out = pd.DataFrame(rows, columns=["page_id", "record_type", "frame", "offset", "size"]).assign(bundle=name)
-            out["page_id"] = out["page_id"].astype("Int64")
-            return out[["page_id", "record_type", "bundle", "frame", "offset", "size"]]
+            out = pd.DataFrame(rows, columns=["page_id", "no_id", "record_type", "frame", "offset", "size"]).assign(bundle=name)
+            return out[["page_id", "no_id", "record_type", "bundle", "frame", "offset", "size"]]
 
         for df in batches:
-            for page_id, url, payload, digest, refers_to in zip(df["page_id"], df["url"], df["payload"], df["digest"], df["refers_to"]):
-                page_id = None if pd.isna(page_id) else int(page_id)
-                refers_to = None if pd.isna(refers_to) else int(refers_to)
-                record = record_bytes(page_id, url, bytes(payload), digest, refers_to)
-                rows.append((page_id, "response" if refers_to is None else "revisit", *writer.add(record), len(record)))
+            for page_id, no_id, url, payload, digest, keeper, own in zip(df["page_id"], df["no_id"], df["url"], df["payload"], df["digest"], df["keeper"], df["own"]):
+                refers_to = None if own else int(keeper)
+                record = record_bytes(None if no_id else int(page_id), url, bytes(payload), digest, refers_to)
+                rows.append((page_id, no_id, "response" if refers_to is None else "revisit", *writer.add(record), len(record)))
                 if writer.size() >= BUNDLE_BYTES:
                     yield finish()
                     writer, rows = BundleWriter(), []
         if rows:
             yield finish()
 
-    return records.mapInPandas(write, INDEX)
+    sent = records.select(*rowids.apart("page_id"), "url", "payload", "digest", F.coalesce("refers_to", F.lit(0)).alias("keeper"), F.col("refers_to").isNull().alias("own"))
+    index = sent.mapInPandas(write, INDEX)
+    return index.select(rowids.together("page_id"), *index.columns[2:])
 
 
 def assign_records(pages: DataFrame, least_shared: int = LEAST_SHARED) -> DataFrame:
@@ -209,8 +210,8 @@ def read_bundles(spark: SparkSession, folder: str, index: DataFrame) -> DataFram
                             digest, length = hashlib.sha1(payload).hexdigest(), len(payload)
                         intact = hashlib.sha1(block).hexdigest() == head["WARC-Block-Digest"].removeprefix("sha1:") and digest == head["WARC-Payload-Digest"].removeprefix("sha1:")
                         rows.append((int(head["X-Page-ID"]) if head["X-Page-ID"] else None, length, digest, head["WARC-Type"], int(head["X-Refers-To-Page"]) if revisit else None, head["WARC-Target-URI"], intact))
-                    out = pd.DataFrame(rows, columns=[c.split()[0] for c in RECORDS.split(", ")])
-                    yield out.assign(page_id=out["page_id"].astype("Int64"), refers_to=out["refers_to"].astype("Int64"))
+                    columns = dict(zip([c.split()[0] for c in RECORDS.split(", ")], map(list, zip(*rows))))
+                    yield pd.DataFrame(columns | {c: pd.array(columns[c], dtype="Int64") for c in ("page_id", "refers_to")})  # from whole numbers, never through floats
 
     return files.select("content").mapInPandas(scan, RECORDS)
 

@@ -52,10 +52,14 @@ def test_tree_skips_computations():
     none = np.empty(0, dtype=np.int64)
     df = pd.DataFrame([{"node": n, "parent": p, "leaf": leaf, "center": c.astype("<f8").tobytes(), "radius": r, "parent_dist": up, "ids": (m if leaf else none).astype("<i8").tobytes(), "vectors": x[m if leaf else none].astype("<i8").tobytes(), "dists": (d if leaf else np.empty(0)).astype("<f8").tobytes()} for n, p, leaf, c, _, r, up, m, d in pages])
     tree = mtree.Tree(df, 8, most)
-    found = tree.search(-1, x[10], 5)
-    scores = x @ x[10]
-    assert found == sorted(((int(s), i) for i, s in enumerate(scores)), key=lambda t: (-t[0], t[1]))[:5]
-    assert tree.computed < len(x) / 2
+    asked = np.array([10, 900])
+    found = tree.search(np.array([-1, -2]), x[asked], 5, np.full(2, np.nan))
+    want = []
+    for name, row in zip((-1, -2), asked):
+        best = sorted(((int(s), i) for i, s in enumerate(x @ x[row])), key=lambda t: (-t[0], t[1]))[:5]
+        want += [(name, i, s) for s, i in best]
+    assert found == want
+    assert tree.computed < len(x)
 
 
 def test_archives(spark):
