@@ -8,7 +8,8 @@ one day can be handed to the next by calling the kernel with it.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -53,34 +54,67 @@ def _observed(g: pd.DataFrame) -> list[tuple[int, float, list[Observation]]]:
     return [(int(events[i]), now[i], seen[i:j]) for i, j in zip(cuts, cuts[1:]) if j > i]
 
 
+def _carried(states: DataFrame, key: str, schema: str, make: Callable[[], object], rows_of: Callable[[object, str, list], list[tuple]]) -> DataFrame:
+    """One pass over each key's events in order, batch by batch: the kernel alone is held, not the history."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kernel, current, rest = None, None, None
+        for df in chain(batches, [None]):
+            if df is None:
+                df, rest = rest, None
+            else:
+                df = df if rest is None else pd.concat([rest, df], ignore_index=True)
+                if len(df):  # the last event may go on in the next batch
+                    last = (df[key] == df[key].iloc[-1]) & (df["event_seq"] == df["event_seq"].iloc[-1])
+                    df, rest = df[~last], df[last]
+            if df is None or not len(df):
+                continue
+            out = []
+            for k, g in df.groupby(key, sort=False):
+                if kernel is None or k != current:
+                    kernel, current = make(), k
+                out += rows_of(kernel, k, _observed(g))
+            yield pd.DataFrame(out, columns=names)
+
+    return spread(states, [key]).sortWithinPartitions(key, "event_seq", "exchange").mapInPandas(run, schema)
+
+
 FUSED = "{k}, event_seq long, price double, fused double, gain double, q double, r double, p double"
 
 
 def fused_kalman(states: DataFrame, key: str, **config) -> DataFrame:
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        kernel, rows = FusedKalman(**config), []
-        for event, at, obs in _observed(g):
-            if (found := kernel.step(at, obs)) is not None:
-                rows.append((g[key].iloc[0], event, *(found[c] for c in ("price", "fused", "gain", "q", "r", "p"))))
-        return pd.DataFrame(rows, columns=[key, "event_seq", "price", "fused", "gain", "q", "r", "p"])
+    """The fused filter after each event; one filter for each key, its state carried through all of the key's history."""
 
-    return spread(states, [key]).groupBy(key).applyInPandas(run, FUSED.format(k=f"{key} {states.schema[key].dataType.simpleString()}"))
+    def rows_of(kernel, k, events):
+        found = ((event, kernel.step(at, obs)) for event, at, obs in events)
+        return [(k, event, *(f[c] for c in ("price", "fused", "gain", "q", "r", "p"))) for event, f in found if f is not None]
 
+    return _carried(states, key, FUSED.format(k=f"{key} {states.schema[key].dataType.simpleString()}"), lambda: FusedKalman(**config), rows_of)
 
-def basis_kalman(states: DataFrame, key: str, hold: bool = True, **config) -> DataFrame:
-    """One row per event: price, stddev, basis (JSON by venue) and whether it is live or held."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        kernel, rows, last = BasisKalman(**config), [], None
-        for event, at, obs in _observed(g):
-            found = kernel.step(at, obs)
-            if found is not None or (hold and last is not None):
-                last = found or last
-                rows.append((g[key].iloc[0], event, last["price"], last["stddev"], last["trace"], json.dumps(last["basis"], sort_keys=True), found is not None))
-        return pd.DataFrame(rows, columns=[key, "event_seq", "price", "stddev", "trace", "basis", "is_live"])
+class _Held:
+    """A basis filter and its last result."""
+
+    def __init__(self, **config):
+        self.kernel, self.last = BasisKalman(**config), None
+
+
+def basis_kalman(states: DataFrame, key: str, hold: bool = True, **config) -> DataFrame:
+    """One row per event: price, stddev, basis (JSON by venue) and whether it is live or held; state as in ``fused_kalman``."""
+
+    def rows_of(held, k, events):
+        rows = []
+        for event, at, obs in events:
+            found = held.kernel.step(at, obs)
+            if found is not None or (hold and held.last is not None):
+                held.last = found or held.last
+                x = held.last
+                rows.append((k, event, x["price"], x["stddev"], x["trace"], json.dumps(x["basis"], sort_keys=True), found is not None))
+        return rows
 
     kind = states.schema[key].dataType.simpleString()
-    return spread(states, [key]).groupBy(key).applyInPandas(run, f"{key} {kind}, event_seq long, price double, stddev double, trace double, basis string, is_live boolean")
+    return _carried(states, key, f"{key} {kind}, event_seq long, price double, stddev double, trace double, basis string, is_live boolean", lambda: _Held(**config), rows_of)
 
 
 def beta_kalman(df: DataFrame, key: str, order: list[str], features: list[str], target: str, *, warm: float = 0.3, ridge: float = 1e-6, delayed: int = 0) -> DataFrame:

@@ -103,6 +103,16 @@ def average_precision(df: DataFrame, groups: list[str], score: str, label: str,
     return df.groupBy(*groups).agg(F.avg(F.when(F.col(label) == 1, F.col("_p"))).alias("average_precision"))
 
 
+def gated_value(df: DataFrame, groups: list[str], score: str, fee: str, loss: str, order: list[str], share: float) -> DataFrame:
+    """Fees less losses of all rows, without the ``share`` of highest score, and, as a bound, without that of highest loss."""
+    by = Window.partitionBy(*groups)
+    place = lambda c: F.row_number().over(by.orderBy(F.col(c).desc(), *order))
+    df = df.withColumns({"_i": place(score), "_j": place(loss), "_k": F.floor(F.count("*").over(by) * share)})
+    net = F.col(fee) - F.col(loss)
+    kept = lambda at: F.sum(F.when(F.col(at) > F.col("_k"), net).otherwise(0.0))
+    return df.groupBy(*groups).agg(F.sum(net).alias("passive"), kept("_i").alias("gated"), kept("_j").alias("oracle"))
+
+
 def logistic(df: DataFrame, features: list[str], label: str, c: float = 1.0, balanced: bool = False) -> DataFrame:
     """L2 logistic regression; ``balanced`` weighs classes inversely to their frequency."""
     from pyspark.ml.classification import LogisticRegression
@@ -129,7 +139,7 @@ def boosted(df: DataFrame, features: list[str], target: str, order: list[str], t
 
     rows = VectorAssembler(inputCols=features, outputCol="_x").transform(df)
     train = rows.where("not is_test")
-    place = F.percent_rank().over(Window.partitionBy(F.lit(0)).orderBy(*order))
-    train = train.withColumn("_v", place > 1 - tail)
+    cut = train.agg(F.percentile(order[0], 1 - tail)).first()[0]  # one number
+    train = train.withColumn("_v", F.col(order[0]) > cut)
     model = GBTRegressor(featuresCol="_x", labelCol=target, validationIndicatorCol="_v", predictionCol="predicted", **({"maxIter": 20, "maxDepth": 3, "seed": 1} | options)).fit(train)
     return model.transform(rows).drop("_x"), model.featureImportances.toArray().tolist()

@@ -51,6 +51,18 @@ def return_volatility(df: DataFrame, price: str, keys: list[str], time: str, seq
     return df.withColumn(name, vol * 10_000.0).drop("_r", "_n", "_s", "_q")
 
 
+def pre_event_volatility(df: DataFrame, price: str, keys: list[str], time: str, seq: str, span: int, name: str) -> DataFrame:
+    """Root of the summed squared log returns between consecutive earlier rows no older than ``span``; null under three of them."""
+    order = Window.partitionBy(*keys).orderBy(time, seq)
+    before = F.lag(price).over(order)
+    df = df.withColumn("_r", F.pow(F.log(F.col(price) / before), F.lit(2.0)))
+    # the return into the window's first row starts outside of it
+    oldest = F.first("_r").over(trailing_range(keys, time, span))
+    total = exact_sum(F.coalesce("_r", F.lit(0.0)), keys, time, seq, span, exclude_self=True) - F.coalesce(oldest, F.lit(0.0))
+    rows = exact_sum(F.lit(1), keys, time, seq, span, exclude_self=True)
+    return df.withColumn("_q", total).withColumn("_k", rows).withColumn(name, F.when(F.col("_k") >= 3, F.sqrt(F.greatest("_q", F.lit(0.0))))).drop("_r", "_q", "_k")
+
+
 def rolling_mean_carried(df: DataFrame, value: str, keys: list[str], order: list[str], rows: int, name: str) -> DataFrame:
     """Mean of the last ``rows`` non-null values up to each row; carried over null rows."""
     by = Window.partitionBy(*keys).orderBy(*order)

@@ -208,10 +208,10 @@ def _(s, d):
 
 
 def _states(s, d):
-    """States after each event, one fold per day, so days run in parallel."""
-    e = domain.fair(s, d).where("variance is not null").withColumn("day", F.floor(F.col("ts_ms") / DAY).cast("long"))
+    """States after each event of a market: its filters run through its whole history."""
+    e = domain.fair(s, d).where("variance is not null")
     names = [r[0] for r in e.select("exchange").distinct().orderBy("exchange").collect()]  # venues: a handful
-    states = fusion.latest_states(e.withColumn("market", F.col("day").cast("string")), names, ["seq"])
+    states = fusion.latest_states(e, names, ["seq"])
     return states.withColumn("age_ms", (F.col("now_ms") - F.col("state_ts_ms")).cast("double"))
 
 

@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_KEY, _OWN = "spark.checkpoint.dir", "/tmp/checkpoints/quotemill"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local one only where none is set and the master is local."""
+    found = spark.sparkContext.getConf().get(_KEY, None) or spark.conf.get(_KEY, None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"set {_KEY} to a folder that all executors share")
+    return (found or _OWN).rstrip("/")
+
 
 def with_event_date(df: DataFrame, time: str = "timestamp_ms") -> DataFrame:
     return df.withColumn("date", F.to_date(F.timestamp_millis(time)))
@@ -24,11 +34,15 @@ def capture_writer(folder: str):
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        parent = batch.select("id", "timestamp_ms", "price", "stddev", "is_live")
-        venues = batch.select("id", "timestamp_ms", F.explode("states").alias("s")).select(F.col("id").alias("update_id"), "timestamp_ms", "s.*")
-        for name, df in (("updates", parent), ("venue_states", venues)):
-            with_event_date(df).write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
-        batch.unpersist()
+        try:
+            parts = {"updates": batch.select("id", "timestamp_ms", "price", "stddev", "is_live")}
+            for name, column in (("venue_states", "states"), ("basis_states", "bases")):
+                if column in batch.columns:
+                    parts[name] = batch.select("id", "timestamp_ms", F.explode(column).alias("s")).select(F.col("id").alias("update_id"), "timestamp_ms", "s.*")
+            for name, df in parts.items():
+                with_event_date(df).write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     return write
 

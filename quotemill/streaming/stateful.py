@@ -8,6 +8,7 @@ State is the kernel pickled in the state store, one per key.
 from __future__ import annotations
 
 import pickle
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -52,16 +53,23 @@ def latest_per_key(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), seq).alias("r")).select("r.*")
 
 
+class _Flow:
+    """Signed sizes of the trailing span, with their sum kept up to date."""
+
+    def __init__(self) -> None:
+        self.held: deque[tuple[int, float]] = deque()
+        self.net = 0.0
+
+
 def rolling_flow(trades: DataFrame, span_ms: int):
     """A step for ``stream_kernel``: trade flow over the trailing span, one row per trade."""
 
-    def make() -> list:
-        return []
-
-    def step(held: list, r) -> dict:
-        held.append((r.ts_ms, r.size if r.side == "buy" else -r.size))
-        while held[0][0] < r.ts_ms - span_ms:
-            held.pop(0)
-        return {"seq": r.seq, "net": sum(x for _, x in held), "n": len(held)}
+    def step(flow: _Flow, r) -> dict:
+        signed = r.size if r.side == "buy" else -r.size
+        flow.held.append((r.ts_ms, signed))
+        flow.net += signed
+        while flow.held[0][0] < r.ts_ms - span_ms:
+            flow.net -= flow.held.popleft()[1]
+        return {"seq": r.seq, "net": flow.net, "n": len(flow.held)}
 
-    return make, step
+    return _Flow, step
