@@ -29,7 +29,7 @@ def chunks_of(text: str) -> list[str]:
 class WordEncoder:
     """``encode(texts)`` gives little-endian unsigned 32-bit ids as bytes, without special tokens."""
 
-    CACHE = 250_000
+    CACHE = 150_000
 
     def __init__(self, path: str):
         import os

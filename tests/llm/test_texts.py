@@ -224,3 +224,44 @@ def test_similar_at_the_threshold_and_short(make_docs):
             texts += [" ".join(w[: shared + 4]), " ".join(w)]
     got = {r.doc_id: r.component_id for r in similar.similar_classes(make_docs(texts)).collect()}
     assert got == {i: i - i % 2 for i in range(len(texts))}
+
+
+LARGE = [2**60 + 1, None, 2**53 + 1, 2**53 + 3, 5, -7]
+
+
+def test_ids_stay_exact_beside_nulls(spark):
+    from quotemill.llm import sentencepiece_sampling, warc
+
+    texts = [f"some text number {i} of a few words" for i in range(len(LARGE))]
+    df = spark.createDataFrame(list(zip(LARGE, texts)), "doc_id long, text string").coalesce(1)
+    ids = lambda rows, name="doc_id": sorted((r[name] for r in rows), key=lambda x: (x is not None, x))
+    want = ids([{"doc_id": i} for i in LARGE])
+    assert ids(multiset.edit_likeness(df).collect()) == want
+    assert ids(multiset.document_fingerprints(df).collect()) == want
+    assert ids(recompress.remove_repeats(df).collect()) == want
+    assert ids(packing.pack_documents(df, op8.tokenizer_path()).collect()) == want
+    pages = df.selectExpr("doc_id as page_id", "'u' as url", "text as html")
+    assert ids(warc.archive_pages(pages)[0].collect(), "page_id") == want
+    model = op8.tokenizer_path("piece_bpe_32k.model")
+    sample = lambda d: {r.doc_id: (r.ids_crc32, r.perturbed) for r in sentencepiece_sampling.encode_documents(d, model, k=1, digest=True).collect()}
+    assert sample(df.where("doc_id is not null")) == {k: v for k, v in sample(df).items() if k is not None}
+
+
+def test_every_document_has_its_successor(spark):
+    ids = [2**60 + i for i in range(1, 201)]
+    df = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
+    rows = {r.doc_id: r for r in multiset.edit_likeness(df).collect()}
+    assert sorted(rows) == ids
+    vector = {i: multiset.fingerprint_vector(f"text {i}") for i in ids}
+    for a, b in zip(ids, ids[1:] + ids[:1]):
+        assert rows[a].near_next == multiset.likeness(vector[a], vector[b])
+        assert rows[a].near_edited == multiset.likeness(vector[a], multiset.vector_of(rows[a].edited_fingerprint))
+
+
+def test_near_duplicates_of_an_empty_table_and_repeated_ids(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert similar.similar_classes(empty).collect() == []
+    assert simhash.near_duplicate_classes(empty).collect() == []
+    rows = [(1, "one text of six words here"), (1, "quite another text under that id"), (2, "one text of six words here"), (2, "one text of six words here"), (None, "x")]
+    got = similar.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.keep) for r in got) == [(1, 1, True), (1, 1, True), (2, 1, False), (2, 1, False)]
