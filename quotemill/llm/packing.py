@@ -99,7 +99,7 @@ def pack(pieces: DataFrame, capacity: int, order: list[str]) -> DataFrame:
     """``pieces`` (a ``length`` column and others) with sequence_id and offset added.
 
     ``order``: columns that order pieces of one length; equal rows may be told apart
-    in any way. An empty table gives an empty result.
+    in any way. Whole-number columns must not hold nulls (see ``rowids``). An empty table gives an empty result.
     """
     spark = pieces.sparkSession
     counts = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
@@ -157,5 +157,6 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> DataFrame:
     """Every piece of every document with its place in a sequence (see ``token_pieces``, ``pack``)."""
-    pieces = materialize(token_pieces(docs, tokenizer, capacity), "pieces")
-    return pack(pieces, capacity, ["doc_id", "piece", "start", "ids_crc32"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    pieces = token_pieces(docs, tokenizer, capacity).select(*rowids.apart(), "piece", "start", "length", "ids_crc32")
+    packed = pack(materialize(pieces, "pieces"), capacity, ["doc_id", "piece", "start", "ids_crc32"])
+    return packed.select(rowids.together(), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
