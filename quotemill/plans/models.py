@@ -77,6 +77,38 @@ def _(s, d):
     return out.select("seq", *[(F.col("size") - F.col(f"p{k}_size")).alias(f"d{k}") for k in (1, 3)])
 
 
+LAGS = (1, 3)
+LAGGED = ("price", "size")
+
+
+def _venue_at(v, k):
+    """SQL: every row with venue ``v``'s row at or before its time less ``k`` hours."""
+    return f"x{k}{v} AS (SELECT l.seq, r.ts_ms AS at, r.price, r.size FROM (SELECT *, ts_ms - {k * HOUR} AS goal FROM tape) l ASOF JOIN (SELECT * FROM tape WHERE exchange = '{v}') r ON l.goal >= r.ts_ms)"
+
+
+def _cross_lags_sql():
+    parts = [_venue_at(v, k) for v in VENUES for k in (0, *LAGS)]
+    joins = " ".join(f"JOIN x{k}{v} USING (seq)" for v in VENUES for k in (0, *LAGS))
+    diffs = ", ".join(f"round(x0{v}.{c} - x{k}{v}.{c}, 6) AS {v}_{c}_{k}h" for v in VENUES for c in LAGGED for k in LAGS)
+    fresh = " AND ".join(f"tape.ts_ms - x{k}{v}.at <= {2 * k * HOUR}" for v in VENUES for k in LAGS)
+    return f"WITH {TAPE}, " + ", ".join(parts) + f" SELECT seq, {diffs} FROM tape {joins} WHERE {fresh}"
+
+
+@add("ml6_cross_venue_lags", _cross_lags_sql())
+def _(s, d):
+    t = domain.tape(s, d).select("seq", "exchange", "ts_ms", F.struct("ts_ms", *LAGGED).alias("row"))
+    out = t
+    for k in (0, *LAGS):  # one pass over one sort for all venues of a lag
+        back = out.withColumn("ts_ms", F.col("ts_ms") - k * HOUR)
+        found = align.asof_many(back, t, time="ts_ms", seq="seq", who="exchange", others=VENUES, value="row", bucket_ms=DAY)
+        out = found.withColumn("ts_ms", F.col("ts_ms") + k * HOUR).withColumnsRenamed({f"{v}_row": f"{v}_{k}" for v in VENUES})
+    fresh = [F.col("ts_ms") - F.col(f"{v}_{k}.ts_ms") <= 2 * k * HOUR for v in VENUES for k in LAGS]
+    for ok in fresh:
+        out = out.where(ok)
+    diffs = [F.round(F.col(f"{v}_0.{c}") - F.col(f"{v}_{k}.{c}"), 6).alias(f"{v}_{c}_{k}h") for v in VENUES for c in LAGGED for k in LAGS]
+    return out.select("seq", *diffs)
+
+
 @add("ml7_lead_feature_set", f"WITH {CROSS} SELECT seq, round(price - click_price, 6) AS own, round((purchase_price - view_price) / view_price * 10000, 4) AS spread_bps FROM c WHERE purchase_price IS NOT NULL AND click_price IS NOT NULL AND view_price > 0")
 def _(s, d):
     t = domain.tape(s, d)
