@@ -1,11 +1,12 @@
 """Quality classifier: gated-attention multiple-instance learning over passages.
 
-A document is a bag of passages of ``PASSAGE`` words. Every passage is described by
-counts and ratios of its characters and words and encoded by a learned layer; gated
-attention weighs the passages, and a linear layer scores the weighted mean. Only
-document labels are used; the weights of the passages are learned with the rest.
-Training uses a bounded, documented sample of labelled documents; scoring reads
-every passage of every document.
+A document is a bag of passages of ``PASSAGE`` words. A passage is described by its
+words and pairs of words, lower-cased and hashed into ``BUCKETS`` slots, and by ratios
+of its characters; a learned layer encodes both, gated attention weighs the passages,
+and a linear layer scores the weighted mean. Only document labels are used; the weights
+of the passages are learned with the rest. Training uses a bounded, documented sample
+of labelled documents (``SAMPLE``), of each at most ``FIT_PASSAGES`` passages spread over
+the text; scoring reads every passage of every document.
 """
 
 from __future__ import annotations
@@ -15,14 +16,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 PASSAGE = 50
 SAMPLE = 12_000
+#: Passages of one document that fitting takes; scoring takes all.
+FIT_PASSAGES = 16
+#: Slots for hashed words and pairs of words.
+BUCKETS = 256
 _KINDS = ("lower", "upper", "digit", "blank", "line", "stop", "comma", "bang", "hash", "money", "bar", "punct", "lead", "more")
-FEATURES = 20
+RATIOS = 20
+FEATURES = RATIOS + BUCKETS
+#: Words weigh only where they tell more than this pull towards nothing: with few labelled documents each would be learned by heart.
+WORD_DECAY = 0.02
 
 
 def _kind_table() -> np.ndarray:
@@ -41,7 +50,11 @@ _SOLID = ~np.isin(np.arange(256), (32, 9, 10, 11, 12, 13))
 
 
 def passage_features(text: str | None, passage: int = PASSAGE) -> np.ndarray:
-    """One row of FEATURES numbers for each passage; an empty or null text has one empty passage."""
+    """One row of FEATURES numbers for each passage; an empty or null text has one empty passage.
+
+    Pairs of words lie within one passage. Slots hold square roots of shares, so that
+    the frequent words of a passage do not outweigh the others.
+    """
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.split()
     if not words:
@@ -58,7 +71,11 @@ def passage_features(text: str | None, passage: int = PASSAGE) -> np.ndarray:
     c = np.bincount(of * len(_KINDS) + kinds, minlength=n * len(_KINDS)).reshape(n, -1).astype(np.float64)
     own = np.arange(len(words)) // passage
     count = np.bincount(own, minlength=n).astype(np.float64)
-    ids = np.fromiter(map(hash, words), dtype=np.int64, count=len(words))
+    ids = np.fromiter(map(xxhash.xxh3_64_intdigest, raw.lower().split()), dtype=np.uint64, count=len(words))
+    pairs = (ids[:-1] * np.uint64(0x9E3779B97F4A7C15) + ids[1:]) >> np.uint64(32)
+    inside = own[1:] == own[:-1]
+    slots = np.concatenate([own * BUCKETS + (ids % np.uint64(BUCKETS)).astype(np.int64), (own[1:] * BUCKETS + (pairs % np.uint64(BUCKETS)).astype(np.int64))[inside]])
+    shares = np.sqrt(np.bincount(slots, minlength=n * BUCKETS).reshape(n, BUCKETS).astype(np.float32) / count[:, None].astype(np.float32))
     sizes = np.fromiter(map(len, words), dtype=np.float64, count=len(words))
     same = np.zeros(len(words))
     same[1:] = (ids[1:] == ids[:-1]) & (own[1:] == own[:-1])
@@ -74,7 +91,12 @@ def passage_features(text: str | None, passage: int = PASSAGE) -> np.ndarray:
     x += [np.bincount(own, first == 1, n) / count, np.bincount(own, first == 0, n) / count]
     x += [mean / 10, np.sqrt(np.maximum(0, np.bincount(own, sizes**2, n) / count - mean**2)) / 10, np.bincount(own, sizes > 20, n) / count]
     x += [np.log1p(count) / 5, np.ones(n)]
-    return np.minimum(np.stack(x, axis=1), 5).astype(np.float32)
+    return np.concatenate([np.minimum(np.stack(x, axis=1), 5).astype(np.float32), shares], axis=1)
+
+
+def _spread(bag: np.ndarray, most: int = FIT_PASSAGES) -> np.ndarray:
+    """At most so many passages, evenly spread from the first to the last."""
+    return bag if len(bag) <= most else bag[np.linspace(0, len(bag) - 1, most).astype(np.int64)]
 
 
 @dataclass
@@ -88,12 +110,13 @@ class Model:
     def score(self, bags: list[np.ndarray]) -> np.ndarray:
         if not bags:
             return np.empty(0)
+        params = {k: p.astype(np.float32) for k, p in self.params.items()}
         out = []
         for i in range(0, len(bags), 2000):
             some = bags[i : i + 2000]
             starts = np.cumsum([0, *(len(b) for b in some[:-1])])
-            x = (np.concatenate(some) - self.shift) / self.scale
-            out.append(_forward(self.params, x.astype(np.float64), starts)["p"])
+            x = (np.concatenate(some).astype(np.float32) - self.shift.astype(np.float32)) / self.scale.astype(np.float32)
+            out.append(_forward(params, x, starts)["p"].astype(np.float64))
         return np.concatenate(out)
 
 
@@ -142,9 +165,13 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, *, epochs: int = 40, hidden:
         share = np.clip(labels.mean() if bags else 0.5, 1e-3, 1 - 1e-3)
         q["b"][:] = np.log(share / (1 - share))
         return Model(q, np.zeros(width), np.ones(width))
+    decay = {k: np.full_like(p, 1e-5) for k, p in q.items()}
+    decay["W"][RATIOS:] = WORD_DECAY
+    q["W"][RATIOS:] *= 0.1
     rows = np.concatenate(bags)
     shift, scale = rows.mean(axis=0), rows.std(axis=0)
     scale[scale < 1e-6] = 1
+    scale[RATIOS:] = np.maximum(scale[RATIOS:], 0.1)  # rare words are not blown up
     bags = [(b - shift) / scale for b in bags]
     m, v, step = {k: np.zeros_like(p) for k, p in q.items()}, {k: np.zeros_like(p) for k, p in q.items()}, 0
     for epoch in range(epochs):
@@ -155,7 +182,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, *, epochs: int = 40, hidden:
             starts = np.cumsum([0, *(len(bags[j]) for j in some[:-1])])
             grad, step = _gradients(q, x, starts, labels[some]), step + 1
             for k in q:
-                g = grad[k] + 1e-5 * q[k]
+                g = grad[k] + decay[k] * q[k]
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.999 * v[k] + 0.001 * g * g
                 q[k] = q[k] - rate * (1 - epoch / epochs) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
@@ -173,18 +200,22 @@ BAG = "doc_id long, quality int, n int, x binary"
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` labelled documents, those of least hashed id, held-out ones left out.
 
-    Null texts count as empty; rows without an id or a label of 0 or 1 are not learned from.
+    Null texts count as empty; rows without an id or a label of 0 or 1 are not learned
+    from, nor are ids that have both labels. Of the texts of one id the least counts, so
+    what the driver gets is bounded by ``sample`` times FIT_PASSAGES rows of FEATURES
+    numbers. Empty tables give a model that scores one half.
     """
     marked = labels.select(F.col("doc_id").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1) and doc_id is not null")
-    chosen = marked.where(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = marked.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").drop("other")
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            found = [passage_features(t) for t in df["text"]]
+            found = [_spread(passage_features(t)) for t in df["text"]]
             yield pd.DataFrame({"doc_id": df["doc_id"], "quality": df["quality"], "n": [len(b) for b in found], "x": [b.tobytes() for b in found]})
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text").mapInPandas(scan, BAG).toPandas()
-    rows = rows.sort_values(["doc_id", "n", "x"])
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = texts.mapInPandas(scan, BAG).toPandas().sort_values("doc_id")
     bags = [np.frombuffer(x, dtype=np.float32).reshape(n, -1) for n, x in zip(rows["n"], rows["x"])]
     return fit(bags, rows["quality"].to_numpy())
 

@@ -7,6 +7,7 @@ from quotemill.llm import sentencepiece_sampling as sp
 from quotemill.llm.queries.op8 import tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
+SF = "/root/testdata/sf0.01"
 
 
 def test_gradients_match_differences():
@@ -42,6 +43,49 @@ def test_attention_finds_the_marked_passage(spark, make_docs):
     assert np.mean([r.quality_keep == (r.doc_id % 3 != 0) for r in held]) > 0.95
 
 
+def test_words_alone_can_tell(spark, make_docs):
+    rng = np.random.default_rng(3)
+    draw = lambda words: " ".join(rng.choice(words, 80))  # noqa: E731  words of one length and kind
+    texts = [draw(["stone", "river", "cloud", "maple"] if i % 2 else ["stone", "river", "wager", "bonus"]) for i in range(300)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    rows = mil.score_documents(make_docs(texts), labels).where("doc_id >= 200").collect()
+    assert len(rows) == 100 and all((r.quality_score >= 0.5) == (r.doc_id % 2 == 1) for r in rows)
+
+
+def test_long_and_odd_texts_have_all_their_passages():
+    long = "word " * (mil.PASSAGE * 40 + 1)
+    assert mil.passage_features(long).shape == (41, mil.FEATURES) and len(mil._spread(mil.passage_features(long))) == mil.FIT_PASSAGES
+    for text in (None, "", " ", "\x00", "a", "\ud800", "é" * 5000):
+        x = mil.passage_features(text)
+        assert x.shape == (1, mil.FEATURES) and np.isfinite(x).all()
+
+
+def test_learning_ignores_clashes_repeats_and_rows_without_id(spark, make_docs):
+    texts = [f"some plain words {i}" if i % 2 else f"LOUD! WORDS! {i}" for i in range(60)]
+    docs, labels = make_docs(texts), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    plain = mil.train(docs, labels)
+    more = docs.unionAll(docs).unionAll(docs.limit(1).selectExpr("cast(null as long) doc_id", *docs.columns[1:]))
+    noisy = labels.unionAll(labels).unionAll(spark.createDataFrame([(None, 1), (100, 0), (100, 1), (101, 7)], labels.schema))
+    more = more.unionAll(make_docs(["clash"], [100])).unionAll(make_docs(["none"], [101]))
+    again = mil.train(more, noisy)
+    assert all((plain.params[k] == again.params[k]).all() for k in plain.params)
+    scored = mil.score_documents(more, noisy)
+    assert scored.count() == 123 and scored.where("quality_score is null").count() == 0
+    empty = mil.score_documents(docs.where("false"), labels.where("false"))
+    assert empty.collect() == []
+    assert {r.quality_score for r in mil.score_documents(docs, labels.where("false")).collect()} == {0.5}
+
+
+def test_query_is_right_on_held_out_documents(spark):
+    from quotemill.llm.queries import op9
+
+    rows = op9.run(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality"), "doc_id").where("held_out and quality in (0, 1)").collect()
+    ones, zeros = [r.score for r in rows if r.quality == 1], [r.score for r in rows if r.quality == 0]
+    assert len(zeros) > 5 and np.mean([a > b for a in ones for b in zeros]) > 0.98
+    assert np.mean([r.predicted == r.quality for r in rows]) > 0.95
+    assert op9.run(spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
 def test_without_labels():
     assert mil.fit([], np.array([])).score([mil.passage_features("")]).tolist() == [0.5]
 
