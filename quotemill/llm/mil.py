@@ -168,17 +168,17 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, *, epochs: int = 40, hidden:
     decay = {k: np.full_like(p, 1e-5) for k, p in q.items()}
     decay["W"][RATIOS:] = WORD_DECAY
     q["W"][RATIOS:] *= 0.1
-    rows = np.concatenate(bags)
-    shift, scale = rows.mean(axis=0), rows.std(axis=0)
+    count = sum(map(len, bags))  # bags are never copied as a whole
+    shift = sum(b.sum(axis=0, dtype=np.float64) for b in bags) / count
+    scale = np.sqrt(sum(((b - shift) ** 2).sum(axis=0) for b in bags) / count)
     scale[scale < 1e-6] = 1
     scale[RATIOS:] = np.maximum(scale[RATIOS:], 0.1)  # rare words are not blown up
-    bags = [(b - shift) / scale for b in bags]
     m, v, step = {k: np.zeros_like(p) for k, p in q.items()}, {k: np.zeros_like(p) for k, p in q.items()}, 0
     for epoch in range(epochs):
         order = rng.permutation(len(bags))
         for i in range(0, len(bags), batch):
             some = order[i : i + batch]
-            x = np.concatenate([bags[j] for j in some]).astype(np.float64)
+            x = (np.concatenate([bags[j] for j in some]) - shift) / scale
             starts = np.cumsum([0, *(len(bags[j]) for j in some[:-1])])
             grad, step = _gradients(q, x, starts, labels[some]), step + 1
             for k in q:
