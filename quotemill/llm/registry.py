@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quotemill.llm.scratch import prepare
 
 #: Query modules in ``quotemill.llm.queries``; each has NAME, run(spark, sf_dir) and ORACLE_SQL (None: not expressible).
-MODULES = ("op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10", "op12")
+MODULES = ("op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10", "op11", "op12", "op13")
 
 
 def _prepared(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
