@@ -156,7 +156,7 @@ def judge(docs: DataFrame) -> DataFrame:
     df = df.withColumn("counts", F.when(compared, F.slice(counts, F.lit(1), F.size("ref_words") + 1)))
     df = df.withColumn("class_divergence", F.when(compared, divergence(shares(F.array(*[F.col(f"n_{c}") for c in CLASSES])), F.col("ref_classes"))))
     df = df.withColumn("word_divergence", F.when(compared, divergence(shares(F.col("counts")), F.col("ref_shares"))))
-    slack = NOISE / F.col("n_words")
+    slack = NOISE / F.greatest("n_words", F.lit(1))
     far = (F.col("class_divergence") > MAX_CLASSES + slack) | (F.col("word_divergence") > MAX_WORDS + slack)
     verdicts = df.select(
         "doc_id", "n_words", "word_chars", F.col("n_symbol").alias("n_symbols"), "n_dup_lines", "n_repeat_words", "base_failed", "class_divergence", "word_divergence",
