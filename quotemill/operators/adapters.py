@@ -1,21 +1,27 @@
 """Batch adapters: run state kernels over ordered groups with ``applyInPandas``.
 
-Parallelism comes from the keys (asset, market, day, grid cell). A group is one
-ordered fold and must fit a task; long histories are keyed by day, and the state of
-one day can be handed to the next by calling the kernel with it.
+Parallelism comes from the keys (asset, market, day, grid cell) and, within a key, from
+what a kernel allows: averages are composed by ranges, filters run in overlapping
+blocks until these agree, books replay by segments between snapshots. A group is one
+ordered fold and must fit a task.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
-from itertools import chain
+import pickle
+import uuid
+from collections.abc import Callable
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
+from quotemill.operators import ranges
 from quotemill.operators.kernels import BasisKalman, BetaKalman, Book, Ema, FusedKalman, Observation
+from quotemill.sources import sinks
 
 
 def spread(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -30,15 +36,13 @@ def fold(df: DataFrame, keys: list[str], order: list[str], schema: str, fn: Call
     return spread(df, keys).groupBy(*keys).applyInPandas(lambda g: fn(g.sort_values(order, kind="stable").reset_index(drop=True)), schema)
 
 
-def ema(df: DataFrame, keys: list[str], order: list[str], value: str, alpha: float) -> DataFrame:
-    """keys, order columns and ``ema``, the exponential average over the group's rows."""
-    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in [*keys, *order])
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        k = Ema(alpha)
-        return g[[*keys, *order]].assign(ema=[k.step(x) for x in g[value]])
-
-    return fold(df, keys, order, kinds + ", ema double", run)
+def ema(df: DataFrame, keys: list[str], order: list[str], value: str, alpha: float, width: int = ranges.WIDTH) -> DataFrame:
+    """keys, order columns and ``ema``, the exponential average over the key's rows, by ranges of the first order column."""
+    Ema(alpha)  # the same bounds
+    rows = df.select(*keys, *[c for c in order if c not in keys], F.col(value).alias("_x"))
+    x = F.col("_x")
+    out = ranges.linear_recurrence(rows, keys, order, gain=F.lit(1 - alpha), offset=alpha * x, initial=x, name="ema", width=width)
+    return out.drop("_x")
 
 
 def _observed(g: pd.DataFrame) -> list[tuple[int, float, list[Observation]]]:
@@ -54,43 +58,95 @@ def _observed(g: pd.DataFrame) -> list[tuple[int, float, list[Observation]]]:
     return [(int(events[i]), now[i], seen[i:j]) for i, j in zip(cuts, cuts[1:]) if j > i]
 
 
-def _carried(states: DataFrame, key: str, schema: str, make: Callable[[], object], rows_of: Callable[[object, str, list], list[tuple]]) -> DataFrame:
-    """One pass over each key's events in order, batch by batch: the kernel alone is held, not the history."""
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kernel, current, rest = None, None, None
-        for df in chain(batches, [None]):
-            if df is None:
-                df, rest = rest, None
-            else:
-                df = df if rest is None else pd.concat([rest, df], ignore_index=True)
-                if len(df):  # the last event may go on in the next batch
-                    last = (df[key] == df[key].iloc[-1]) & (df["event_seq"] == df["event_seq"].iloc[-1])
-                    df, rest = df[~last], df[last]
-            if df is None or not len(df):
-                continue
-            out = []
-            for k, g in df.groupby(key, sort=False):
-                if kernel is None or k != current:
-                    kernel, current = make(), k
-                out += rows_of(kernel, k, _observed(g))
-            yield pd.DataFrame(out, columns=names)
+def agree(a: dict[str, float], b: dict[str, float], tolerance: float) -> bool:
+    """Whether two states hold the same names, and values that differ by the tolerance times their size at most."""
+    return a.keys() == b.keys() and all(abs(a[k] - b[k]) <= tolerance * max(1.0, abs(a[k]), abs(b[k])) for k in a)
 
-    return spread(states, [key]).sortWithinPartitions(key, "event_seq", "exchange").mapInPandas(run, schema)
 
+def in_blocks(states: DataFrame, key: str, schema: str, make: Callable[[], object], rows_of: Callable[[object, str, list], list[tuple]], view: Callable[[object], dict[str, float]], *, width: int, overlap: int, tolerance: float = 1e-11) -> DataFrame:
+    """A filter over each key's history, in blocks of event_seq that run at the same time.
 
-FUSED = "{k}, event_seq long, price double, fused double, gain double, q double, r double, p double"
-
-
-def fused_kalman(states: DataFrame, key: str, **config) -> DataFrame:
-    """The fused filter after each event; one filter for each key, its state carried through all of the key's history."""
+    A block begins ``overlap`` before its own events with a new filter, which forgets
+    how it began. Where the state at its first own event disagrees with the state that
+    the block before it ends in (``view``: a state as numbers by name), it is run again
+    from that one, until all blocks agree with those before them. So rows are those of
+    one run through the whole history, to the tolerance; a task holds one block. Blocks
+    are written to the shared folder as they settle.
+    """
+    spark = states.sparkSession
+    folder = f"{sinks.shared_folder(spark)}/blocks-{uuid.uuid4().hex}"
+    kind = states.schema[key].dataType.simpleString()
+    names = [c.split()[0] for c in schema.split(", ")]
+    block = F.floor(F.col("event_seq") / width)
+    dealt = states.withColumn("_own", block).withColumn("_block", F.explode(F.sequence(block, F.floor((F.col("event_seq") + overlap) / width))))
+    result = schema + ", _block long, _round int, _entry binary, _exit binary"
+
+    def run(_, rows: pd.DataFrame, seed: pd.DataFrame | None = None, turn: int = 0) -> pd.DataFrame:
+        k, at = rows[key].iloc[0], int(rows["_block"].iloc[0])
+        own = rows["_own"] == at
+        if not own.any():
+            return pd.DataFrame(columns=[*names, "_block", "_round", "_entry", "_exit"])
+        kernel = make()
+        if seed is not None:
+            kernel = pickle.loads(bytes(seed["_exit"].iloc[0]))
+        elif (~own).any():
+            rows_of(kernel, k, _observed(rows[~own]))
+        entry = pickle.dumps(view(kernel))
+        out = pd.DataFrame(rows_of(kernel, k, _observed(rows[own])), columns=names)
+        ends = pd.DataFrame([{key: k}], columns=names).assign(_entry=entry, _exit=pickle.dumps(kernel))
+        return pd.concat([out, ends], ignore_index=True).assign(_block=at, _round=turn)  # the last row has the states alone
+
+    def store(df: DataFrame, turn: int) -> DataFrame:
+        df.write.parquet(f"{folder}/{turn}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{turn}")
+
+    rounds = [store(spread(dealt, [key, "_block"]).groupBy(key, "_block").applyInPandas(lambda k, g: run(k, g), result), 0)]
+    by = Window.partitionBy(key).orderBy("_block")
+
+    @F.pandas_udf("boolean")
+    def differs(entry: pd.Series, before: pd.Series) -> pd.Series:
+        return pd.Series([b is not None and not agree(pickle.loads(bytes(a)), view(pickle.loads(bytes(b))), tolerance) for a, b in zip(entry, before)])
+
+    while True:
+        every = reduce(DataFrame.unionByName, rounds)
+        ends = every.where("_exit is not null").groupBy(key, "_block").agg(F.max_by(F.struct("_entry", "_exit"), "_round").alias("e"), F.max("_round").alias("_round")).select(key, "_block", "_round", "e.*")
+        chained = ends.withColumn("_before", F.lag("_exit").over(by))  # one row per block
+        again = chained.where(differs("_entry", "_before")).select(key, "_block", F.col("_before").alias("_exit"))
+        again = store(again, -len(rounds))
+        if again.isEmpty():
+            break
+        turn = len(rounds)
+        rows = dealt.where("_own = _block").join(again.select(key, "_block"), [key, "_block"], "left_semi")
+        done = rows.groupBy(key, "_block").cogroup(again.groupBy(key, "_block")).applyInPandas(lambda k, g, e, turn=turn: run(k, g, e, turn), result)
+        rounds.append(store(done, turn))
+    last = ends.select(F.col(key), "_block", "_round")
+    return every.where("_exit is null").join(last, [key, "_block", "_round"], "left_semi").select(F.col(key).cast(kind).alias(key), *[c for c in names if c != key])
+
+
+FUSED = "{k}, event_seq long, price double, fused double, gain double, q double, r double, p double, innovation double, weights string"
+
+
+def fused_kalman(states: DataFrame, key: str, *, width: int = 20_000, overlap: int = 4_000, **config) -> DataFrame:
+    """The fused filter after each event, with its diagnostics; one filter per key, by blocks (see ``in_blocks``).
+
+    price, fused (the fused observation), gain, q, r, p (variances), innovation (fused
+    less what was expected), weights (JSON by venue).
+    """
 
     def rows_of(kernel, k, events):
-        found = ((event, kernel.step(at, obs)) for event, at, obs in events)
-        return [(k, event, *(f[c] for c in ("price", "fused", "gain", "q", "r", "p"))) for event, f in found if f is not None]
+        rows = []
+        for event, at, obs in events:
+            prior = kernel.x
+            if (f := kernel.step(at, obs)) is not None:
+                rows.append((k, event, *(f[c] for c in ("price", "fused", "gain", "q", "r", "p")), f["fused"] - (f["fused"] if prior is None else prior), json.dumps(f["weights"], sort_keys=True)))
+        return rows
 
-    return _carried(states, key, FUSED.format(k=f"{key} {states.schema[key].dataType.simpleString()}"), lambda: FusedKalman(**config), rows_of)
+    def view(kernel):
+        if kernel.x is None:
+            return {}
+        return {"x": kernel.x, "p": kernel.p, "at": kernel.at, "fused": kernel.fused, "move": kernel.move} | {f"s_{v}": s for v, s in kernel.surprise.items()}
+
+    return in_blocks(states, key, FUSED.format(k=f"{key} {states.schema[key].dataType.simpleString()}"), partial(FusedKalman, **config), rows_of, view, width=width, overlap=overlap)
 
 
 class _Held:
@@ -100,8 +156,8 @@ class _Held:
         self.kernel, self.last = BasisKalman(**config), None
 
 
-def basis_kalman(states: DataFrame, key: str, hold: bool = True, **config) -> DataFrame:
-    """One row per event: price, stddev, basis (JSON by venue) and whether it is live or held; state as in ``fused_kalman``."""
+def basis_kalman(states: DataFrame, key: str, hold: bool = True, *, width: int = 20_000, overlap: int = 4_000, **config) -> DataFrame:
+    """One row per event: price, stddev, trace, basis and innovations (JSON by venue), and whether it is live or held; by blocks as in ``fused_kalman``."""
 
     def rows_of(held, k, events):
         rows = []
@@ -110,11 +166,19 @@ def basis_kalman(states: DataFrame, key: str, hold: bool = True, **config) -> Da
             if found is not None or (hold and held.last is not None):
                 held.last = found or held.last
                 x = held.last
-                rows.append((k, event, x["price"], x["stddev"], x["trace"], json.dumps(x["basis"], sort_keys=True), found is not None))
+                rows.append((k, event, x["price"], x["stddev"], x["trace"], json.dumps(x["basis"], sort_keys=True), json.dumps(x["innovations"], sort_keys=True), found is not None))
         return rows
 
+    def view(held):
+        kernel = held.kernel
+        if kernel.x is None:
+            return {}
+        at = {"common": 0} | kernel.index
+        return {"at": kernel.at} | {f"x_{v}": float(kernel.x[i]) for v, i in at.items()} | {f"p_{v}_{u}": float(kernel.P[i, j]) for v, i in at.items() for u, j in at.items()}
+
     kind = states.schema[key].dataType.simpleString()
-    return _carried(states, key, f"{key} {kind}, event_seq long, price double, stddev double, trace double, basis string, is_live boolean", lambda: _Held(**config), rows_of)
+    schema = f"{key} {kind}, event_seq long, price double, stddev double, trace double, basis string, innovations string, is_live boolean"
+    return in_blocks(states, key, schema, partial(_Held, **config), rows_of, view, width=width, overlap=overlap)
 
 
 def beta_kalman(df: DataFrame, key: str, order: list[str], features: list[str], target: str, *, warm: float = 0.3, ridge: float = 1e-6, delayed: int = 0) -> DataFrame:
@@ -158,17 +222,28 @@ def beta_kalman(df: DataFrame, key: str, order: list[str], features: list[str],
 BOOKS = "exchange string, market string, seq long, status string, bid double, bid_size double, ask double, ask_size double"
 
 
-def replay_books(observations: DataFrame, *, depth: int | None = None, sequenced: bool = False, checked: bool = False) -> DataFrame:
-    """Best levels after every book message; keyed by exchange, market and, if there, connection_epoch."""
+def replay_books(observations: DataFrame, *, depth: int | None = None, sequenced: bool = False, checked: bool = False, width: int = ranges.WIDTH) -> DataFrame:
+    """Best levels after every book message; keyed by exchange, market and, if there, connection_epoch.
+
+    A snapshot replaces all that a book held, so what lies between two of them is a
+    segment that replays on its own: a key's history is dealt over tasks by segment.
+    Messages before a key's first snapshot are dropped ones. After a gap in the
+    sequence or a wrong checksum (status resync) a book is invalid, and messages are
+    dropped, up to the next snapshot. A segment must fit a task; ``width`` is the range
+    of seq by which snapshots are counted.
+    """
     keys = ["exchange", "market", *(["connection_epoch"] if "connection_epoch" in observations.columns else [])]
+    rows = ranges.running_sum(observations, keys, ["seq"], (F.col("kind") == "snapshot").cast("long"), "_segment", width=width)
+    none = F.lit(None).cast("double")
+    early = rows.where("_segment = 0").select("exchange", "market", "seq", F.lit("dropped").alias("status"), *[none.alias(c) for c in ("bid", "bid_size", "ask", "ask_size")])
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        book, rows = Book(depth, sequenced, checked), []
+        book, out = Book(depth, sequenced, checked), []
         for r in g.itertuples():
             levels = [(x["side"], x["price"], x["size"], x["price_text"], x["size_text"]) for x in r.levels]
             status = book.step(r.kind, levels, None if pd.isna(getattr(r, "sequence", None)) else int(r.sequence), None if pd.isna(getattr(r, "checksum", None)) else int(r.checksum))
             best = book.best() if status == "ok" else (None,) * 4
-            rows.append((r.exchange, r.market, r.seq, status, *(None if b is None else float(b) for b in best)))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in BOOKS.split(", ")])
+            out.append((r.exchange, r.market, r.seq, status, *(None if b is None else float(b) for b in best)))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in BOOKS.split(", ")])
 
-    return fold(observations, keys, ["seq"], BOOKS, run)
+    return early.unionByName(fold(rows.where("_segment > 0"), [*keys, "_segment"], ["seq"], BOOKS, run))

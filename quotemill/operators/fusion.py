@@ -44,9 +44,20 @@ def composite(live: DataFrame, group: list[str], cap: float = 0.75, disagreement
     )
 
 
-def latest_states(events: DataFrame, venues: list[str], order: list[str]) -> DataFrame:
-    """After each event the last state of every venue: one row per event and venue seen so far."""
-    by = Window.partitionBy("market").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    held = [F.last(F.when(F.col("exchange") == v, F.struct("exchange", F.col("ts_ms").alias("state_ts_ms"), "fair_value", "variance")), ignorenulls=True).over(by) for v in venues]
-    rows = events.select("market", F.col("seq").alias("event_seq"), F.col("ts_ms").alias("now_ms"), F.array(*held).alias("held"))
+def latest_states(events: DataFrame, venues: list[str], order: list[str], width: int = 5_000) -> DataFrame:
+    """After each event the last state of every venue in ``venues``: one row per event and venue seen so far.
+
+    Rows are dealt by market and range of the first order column, ``width`` long; a
+    range starts from the last states before it, carried over one row per range.
+    """
+    events = events.withColumn("_range", F.floor(F.col(order[0]) / width))
+    state = F.struct("exchange", F.col("ts_ms").alias("state_ts_ms"), "fair_value", "variance")
+    own = [F.when(F.col("exchange") == v, state) for v in venues]
+    ends = events.groupBy("market", "_range").agg(*[F.max_by(s, F.when(s.isNotNull(), F.struct(*order))).alias(f"_e{i}") for i, s in enumerate(own)])
+    before = Window.partitionBy("market").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    seeds = ends.select("market", "_range", *[F.last(f"_e{i}", ignorenulls=True).over(before).alias(f"_s{i}") for i in range(len(venues))])
+    inside = Window.partitionBy("market", "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = events.join(seeds, ["market", "_range"])
+    held = [F.coalesce(F.last(s, ignorenulls=True).over(inside), F.col(f"_s{i}")) for i, s in enumerate(own)]
+    rows = rows.select("market", F.col("seq").alias("event_seq"), F.col("ts_ms").alias("now_ms"), F.array(*held).alias("held"))
     return rows.select("market", "event_seq", "now_ms", F.explode(F.filter("held", lambda s: s.isNotNull())).alias("s")).select("market", "event_seq", "now_ms", "s.*")

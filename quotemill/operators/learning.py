@@ -1,36 +1,41 @@
 """Folds, standardisation, linear models from sufficient statistics, and metrics.
 
 Ridge and OLS never collect rows: each fold reduces to X'X and X'y sums, of a size
-set by the number of features alone, and the small systems are solved on the driver.
+set by the number of features alone, and these small systems are solved by the
+executors, a row each. Row numbers are counted by ranges (see ``ranges``), so a key's
+history is never in one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quotemill.operators import ranges
+
 
 def fold_table(n: int, train: int, test: int, step: int) -> list[tuple[int, int, int, int]]:
     """(fold, first training row, first test row, end) by row number from 0."""
     return [(k, a, a + train, a + train + test) for k, a in enumerate(range(0, n - train - test + 1, step))]
 
 
-def walk_forward(df: DataFrame, key: str, order: list[str], train: int, test: int, step: int) -> DataFrame:
-    """Every row once for each fold it is in, with ``fold`` and ``is_test``."""
-    i = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
-    n = F.count("*").over(Window.partitionBy(key))
-    df = df.withColumn("_i", i).withColumn("_n", n)
+def walk_forward(df: DataFrame, key: str, order: list[str], train: int, test: int, step: int, width: int = ranges.WIDTH) -> DataFrame:
+    """Every row once for each fold it is in, with ``fold`` and ``is_test``; ``width``: see ``ranges``."""
+    df = ranges.numbered(df, [key], order, "_i", total="_n", width=width).withColumn("_i", F.col("_i") - 1)
     low = F.greatest(F.lit(0), F.ceil((F.col("_i") - (train + test) + 1) / step))
     high = F.least(F.floor(F.col("_i") / step), F.floor((F.col("_n") - train - test) / step))
     df = df.where((F.col("_n") >= train + test) & (low <= high)).withColumn("fold", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
     return df.withColumn("is_test", F.col("_i") >= F.col("fold") * step + train).drop("_i", "_n")
 
 
-def temporal_split(df: DataFrame, key: str, order: list[str], share: float) -> DataFrame:
-    by = Window.partitionBy(key)
-    i = F.row_number().over(by.orderBy(*order))
-    return df.withColumn("is_test", i > F.floor(F.count("*").over(by) * share))
+def temporal_split(df: DataFrame, key: str, order: list[str], share: float, width: int = ranges.WIDTH) -> DataFrame:
+    """``is_test`` marks each key's rows after its first ``share``."""
+    df = ranges.numbered(df, [key], order, "_i", total="_n", width=width)
+    return df.withColumn("is_test", F.col("_i") > F.floor(F.col("_n") * share)).drop("_i", "_n")
 
 
 def standardised(df: DataFrame, groups: list[str], features: list[str], clip: float = 5.0) -> DataFrame:
@@ -46,36 +51,49 @@ def standardised(df: DataFrame, groups: list[str], features: list[str], clip: fl
 
 
 def ridge(df: DataFrame, groups: list[str], features: list[str], target: str, alpha: float = 1.0) -> DataFrame:
-    """Coefficients per group: (groups, intercept, coefficients) fitted on rows where not is_test.
+    """Coefficients per group: (groups, intercept, coefficients, t_values) fitted on rows where not is_test.
 
-    The intercept is not penalised. One pass sums the products; groups are as many as
-    folds and venues, so their systems are small and few.
+    The intercept is not penalised. One pass sums the products; each group's system is
+    solved where its sums are. t_values are those of ordinary least squares, the
+    intercept's first; null where ``alpha`` is not 0 or no degree of freedom is left.
     """
     cols = ["1", *features]
-    expr = {c: (F.lit(1.0) if c == "1" else F.col(c)) for c in cols}
-    sums = [F.sum(expr[a] * expr[b]).alias(f"x{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i]
-    sums += [F.sum(expr[a] * F.col(target)).alias(f"y{i}") for i, a in enumerate(cols)]
-    rows = df.where("not is_test").groupBy(*groups).agg(*sums).collect()
-    out = []
-    for r in rows:
-        A = np.array([[r[f"x{min(i, j)}_{max(i, j)}"] for j in range(len(cols))] for i in range(len(cols))], dtype=float)
-        b = np.array([r[f"y{i}"] for i in range(len(cols))], dtype=float)
-        penalty = np.eye(len(cols)) * alpha
+    expr = {c: (F.lit(1.0) if c == "1" else F.col(c).cast("double")) for c in cols}
+    y = F.col(target).cast("double")
+    gram = F.array(*[F.sum(expr[a] * expr[b]) for a in cols for b in cols])
+    sums = df.where("not is_test").groupBy(*groups).agg(gram.alias("_xx"), F.array(*[F.sum(expr[a] * y) for a in cols]).alias("_xy"), F.sum(y * y).alias("_yy"), F.count("*").alias("_rows"))
+    k = len(cols)
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        penalty = np.eye(k) * alpha
         penalty[0, 0] = 0
-        w = np.linalg.lstsq(A + penalty, b, rcond=None)[0]
-        out.append((*[r[g] for g in groups], float(w[0]), [float(x) for x in w[1:]]))
+        for d in batches:
+            found = []
+            for xx, xy, yy, n in zip(d["_xx"], d["_xy"], d["_yy"], d["_rows"]):
+                A, b = np.array(xx, dtype=float).reshape(k, k), np.array(xy, dtype=float)
+                w = np.linalg.lstsq(A + penalty, b, rcond=None)[0]
+                t = None
+                if alpha == 0 and n > k:
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        t = (w / np.sqrt(np.maximum(yy - w @ b, 0) / (n - k) * np.diag(np.linalg.pinv(A)))).tolist()
+                found.append((float(w[0]), w[1:].tolist(), t))
+            yield d[groups].assign(intercept=[f[0] for f in found], coefficients=[f[1] for f in found], t_values=[f[2] for f in found])
+
     kinds = ", ".join(f"{g} {df.schema[g].dataType.simpleString()}" for g in groups)
-    return df.sparkSession.createDataFrame(out, kinds + ", intercept double, coefficients array<double>")
+    return sums.mapInPandas(solve, kinds + ", intercept double, coefficients array<double>, t_values array<double>")
 
 
 def predicted(df: DataFrame, models: DataFrame, groups: list[str], features: list[str]) -> DataFrame:
+    """``df`` with the prediction of its group's model; Spark broadcasts the models where their size allows."""
     score = sum((F.col("coefficients")[i] * F.col(f) for i, f in enumerate(features)), F.col("intercept"))
-    return df.join(F.broadcast(models), groups).withColumn("predicted", score).drop("intercept", "coefficients")
+    return df.join(models.select(*groups, "intercept", "coefficients"), groups).withColumn("predicted", score).drop("intercept", "coefficients")
 
 
-def regression_metrics(y: Column, p: Column) -> dict[str, Column]:
+def regression_metrics(y: Column, p: Column, confident: Column | None = None) -> dict[str, Column]:
+    """R2, share of right signs, the same among ``confident`` rows, and rows."""
+    right = (F.signum(y) == F.signum(p)).cast("double")
     sse, sst = F.sum((y - p) * (y - p)), F.sum(y * y) - F.sum(y) * F.avg(y)
-    return {"r2": F.when(sst > 0, 1 - sse / sst), "direction": F.avg((F.signum(y) == F.signum(p)).cast("double")), "n": F.count("*")}
+    return {"r2": F.when(sst > 0, 1 - sse / sst), "direction": F.avg(right), "confident_direction": F.avg(F.when(confident, right)) if confident is not None else F.avg(right), "n": F.count("*")}
 
 
 def auc(df: DataFrame, groups: list[str], score: str, label: str) -> DataFrame:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quotemill.operators import ranges
+
 
 def mae(x: Column) -> Column:
     return F.avg(F.abs(x))
@@ -65,10 +67,10 @@ def concentration(df: DataFrame, keys: list[str], loss: str, order: list[str], s
     return df.groupBy(*keys).agg(*[F.try_divide(F.max(F.when(F.col("_i") == at, F.col("_c"))), F.sum(loss)).alias(f"top_{int(p * 100)}") for p, at in last.items()])
 
 
-def lagged_correlations(df: DataFrame, x: str, y: str, order: list[str], lags: range, least: int) -> DataFrame:
-    """corr(x at t, y at t + lag) over complete pairs, one row for each lag."""
-    by = Window.partitionBy(F.lit(0)).orderBy(*order)
-    shifted = df.select(x, *[F.lead(y, k).over(by).alias(f"_y{i}") if k >= 0 else F.lag(y, -k).over(by).alias(f"_y{i}") for i, k in enumerate(lags)])
+def lagged_correlations(df: DataFrame, x: str, y: str, order: list[str], lags: range, least: int, width: int = ranges.WIDTH) -> DataFrame:
+    """corr(x at t, y at t + lag) over complete pairs, one row for each lag; rows are dealt by ranges of their numbers."""
+    rows = ranges.numbered(df.select(x, y, *order), [], order, "_no", width=width)
+    shifted = ranges.neighbours(rows, "_no", {f"_y{i}": (y, k) for i, k in enumerate(lags)})
     cols = []
     for i in range(len(lags)):
         both = F.col(x).isNotNull() & F.col(f"_y{i}").isNotNull()

@@ -145,7 +145,6 @@ def _(s, d):
     return fusion.capped_weights(a, ["day"], "iv", "exchange", 0.3).select("day", "exchange", F.round("capped_weight", 8).alias("capped_weight"))
 
 
-VENUES = ["click", "error", "purchase", "signup", "view"]
 STATES = f"""WITH {FAIR}, f AS (SELECT seq, ts_ms, exchange, fair_value, variance FROM fair WHERE variance IS NOT NULL), v AS (SELECT DISTINCT exchange FROM f),
  g AS (SELECT e.seq AS event_seq, e.ts_ms AS now_ms, v.exchange FROM f e CROSS JOIN v),
  st AS (SELECT g.event_seq, g.now_ms, g.exchange, f.ts_ms AS state_ts_ms, f.fair_value, f.variance FROM g ASOF JOIN f ON g.exchange = f.exchange AND g.event_seq >= f.seq),
@@ -154,8 +153,7 @@ STATES = f"""WITH {FAIR}, f AS (SELECT seq, ts_ms, exchange, fair_value, varianc
 
 def _live(s, d):
     e = domain.fair(s, d).where("variance is not null").withColumn("market", (F.col("ts_ms") * 0).cast("string"))
-    names = [r[0] for r in e.select("exchange").distinct().orderBy("exchange").collect()]  # venues: a handful
-    return fusion.live_states(fusion.latest_states(e, names, ["seq"]), "now_ms", 6 * HOUR, 0.1)
+    return fusion.live_states(fusion.latest_states(e, domain.VENUES, ["seq"]), "now_ms", 6 * HOUR, 0.1)
 
 
 @add("fu2_live_set", f"{STATES} SELECT event_seq, exchange, age_ms, round(ln(ev), 7) AS log_effective FROM lv")
@@ -181,5 +179,4 @@ def _(s, d):
 @add("fu6_upsert_latest", f"{STATES} SELECT event_seq, count(*) AS venues, max(state_ts_ms) AS newest_ms FROM st GROUP BY 1")
 def _(s, d):
     e = domain.fair(s, d).where("variance is not null").withColumn("market", (F.col("ts_ms") * 0).cast("string"))
-    names = [r[0] for r in e.select("exchange").distinct().orderBy("exchange").collect()]
-    return fusion.latest_states(e, names, ["seq"]).groupBy("event_seq").agg(F.count("*").alias("venues"), F.max("state_ts_ms").alias("newest_ms"))
+    return fusion.latest_states(e, domain.VENUES, ["seq"]).groupBy("event_seq").agg(F.count("*").alias("venues"), F.max("state_ts_ms").alias("newest_ms"))

@@ -225,10 +225,10 @@ def _(s, d):
     return simulators.maker(rows, ["exchange"], ["half_spread", "drift_coef"], latency_ms=1000).select("exchange", "seq", "side", "price", "inventory", "equity")
 
 
-@add("pipe1_single_venue")
+@add("pipe1_single_venue", models.EMA.format(with_=domain.FAIR + ", f AS (SELECT * FROM fair WHERE variance IS NOT NULL)", x="fair_value", src="f", k="exchange"))
 def _(s, d):
     f = domain.fair(s, d).where("variance is not null")
-    return adapters.ema(f, ["exchange"], ["seq"], "fair_value", 0.2)
+    return adapters.ema(f, ["exchange"], ["seq"], "fair_value", 0.2, width=2_000).withColumn("ema", F.round("ema", 7))
 
 
 @add("pipe2_composite_and_kalman")

@@ -234,27 +234,32 @@ def _(s, d):
     return learning.temporal_split(domain.tape(s, d), "exchange", ["seq"], 0.8).select("seq", "is_test")
 
 
-@add("fv6_ema")
+#: An average's weights shrink by 0.8 a row: what is more than 200 rows back is below the precision of a double.
+EMA = """WITH {with_}, w AS (SELECT list_transform(range(200, -1, -1), lambda k: 0.2::DOUBLE * pow(0.8::DOUBLE, k)) AS w),
+ r AS (SELECT {k}, seq, row_number() OVER o - 1 AS i, first_value({x}) OVER o AS x0, list({x}) OVER (PARTITION BY {k} ORDER BY seq ROWS 200 PRECEDING) AS xs FROM {src} WINDOW o AS (PARTITION BY {k} ORDER BY seq))
+ SELECT {k}, seq, round(list_dot_product(xs, w[202 - len(xs):]) + pow(0.8::DOUBLE, i + 1) * x0, 7) AS ema FROM r, w"""
+
+
+@add("fv6_ema", EMA.format(with_=MEASURES, x="mid", src="measures", k="market"))
 def _(s, d):
-    return adapters.ema(domain.measures(s, d), ["market"], ["seq"], "mid", 0.2)
+    return adapters.ema(domain.measures(s, d), ["market"], ["seq"], "mid", 0.2, width=2_000).withColumn("ema", F.round("ema", 7))
 
 
 def _states(s, d):
     """States after each event of a market: its filters run through its whole history."""
     e = domain.fair(s, d).where("variance is not null")
-    names = [r[0] for r in e.select("exchange").distinct().orderBy("exchange").collect()]  # venues: a handful
-    states = fusion.latest_states(e, names, ["seq"])
+    states = fusion.latest_states(e, domain.VENUES, ["seq"])
     return states.withColumn("age_ms", (F.col("now_ms") - F.col("state_ts_ms")).cast("double"))
 
 
 @add("kf6_fused_kalman")
 def _(s, d):
-    return adapters.fused_kalman(_states(s, d), "market", cutoff_ms=6.0 * HOUR)
+    return adapters.fused_kalman(_states(s, d), "market", cutoff_ms=6.0 * HOUR, width=4_000, overlap=4_000)
 
 
 @add("bf6_basis_kalman")
 def _(s, d):
-    return adapters.basis_kalman(_states(s, d), "market", anchor="click", order=("click", "view"), cutoff_ms=6.0 * HOUR)
+    return adapters.basis_kalman(_states(s, d), "market", anchor="click", order=("click", "view"), cutoff_ms=6.0 * HOUR, width=4_000, overlap=2_000)
 
 
 def _maker_rows(s, d):
