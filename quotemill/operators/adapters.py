@@ -100,6 +100,9 @@ def in_blocks(states: DataFrame, key: str, schema: str, make: Callable[[], objec
         df.write.parquet(f"{folder}/{turn}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{turn}")
 
+    def again_from(turn: int) -> Callable:
+        return lambda k, rows, seed: run(k, rows, seed, turn)
+
     rounds = [store(spread(dealt, [key, "_block"]).groupBy(key, "_block").applyInPandas(lambda k, g: run(k, g), result), 0)]
     by = Window.partitionBy(key).orderBy("_block")
 
@@ -117,7 +120,7 @@ def in_blocks(states: DataFrame, key: str, schema: str, make: Callable[[], objec
             break
         turn = len(rounds)
         rows = dealt.where("_own = _block").join(again.select(key, "_block"), [key, "_block"], "left_semi")
-        done = rows.groupBy(key, "_block").cogroup(again.groupBy(key, "_block")).applyInPandas(lambda k, g, e, turn=turn: run(k, g, e, turn), result)
+        done = rows.groupBy(key, "_block").cogroup(again.groupBy(key, "_block")).applyInPandas(again_from(turn), result)
         rounds.append(store(done, turn))
     last = ends.select(F.col(key), "_block", "_round")
     return every.where("_exit is null").join(last, [key, "_block", "_round"], "left_semi").select(F.col(key).cast(kind).alias(key), *[c for c in names if c != key])
