@@ -45,7 +45,7 @@ def words_of(text: Column) -> Column:
     spaced = F.coalesce(text, F.lit(""))
     for c in SPACE:
         spaced = F.replace(spaced, F.lit(c), F.lit(" "))
-    return F.filter(F.split(spaced, " "), lambda w: w != "")
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def divergence(p: Column, q: Column) -> Column:
@@ -150,7 +150,8 @@ def judge(docs: DataFrame) -> DataFrame:
     df = repeated_words(df.select("*", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines")).drop("text", "lines"))
     df = df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     compared = ~F.col("base_failed") & F.col("ref_lang").isNotNull()
-    code = F.transform("words", lambda w: F.substr(F.lit(_CODES), F.array_position("ref_words", F.lower(w)).cast("int") + 1, F.lit(1)))
+    letters = F.array(*[F.lit(c) for c in _CODES])
+    code = F.transform("words", lambda w: F.get(letters, F.array_position("ref_words", F.lower(w)).cast("int")))
     df = df.withColumn("codes", F.when(compared, F.array_join(code, "")))
     counts = F.array(*[(F.length("codes") - F.length(F.replace("codes", F.lit(c), F.lit("")))).cast("long") for c in _CODES[: COMMON + 1]])
     df = df.withColumn("counts", F.when(compared, F.slice(counts, F.lit(1), F.size("ref_words") + 1)))
