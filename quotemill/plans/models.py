@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quotemill.functions import quotes as q
-from quotemill.operators import adapters, align, fusion, learning, normalize, simulators, stats
+from quotemill.operators import adapters, align, fusion, learning, normalize, ranges, simulators, stats
 from quotemill.operators import windows as w
 from quotemill.plans import domain
 from quotemill.plans.book import QueryBook
@@ -378,14 +378,30 @@ def _(s, d):
     return t.groupBy("exchange", "epoch").agg(F.max(F.when(F.col("side") == "buy", F.col("level"))).alias("bid"), F.min(F.when(F.col("side") == "sell", F.col("level"))).alias("ask"))
 
 
-@add("bk5_book_replay")
+#: A tape as book messages: every 40th is a snapshot of five levels, others change one level; each 97th skips a sequence number.
+BOOK = TAPE + f""", msg AS (SELECT exchange, seq, side, row_number() OVER o AS i, (row_number() OVER o) % 40 = 1 AS snap, seq % 97 = 0 AS gap, round(price) AS level, CASE WHEN size < 10 THEN 0 ELSE size END AS size FROM tape WINDOW o AS (PARTITION BY exchange ORDER BY seq)),
+ seg AS (SELECT *, sum(snap::INT) OVER (PARTITION BY exchange ORDER BY seq) AS segment FROM msg),
+ st AS (SELECT *, sum((gap AND NOT snap)::INT) OVER (PARTITION BY exchange, segment ORDER BY seq) AS gaps, gap AND NOT snap AS hit FROM seg),
+ lv AS (SELECT exchange, segment, seq, side, level, size FROM st WHERE NOT snap UNION ALL
+   SELECT exchange, segment, seq, CASE WHEN k % 2 = 0 THEN 'buy' ELSE 'sell' END, level + k, size + k FROM st, generate_series(0, 4) g(k) WHERE snap),
+ held AS (SELECT m.exchange, m.seq, l.side, l.level, arg_max(l.size, l.seq) AS size FROM st m JOIN lv l ON m.exchange = l.exchange AND m.segment = l.segment AND l.seq <= m.seq WHERE m.gaps = 0 GROUP BY ALL)"""
+
+
+def _book_messages(s, d):
+    t = ranges.numbered(domain.tape(s, d), ["exchange"], ["seq"], "i")
+    snap, size = F.col("i") % 40 == 1, F.when(F.col("size") < 10, 0.0).otherwise(F.col("size"))
+    text = F.lit("0")
+    one = F.struct("side", F.round("price").alias("price"), size.alias("size"), text.alias("price_text"), text.alias("size_text"))
+    five = F.array(*[F.struct(F.lit("buy" if k % 2 == 0 else "sell").alias("side"), (F.round("price") + k).alias("price"), (size + k).alias("size"), text.alias("price_text"), text.alias("size_text")) for k in range(5)])
+    t = t.select("exchange", F.lit("m").alias("market"), "seq", F.when(snap, "snapshot").otherwise("delta").alias("kind"), F.when(snap, five).otherwise(F.array(one)).alias("levels"))
+    gaps = ranges.running_sum(t, ["exchange"], ["seq"], (F.col("seq") % 97 == 0).cast("long"), "skipped")
+    return ranges.numbered(gaps, ["exchange"], ["seq"], "sequence").withColumn("sequence", F.col("sequence") + F.col("skipped"))
+
+
+@add("bk5_book_replay", f"""WITH {BOOK}, best AS (SELECT exchange, seq, max(level) FILTER (side = 'buy') AS bid, arg_max(size, level) FILTER (side = 'buy') AS bid_size, min(level) FILTER (side = 'sell') AS ask, arg_min(size, level) FILTER (side = 'sell') AS ask_size FROM held WHERE size > 0 GROUP BY ALL)
+SELECT st.exchange, st.seq, CASE WHEN gaps = 0 THEN 'ok' WHEN hit AND gaps = 1 THEN 'resync' ELSE 'dropped' END AS status, bid, bid_size, ask, ask_size FROM st LEFT JOIN best USING (exchange, seq)""")
 def _(s, d):
-    t = domain.tape(s, d).withColumn("epoch", F.floor(F.col("ts_ms") / DAY))
-    first = F.row_number().over(Window.partitionBy("exchange", "epoch").orderBy("seq")) == 1
-    text = F.col("price").cast("string")
-    level = F.struct("side", F.round("price").alias("price"), F.when(F.col("size") < 10, 0.0).otherwise(F.col("size")).alias("size"), text.alias("price_text"), F.col("size").cast("string").alias("size_text"))
-    rows = t.withColumn("kind", F.when(first, "snapshot").otherwise("delta")).withColumn("levels", F.array(level))
-    return adapters.replay_books(rows.withColumn("market", F.col("epoch").cast("string")).select("exchange", "market", "seq", "kind", "levels"), depth=10)
+    return adapters.replay_books(_book_messages(s, d), sequenced=True).select("exchange", "seq", "status", "bid", "bid_size", "ask", "ask_size")
 
 
 @add("sc1_scalar_math", f"WITH {TAPE} SELECT seq, round(sqrt(abs(price)), 8) AS root, sign(size - 50)::DOUBLE AS s, CASE WHEN size < 50 THEN -abs(price) ELSE abs(price) END AS signed, (ts_ms // {DAY}) % 7 AS dow, ts_ms // {HOUR} * {HOUR} AS hour_ms FROM tape")
