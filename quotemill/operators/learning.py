@@ -43,26 +43,63 @@ def standardised(df: DataFrame, groups: list[str], features: list[str], clip: fl
     train = ~F.col("is_test")
     moments = [m for f in features for m in (F.avg(F.when(train, F.col(f))).alias(f"_m_{f}"), F.stddev_pop(F.when(train, F.col(f))).alias(f"_s_{f}"))]
     df = df.join(df.groupBy(*groups).agg(*moments), groups)
+    scaled = {}
     for f in features:
         sd = F.when(F.coalesce(F.col(f"_s_{f}"), F.lit(0.0)) == 0, 1.0).otherwise(F.col(f"_s_{f}"))
         z = (F.col(f) - F.col(f"_m_{f}")) / sd
-        df = df.withColumn(f, F.when(F.col("is_test"), F.least(F.greatest(z, F.lit(-clip)), F.lit(clip))).otherwise(z))
+        scaled[f] = F.when(F.col("is_test"), F.least(F.greatest(z, F.lit(-clip)), F.lit(clip))).otherwise(z)
+    df = df.withColumns(scaled)
     return df.drop(*[f"_{k}_{f}" for f in features for k in "ms"])
 
 
+#: Up to so many columns their products are summed by expressions; beyond it plans of their square would be too large.
+_EXPRESSIONS = 8
+_HELD_GROUPS = 500
+
+
+def _moments(df: DataFrame, groups: list[str], features: list[str], target: str) -> DataFrame:
+    """Per group _xx (products of a constant and the features, flattened), _xy, _yy and _rows."""
+    cols = [F.lit(1.0), *[F.col(f).cast("double") for f in features]]
+    y = F.col(target).cast("double")
+    if len(cols) <= _EXPRESSIONS:
+        xx, xy = F.array(*[F.sum(a * b) for a in cols for b in cols]), F.array(*[F.sum(a * y) for a in cols])
+        return df.groupBy(*groups).agg(xx.alias("_xx"), xy.alias("_xy"), F.sum(y * y).alias("_yy"), F.count("*").alias("_rows"))
+    kinds = ", ".join(f"{g} {df.schema[g].dataType.simpleString()}" for g in groups)
+    schema = kinds + ", _xx array<double>, _xy array<double>, _yy double, _rows long"
+
+    def row(key: tuple, m: np.ndarray, n: int) -> tuple:  # m: products of (1, features, target)
+        return (*key, m[:-1, :-1].ravel().tolist(), m[:-1, -1].tolist(), float(m[-1, -1]), n)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, list] = {}
+        names = [*groups, "_xx", "_xy", "_yy", "_rows"]
+        for d in batches:
+            for key, g in d.groupby(groups, sort=False, dropna=False):
+                z = np.column_stack([np.ones(len(g)), g[[*features, target]].to_numpy(float)])
+                m = held.setdefault(key, [0.0, 0])
+                m[0], m[1] = m[0] + z.T @ z, m[1] + len(g)
+            if len(held) > _HELD_GROUPS:
+                yield pd.DataFrame([row(key, *m) for key, m in held.items()], columns=names)
+                held = {}
+        yield pd.DataFrame([row(key, *m) for key, m in held.items()], columns=names)
+
+    def total(g: pd.DataFrame) -> pd.DataFrame:  # a row for each partition that held some of the group
+        out = g[groups].iloc[:1].reset_index(drop=True)
+        return out.assign(_xx=[np.sum(g["_xx"].tolist(), axis=0).tolist()], _xy=[np.sum(g["_xy"].tolist(), axis=0).tolist()], _yy=g["_yy"].sum(), _rows=g["_rows"].sum())
+
+    used = df.select(*groups, *[F.col(f).cast("double").alias(f) for f in features], y.alias(target))
+    return used.mapInPandas(partial, schema).groupBy(*groups).applyInPandas(total, schema)
+
+
 def ridge(df: DataFrame, groups: list[str], features: list[str], target: str, alpha: float = 1.0) -> DataFrame:
     """Coefficients per group: (groups, intercept, coefficients, t_values) fitted on rows where not is_test.
 
-    The intercept is not penalised. One pass sums the products; each group's system is
-    solved where its sums are. t_values are those of ordinary least squares, the
+    The intercept is not penalised. One pass sums the products, combined before they are
+    shuffled; each group's system is solved where its sums are. t_values are those of ordinary least squares, the
     intercept's first; null where ``alpha`` is not 0 or no degree of freedom is left.
     """
-    cols = ["1", *features]
-    expr = {c: (F.lit(1.0) if c == "1" else F.col(c).cast("double")) for c in cols}
-    y = F.col(target).cast("double")
-    gram = F.array(*[F.sum(expr[a] * expr[b]) for a in cols for b in cols])
-    sums = df.where("not is_test").groupBy(*groups).agg(gram.alias("_xx"), F.array(*[F.sum(expr[a] * y) for a in cols]).alias("_xy"), F.sum(y * y).alias("_yy"), F.count("*").alias("_rows"))
-    k = len(cols)
+    k = len(features) + 1
+    sums = _moments(df.where("not is_test"), groups, features, target)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         penalty = np.eye(k) * alpha

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("relational", "joins", "fairvalue", "statistics", "models", "messages", "feeds")
+MODULES = ("relational", "joins", "fairvalue", "statistics", "models", "messages", "feeds", "live")
 
 
 def _books() -> list:
