@@ -13,7 +13,7 @@ from quotemill.llm.mil import quality_score, train
 from quotemill.llm.packing import pack_documents
 from quotemill.llm.queries.op8 import tokenizer_path
 from quotemill.llm.recompress import remove_repeats
-from quotemill.llm.scratch import materialize, prepare, release, scope
+from quotemill.llm.scratch import drop, materialize, prepare, release_stored, scope, served, written_at
 from quotemill.llm.similar import similar_classes
 from quotemill.session import load, with_worker_path
 
@@ -61,25 +61,43 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, tokenizer_path(), capacity=2048)
 
 
-def _staged(stage: Callable[..., DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """The stage; it begins by deleting the tables of earlier stages, whose results are stored by then."""
+_ORDER = (quality, line_dedup, near_dedup, substring_dedup, packing)
+
+
+def _staged(place: int) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage as a function of its own.
+
+    What it returns reads tables in the shared folder. They go when the next stage is
+    given a table that was written after this one returned: its result is stored then.
+    Results that no later stage follows keep their tables.
+    """
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(spark, "corpus-stage")
-        with scope("corpus-stage"):
-            return stage(spark, docs, sf_dir)
+        if place:
+            release_stored(spark, _ORDER[place - 1].__name__, written_at(docs))
+        with scope() as paths:
+            out = _ORDER[place](spark, docs, sf_dir)
+        served(spark, _ORDER[place].__name__, paths)
+        return out
 
     return run_stage
 
 
-STAGES = [(f.__name__, _staged(f)) for f in (quality, line_dedup, near_dedup, substring_dedup, packing)]
+STAGES = [(f.__name__, _staged(i)) for i, f in enumerate(_ORDER)]
 
 #: No stage's learning, fingerprints or tokens can be put in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages; a stage's tables, and its input, go as soon as its output is stored."""
+    docs, before = load(spark, sf_dir, "documents"), []
+    for stage in _ORDER[:-1]:
+        with scope() as paths:
+            kept = stage(spark, docs, sf_dir)
+        with scope() as stored:
+            docs = materialize(kept, f"stage-{stage.__name__}")
+        for path in (*paths, *before):
+            drop(spark, path)
+        before = stored
+    return _ORDER[-1](spark, docs, sf_dir)

@@ -8,6 +8,7 @@ master is local, as in tests.
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 _KEY = "spark.checkpoint.dir"
 _OWN = "/tmp/checkpoints/quotemill"
 _scopes: list[list[str]] = []
-_finished: dict[str, list[str]] = {}
+_finished: dict[tuple[str, str], list[tuple[float, list[str]]]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -68,16 +69,38 @@ def discard(*tables: DataFrame) -> None:
 
 
 @contextmanager
-def scope(name: str) -> Iterator[None]:
-    """Tables written inside belong to ``name`` and go with ``release(name)``."""
-    _scopes.append([])
+def scope() -> Iterator[list[str]]:
+    """The paths of all tables written inside; whoever stores the result may ``drop`` them after that."""
+    paths: list[str] = []
+    _scopes.append(paths)
     try:
-        yield
+        yield paths
     finally:
-        _finished.setdefault(name, []).extend(_scopes.pop())
-
-
-def release(spark: SparkSession, name: str) -> None:
-    """Delete the tables of finished scopes of that name; call once their results are stored."""
-    for path in _finished.pop(name, []):
-        drop(spark, path)
+        _scopes.pop()
+
+
+def served(spark: SparkSession, name: str, paths: list[str]) -> None:
+    """Note that a result called ``name``, returned now, reads these tables."""
+    _finished.setdefault((spark.sparkContext.applicationId, name), []).append((time.time(), paths))
+
+
+def release_stored(spark: SparkSession, name: str, stored: float) -> None:
+    """Delete the tables of results of that name that were returned before ``stored`` (seconds), when a table was written from them."""
+    key = (spark.sparkContext.applicationId, name)
+    held = _finished.pop(key, [])
+    _finished[key] = [(at, paths) for at, paths in held if at >= stored]
+    for at, paths in held:
+        if at < stored:
+            for path in paths:
+                drop(spark, path)
+
+
+def written_at(df: DataFrame) -> float:
+    """When the newest file that ``df`` reads was written; 0 if it reads none."""
+    spark = df.sparkSession
+    conf, path = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    newest = 0
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        at = path(folder)
+        newest = max(newest, at.getFileSystem(conf).getFileStatus(at).getModificationTime())
+    return newest / 1000.0

@@ -56,3 +56,37 @@ def test_run_matches_brute_force(spark, tmp_path):
         want[i] = (len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
     got = {r.doc_id: (r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def small_tables(spark, tmp_path, texts, ids=None):
+    docs = [(i, t, "en", "s", None if t is None else len(t)) for i, t in zip(ids or range(len(texts)), texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(d[0], int(not (d[1] or "").isupper()), 0) for d in docs if d[0] is not None], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+def test_results_of_stages_and_runs_live_side_by_side(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    prose = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 4000, n))
+    texts = [prose(90) + "\n" + prose(60) for _ in range(10)] + ["LOUD!! WORDS!! " * 30] * 4
+    sf = small_tables(spark, tmp_path, [*texts, texts[0]])
+    docs = load(spark, sf, "documents")
+    stages = dict(corpus_pipeline.STAGES)
+    a, b = stages["line_dedup"](spark, docs, sf), stages["line_dedup"](spark, docs, sf)
+    assert b.count() == a.count() == 15
+    a.write.parquet(f"{tmp_path}/lines")
+    c = stages["near_dedup"](spark, spark.read.parquet(f"{tmp_path}/lines"), sf)
+    assert c.count() == c.count() <= 15
+    first, second = corpus_pipeline.run(spark, sf), corpus_pipeline.run(spark, sf)
+    assert second.count() == first.count() > 0
+
+
+def test_pipeline_of_nulls_ties_and_repeats(spark, tmp_path):
+    rng = np.random.default_rng(13)
+    prose = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 4000, n))
+    clean = [prose(90) for _ in range(12)]
+    texts = [*clean, None, "", "LOUD!! WORDS!! " * 30, "BAD!! TEXTS!! " * 30, clean[0], clean[1]]
+    ids = [*range(12), 12, 13, 14, 15, 0, None]  # a repeated row, a copy without an id
+    sf = small_tables(spark, tmp_path, texts, ids)
+    kept = {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()}
+    assert set(range(2, 12)) <= kept and not {14, 15} & kept
