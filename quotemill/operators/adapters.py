@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotemill.operators import ranges
-from quotemill.operators.kernels import BasisKalman, BetaKalman, Book, Ema, FusedKalman, Observation
+from quotemill.operators.kernels import BasisKalman, Book, DelayedBeta, Ema, FusedKalman, Observation, calibrate
 from quotemill.sources import sinks
 
 
@@ -184,37 +184,28 @@ def basis_kalman(states: DataFrame, key: str, hold: bool = True, *, width: int =
     return in_blocks(states, key, schema, partial(_Held, **config), rows_of, view, width=width, overlap=overlap)
 
 
-def beta_kalman(df: DataFrame, key: str, order: list[str], features: list[str], target: str, *, warm: float = 0.3, ridge: float = 1e-6, delayed: int = 0) -> DataFrame:
-    """Online predictions after an OLS start on the first ``warm`` share of each group.
+def _warm(g: pd.DataFrame, features: list[str], target: str, warm: float) -> int:
+    """Rows to calibrate on; 0 where they are fewer than coefficients need."""
+    n = int(len(g) * warm)
+    return n if n > len(features) + 5 else 0
 
-    The walk of the coefficients is taken from the variance of their changes in a loose
-    first pass. ``delayed``: outcomes are learned that many rows later (0: at once).
+
+def beta_kalman(df: DataFrame, key: str, order: list[str], features: list[str], target: str, *, warm: float = 0.3) -> DataFrame:
+    """Online predictions after calibration on the first ``warm`` share of each key: predict, then learn the outcome at once.
+
+    Nothing is predicted (null) for the calibration rows and for keys with too few.
     """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        X = np.column_stack([np.ones(len(g)), g[features].to_numpy(float)])
-        y, n = g[target].to_numpy(float), int(len(g) * warm)
-        out = g[[key, *order]].assign(predicted=np.nan, actual=y)
-        if n <= X.shape[1]:
+        out, n = g[[key, *order]].assign(predicted=np.nan, actual=g[target]), _warm(g, features, target, warm)
+        if not n:
             return out
-        scale = np.maximum(X[:n].std(axis=0), 1e-9)
-        scale[0] = 1
-        X = X / scale
-        G = X[:n].T @ X[:n] + ridge * np.eye(X.shape[1])
-        start = np.linalg.solve(G, X[:n].T @ y[:n])
-        r = float(np.var(y[:n] - X[:n] @ start) + 1e-12)
-        loose, path = BetaKalman(X.shape[1], np.full(X.shape[1], 1e-4), r, start.copy(), np.linalg.inv(G) * r), []
-        for i in range(n):
-            loose.learn(X[i], y[i])
-            path.append(loose.beta.copy())
-        q = np.clip(np.var(np.diff(np.array(path)[n // 5 :], axis=0), axis=0), 1e-12, 1e2)
-        kernel, waiting, guesses = BetaKalman(X.shape[1], q, r, start.copy(), np.linalg.inv(G) * r), [], []
-        for i in range(n, len(g)):
-            guesses.append(kernel.predict(X[i]))
-            waiting.append(i)
-            if len(waiting) > delayed:
-                j = waiting.pop(0)
-                kernel.learn(X[j], y[j])
+        X, y = g[features].to_numpy(float), g[target].to_numpy(float)
+        kernel, mean, scale = calibrate(X[:n], y[:n])
+        guesses = []
+        for x, v in zip(np.column_stack([np.ones(len(g) - n), (X[n:] - mean) / scale]), y[n:]):
+            guesses.append(kernel.predict(x))
+            kernel.learn(x, v)
         out.loc[out.index[n:], "predicted"] = guesses
         return out
 
@@ -222,6 +213,33 @@ def beta_kalman(df: DataFrame, key: str, order: list[str], features: list[str],
     return fold(df, [key], order, kinds + ", predicted double, actual double", run)
 
 
+def calibrated(df: DataFrame, key: str, order: list[str], features: list[str], target: str, *, warm: float, time: str) -> DataFrame:
+    """(key, ``payload``: a calibrated predictor, ``after``: the time of its last row) from the first ``warm`` share of each key."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        n = _warm(g, features, target, warm)
+        if not n:
+            return pd.DataFrame(columns=[key, "payload", "after"])
+        found = calibrate(g[features].to_numpy(float)[:n], g[target].to_numpy(float)[:n])
+        return pd.DataFrame([(g[key].iloc[0], pickle.dumps(found), int(g[time].iloc[n - 1]))], columns=[key, "payload", "after"])
+
+    return fold(df, [key], order, f"{key} {df.schema[key].dataType.simpleString()}, payload binary, after long", run)
+
+
+def delayed_beta(df: DataFrame, key: str, order: list[str], features: list[str], price: str, models: DataFrame, *, horizon_ms: int, time: str) -> DataFrame:
+    """(key, order columns, predicted) for rows after each key's calibration; outcomes are learned once ``horizon_ms`` has passed."""
+
+    def run(k, g: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        if not len(m) or not len(g):
+            return pd.DataFrame(columns=[key, *order, "predicted"])
+        g = g[g[time] > m["after"].iloc[0]].sort_values(order, kind="stable")
+        kernel = DelayedBeta(*pickle.loads(bytes(m["payload"].iloc[0])), horizon_ms)
+        return g[[key, *order]].assign(predicted=[kernel.step(int(t), p, x) for t, p, x in zip(g[time], g[price], g[features].to_numpy(float).tolist())])
+
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in [key, *order])
+    return df.groupBy(key).cogroup(models.groupBy(key)).applyInPandas(run, kinds + ", predicted double")
+
+
 BOOKS = "exchange string, market string, seq long, status string, bid double, bid_size double, ask double, ask_size double"
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import deque
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -291,3 +292,50 @@ class Book:
     def best(self) -> tuple:
         bid, ask = (max(self.sides["buy"], default=None), min(self.sides["sell"], default=None))
         return bid, self.sides["buy"][bid][0] if bid is not None else None, ask, self.sides["sell"][ask][0] if ask is not None else None
+
+
+@dataclass
+class DelayedBeta:
+    """Coefficients that learn from outcomes only once a horizon has passed.
+
+    ``step``: outcomes that are due by ``now`` are learned first, in order, as changes
+    of the price since they were asked for; then the present features are scored and
+    put in the queue. Features are centred and scaled as in calibration.
+    """
+
+    beta: BetaKalman
+    mean: np.ndarray
+    scale: np.ndarray
+    horizon_ms: int
+    waiting: deque = field(default_factory=deque)
+
+    def standardised(self, features: list[float]) -> np.ndarray:
+        return np.concatenate([[1.0], (np.asarray(features, dtype=float) - self.mean) / self.scale])
+
+    def step(self, now: int, price: float, features: list[float]) -> float:
+        while self.waiting and self.waiting[0][0] <= now:
+            _, x, then = self.waiting.popleft()
+            self.beta.learn(x, price - then)
+        x = self.standardised(features)
+        self.waiting.append((now + self.horizon_ms, x, price))
+        return self.beta.predict(x)
+
+
+def calibrate(X: np.ndarray, y: np.ndarray, *, loose: float = 1e-4, bounds: tuple[float, float] = (1e-12, 1e2)) -> tuple[BetaKalman, np.ndarray, np.ndarray]:
+    """Coefficients by least squares on standardised features, with the walk seen in a loose first pass; mean and scale.
+
+    The walk of a coefficient is the variance of its changes after the first quarter
+    (200 rows at most) of that pass; both passes start from unit uncertainty.
+    """
+    mean, scale = X.mean(axis=0), X.std(axis=0)
+    scale = np.where(scale > 0, scale, 1.0)
+    Z = np.column_stack([np.ones(len(y)), (X - mean) / scale])
+    start = np.linalg.lstsq(Z, y, rcond=None)[0]
+    r = float(np.var(y - Z @ start)) or 1.0
+    kernel, path = BetaKalman(Z.shape[1], np.full(Z.shape[1], loose), r, start.copy()), []
+    for x, v in zip(Z, y):
+        kernel.learn(x, v)
+        path.append(kernel.beta)
+    burn = min(200, len(y) // 4)
+    q = np.clip(np.var(np.diff(np.array(path)[burn:], axis=0), axis=0), *bounds)
+    return BetaKalman(Z.shape[1], q, r, start.copy()), mean, scale

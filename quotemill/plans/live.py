@@ -6,12 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from quotemill.operators import frames, learning
+from quotemill.operators import adapters, frames, learning
 from quotemill.plans import domain, models
 from quotemill.plans.book import QueryBook
 from quotemill.plans.domain import DAY, HOUR, MEASURES
 
 from quotemill.sources import sinks
+from quotemill.streaming.drift import live_drift
 from quotemill.streaming.features import live_features
 
 book = QueryBook()
@@ -119,19 +120,38 @@ def _live_sql():
  {", ".join(past(v, w) for v in VENUES for w in LAGS)} SELECT own.market, own.seq, {", ".join(cols)} FROM own {joins}"""
 
 
-@add("ml30_live_features", _live_sql())
-def _(s, d):
-    """Events land in slices of time, a micro-batch each; the stream's output is read back."""
+def _landed(s, rows):
+    """``rows`` as a stream over files that land in slices of time, a micro-batch each; and a folder for what comes out."""
     at = f"{sinks.shared_folder(s)}/live-{uuid.uuid4().hex}"
-    rows = _wide(s, d).where(F.col("exchange").isin(VENUES)).select("market", "exchange", "ts_ms", "seq", *FEATURES)
     slices = max(4, -(-rows.count() // SLICE_ROWS))
     cuts = rows.agg(F.percentile_approx("ts_ms", [i / slices for i in range(1, slices)], 10_000)).first()[0] or []  # a number for each slice
     for lo, hi in zip([-(2**62), *cuts], [*cuts, 2**62]):
         part = rows.where((F.col("ts_ms") > lo) & (F.col("ts_ms") <= hi))
         part.coalesce(1).write.mode("append").parquet(f"{at}/landed")  # a file, and so a micro-batch, of bounded size
     s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/landed")
-    out = live_features(stream, "market", venues=VENUES, features=FEATURES, lagged=LAGGED, lags=LAGS, names=NAMES)
+    return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/landed"), at
+
+
+def _drained(s, out, at):
+    """What the stream has made of all that has landed."""
     query = out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return s.read.schema(out.schema).parquet(f"{at}/out").select("market", "seq", *[F.round(c, 6).alias(c) for c in NAMES])
+    return s.read.schema(out.schema).parquet(f"{at}/out")
+
+
+@add("ml30_live_features", _live_sql())
+def _(s, d):
+    rows = _wide(s, d).where(F.col("exchange").isin(VENUES)).select("market", "exchange", "ts_ms", "seq", *FEATURES)
+    stream, at = _landed(s, rows)
+    out = live_features(stream, "market", venues=VENUES, features=FEATURES, lagged=LAGGED, lags=LAGS, names=NAMES)
+    return _drained(s, out, at).select("market", "seq", *[F.round(c, 6).alias(c) for c in NAMES])
+
+
+@add("pipe4_live_drift")
+def _(s, d):
+    """Coefficients calibrated on each venue's first events, then predictions on the stream of the rest, learning as outcomes come due."""
+    rows = models._labelled(s, d).select("exchange", "ts_ms", "seq", "mid", "drift", *models.FEATURES)
+    fitted = adapters.calibrated(rows, "exchange", ["seq"], models.FEATURES, "drift", warm=0.3, time="ts_ms")
+    stream, at = _landed(s, rows.drop("drift"))
+    out = live_drift(stream, "exchange", fitted, features=models.FEATURES, price="mid", horizon_ms=HOUR)
+    return _drained(s, out, at).select("exchange", "seq", F.round("predicted", 6).alias("predicted"))

@@ -212,7 +212,9 @@ def _(s, d):
 
 @add("ml22_delayed_labels")
 def _(s, d):
-    return adapters.beta_kalman(_labelled(s, d), "exchange", ["seq"], FEATURES, "drift", delayed=12)
+    rows = _labelled(s, d)
+    fitted = adapters.calibrated(rows, "exchange", ["seq"], FEATURES, "drift", warm=0.3, time="ts_ms")
+    return adapters.delayed_beta(rows, "exchange", ["ts_ms", "seq"], FEATURES, "mid", fitted, horizon_ms=HOUR, time="ts_ms")
 
 
 @add("ml24_sign_strategy", f"WITH {RIDGE1}, p AS (SELECT k.*, my - b * mx + b * size AS pred FROM k JOIN fit USING (exchange, fold) WHERE is_test) SELECT exchange, round(sum(sign(pred) * drift - 0.19), 4) AS net, count(*) AS n FROM p GROUP BY 1")
