@@ -115,8 +115,8 @@ class Tree:
         self.leaf = pages["leaf"].to_numpy()
         self.ids = [np.frombuffer(b, dtype="<i8") for b in pages["ids"]]
         self.vectors = [np.frombuffer(b, dtype="<i8").reshape(-1, width) for b in pages["vectors"]]
-        self.exact = all(len(v) == 0 or width * float(np.abs(v).max()) ** 2 < 2**52 for v in self.vectors)
-        self.floats = [v.astype(np.float64) for v in self.vectors] if self.exact else None
+        self.width, self.peak = width, max((float(np.abs(v.astype(np.float64)).max()) for v in self.vectors if v.size), default=0.0)
+        self.floats = [v.astype(np.float64) for v in self.vectors]
         self.dists = [np.frombuffer(b, dtype="<f8") for b in pages["dists"]]
         self.parent = pages["parent"].to_numpy()
         order = np.argsort(self.parent, kind="stable")
@@ -135,12 +135,14 @@ class Tree:
         """
         m, qf = len(q), q.astype(np.float64)
         q2 = (qf * qf).sum(axis=1)
+        exact = self.width * self.peak * float(np.abs(qf).max(initial=0.0)) < 2**52  # all sums of products are whole doubles
+        rounding = np.maximum(_SLACK, np.sqrt(64 * np.finfo(np.float64).eps * self.width * (q2 + self.most)))  # of distances so long
         reach = lambda score: np.sqrt(np.maximum(0.0, q2 + self.most - 2 * score)) + _SLACK
         known = np.where(np.isnan(least), np.inf, reach(np.nan_to_num(least)))
         limit = known.copy()
         best = np.full((m, k), np.iinfo(np.int64).min)
         ids = np.full((m, k), np.iinfo(np.int64).max)
-        slack = lambda x: x * (1 + 1e-12) + 2 * _SLACK
+        slack = lambda who: limit[who] * (1 + 1e-12) + 2 * rounding[who]
 
         def distances(rows: np.ndarray, who: np.ndarray) -> np.ndarray:
             self.computed += len(rows) * len(who)
@@ -151,36 +153,36 @@ class Tree:
         heap = [(0.0, 0, everyone, d0)]
         while heap:
             _, node, who, d = heapq.heappop(heap)
-            on = np.maximum(0.0, d - self.radius[node]) <= slack(limit[who])
+            on = np.maximum(0.0, d - self.radius[node]) <= slack(who)
             who, d = who[on], d[on]
             if not len(who):
                 continue
             if not self.leaf[node]:
                 kids = self.children[node]
-                near = np.abs(d[:, None] - self.up[kids][None, :]) - self.radius[kids][None, :] <= slack(limit[who])[:, None]  # by stored distances
+                near = np.abs(d[:, None] - self.up[kids][None, :]) - self.radius[kids][None, :] <= slack(who)[:, None]  # by stored distances
                 kids, near = kids[near.any(axis=0)], near[:, near.any(axis=0)]
                 if len(kids):
                     far = distances(kids, who)
-                    near &= far - self.radius[kids][None, :] <= slack(limit[who])[:, None]
+                    near &= far - self.radius[kids][None, :] <= slack(who)[:, None]
                     for j, kid in enumerate(kids.tolist()):
                         if (mine := np.flatnonzero(near[:, j])).size:
                             bound = float(np.maximum(0.0, far[mine, j] - self.radius[kid]).min())
                             heapq.heappush(heap, (bound, kid, who[mine], far[mine, j]))
                 continue
-            near = np.abs(d[:, None] - self.dists[node][None, :]) <= slack(limit[who])[:, None]
+            near = np.abs(d[:, None] - self.dists[node][None, :]) <= slack(who)[:, None]
             some, rows = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
             if not len(rows):
                 continue
             who, near = who[some], near[np.ix_(some, rows)]
             self.computed += near.size
-            score = (qf[who] @ self.floats[node][rows].T).astype(np.int64) if self.exact else q[who] @ self.vectors[node][rows].T
+            score = (qf[who] @ self.floats[node][rows].T).astype(np.int64) if exact else q[who] @ self.vectors[node][rows].T
             own = self.ids[node][rows]
             near &= own[None, :] != query_ids[who][:, None]
             near &= (score >= best[who, -1][:, None]) & ~(score < least[who][:, None])
             for i in np.flatnonzero(near.any(axis=1)).tolist():
                 w, at = who[i], np.flatnonzero(near[i])
                 all_scores, all_ids = np.concatenate([best[w], score[i, at]]), np.concatenate([ids[w], own[at]])
-                top = np.lexsort((all_ids, -all_scores.astype(np.float64) if self.exact else ~all_scores))[:k]
+                top = np.lexsort((all_ids, -all_scores.astype(np.float64) if exact else ~all_scores))[:k]
                 best[w], ids[w] = all_scores[top], all_ids[top]
             full = best[who, -1] > np.iinfo(np.int64).min
             limit[who] = np.where(full, np.minimum(limit[who], np.sqrt(np.maximum(0.0, q2[who] + self.most - 2.0 * np.where(full, best[who, -1], 0))) + _SLACK), limit[who])

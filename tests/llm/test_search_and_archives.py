@@ -104,3 +104,13 @@ def test_two_large_groups_of_copies_in_a_block():
         held = np.concatenate([p[7] for p in pages if p[2]])
         assert sorted(held.tolist()) == list(range(len(x)))
         assert all(len(p[7]) <= mtree.PAGE for p in pages if p[2])
+
+
+def test_scores_of_queries_far_larger_than_what_is_indexed(spark, monkeypatch):
+    monkeypatch.setattr(mtree, "BLOCK", 40)
+    rng = np.random.default_rng(31)
+    small = [(i, (rng.integers(2**11, 2**12, 6) / 1.0).tolist()) for i in range(1, 120) if i % 50]
+    large = [(i, (rng.integers(2**27, 2**28, 6) / 1.0).tolist()) for i in (0, 50, 100)]
+    rows = small + large
+    got = {tuple(r) for r in mtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 5, 50).collect()}
+    assert got == brute_top(rows, 5, 50)
