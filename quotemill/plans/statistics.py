@@ -192,10 +192,10 @@ def _(s, d):
     return domain.tape(s, d).groupBy("exchange").agg(F.count_if(F.col("size") > 50).alias("live"), F.count_if(F.col("size") <= 50).alias("held"))
 
 
-@add("ag28_tradeable_filter", "SELECT p_brand, round(median(p_retailprice), 6) AS med FROM part GROUP BY 1 HAVING median(p_retailprice) >= 1000 AND least(min(p_size), 5) >= 1")
+@add("ag28_tradeable_filter", "SELECT p_brand, round(median(p_retailprice), 6) AS med FROM part GROUP BY 1 HAVING median(p_retailprice) >= 949.5 AND least(min(p_size), 5) >= 1")
 def _(s, d):
     g = load(s, d, "part").groupBy("p_brand").agg(F.median("p_retailprice").alias("m"), F.min("p_size").alias("least"))
-    return g.where((F.col("m") >= 1000) & (F.least("least", F.lit(5)) >= 1)).select("p_brand", F.round("m", 6).alias("med"))
+    return g.where((F.col("m") >= 949.5) & (F.least("least", F.lit(5)) >= 1)).select("p_brand", F.round("m", 6).alias("med"))
 
 
 ROLL = TAPE + f", c AS (SELECT *, price - avg(price) OVER (PARTITION BY exchange) AS x, avg(price) OVER (PARTITION BY exchange) AS m0 FROM tape), r AS (SELECT seq, exchange, price, m0 + avg(x) OVER w AS mean, sqrt(greatest(avg(x * x) OVER w - pow(avg(x) OVER w, 2), 0)) AS std FROM c WINDOW w AS (PARTITION BY exchange ORDER BY ts_ms RANGE BETWEEN {6 * HOUR} PRECEDING AND CURRENT ROW))"
