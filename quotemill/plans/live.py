@@ -11,7 +11,7 @@ from quotemill.plans import domain, models
 from quotemill.plans.book import QueryBook
 from quotemill.plans.domain import DAY, HOUR, MEASURES
 
-from quotemill.sources import sinks
+from quotemill.sources import captures, sinks
 from quotemill.streaming.drift import live_drift
 from quotemill.streaming.features import live_features
 
@@ -155,3 +155,24 @@ def _(s, d):
     stream, at = _landed(s, rows.drop("drift"))
     out = live_drift(stream, "exchange", fitted, features=models.FEATURES, price="mid", horizon_ms=HOUR)
     return _drained(s, out, at).select("exchange", "seq", F.round("predicted", 6).alias("predicted"))
+
+
+@add("src9_capture_scan", f"WITH {domain.TAPE} SELECT exchange, count(*) AS n, round(sum(size), 4) AS size, min(seq) AS first_seq FROM tape WHERE size >= 20 AND exchange <> 'view' GROUP BY 1")
+def _(s, d):
+    """The tape in capture files, scanned by ranges of rowid with the condition inside."""
+    at = f"{sinks.shared_folder(s)}/live-{uuid.uuid4().hex}"
+    captures.write_captures(domain.tape(s, d).select("seq", "exchange", "price", "size"), at, "trades")
+    rows = captures.read_capture(s, at, "trades", "seq long, exchange string, price double, size double", where="size >= 20 AND exchange <> 'view'", range_rows=20_000)
+    return rows.groupBy("exchange").agg(F.count("*").alias("n"), F.round(F.sum("size"), 4).alias("size"), F.min("seq").alias("first_seq"))
+
+
+@add("ml26_toxic_classifier")
+def _(s, d):
+    """Balanced logistic scores of toxic flow, learned on the first 70 %; what gating by them leaves of the rest, with a perfect gate beside it."""
+    rows = models._labelled(s, d).select("exchange", "seq", *models.FEATURES, (F.col("size") * 0.05).alias("fee"), F.greatest(-F.col("drift"), F.lit(0.0)).alias("loss"))
+    rows = learning.temporal_split(rows, "exchange", ["seq"], 0.7)
+    cut = rows.where("not is_test").agg(F.percentile("loss", 0.95).alias("cut"))  # one row
+    rows = rows.crossJoin(F.broadcast(cut)).withColumn("toxic", (F.col("loss") >= F.col("cut")).cast("int"))
+    scored = learning.logistic(rows, models.FEATURES, "toxic", balanced=True).where("is_test")
+    gated = learning.gated_value(scored, ["exchange"], "probability", "fee", "loss", ["seq"], 0.1)
+    return gated.join(learning.auc(scored, ["exchange"], "probability", "toxic"), "exchange")
