@@ -406,6 +406,33 @@ def _(s, d):
     return adapters.replay_books(_book_messages(s, d), sequenced=True).select("exchange", "seq", "status", "bid", "bid_size", "ask", "ask_size")
 
 
+@add("bk6_checked_books", f"""WITH {BOOK}, bad AS (SELECT *, ((min(i) OVER (PARTITION BY exchange, segment)) // 40) % 5 = 0 AS wrong FROM st)
+SELECT exchange, seq, CASE WHEN NOT wrong THEN 'ok' WHEN snap THEN 'resync' ELSE 'dropped' END AS status FROM bad""")
+def _(s, d):
+    """Snapshots declare the CRC32 of their ten best asks and bids, made here by expressions; that of every fifth is wrong."""
+    t = ranges.numbered(domain.tape(s, d), ["exchange"], ["seq"], "i")
+    size = F.when(F.col("size") < 10, 0.0).otherwise(F.col("size"))
+    text = lambda c, scale: c.cast(f"decimal(20,{scale})").cast("string")
+
+    def level(k, side):
+        p, z = F.round("price") + k, size + k
+        return F.struct(side.alias("side"), p.alias("price"), z.alias("size"), text(p, 2).alias("price_text"), text(z, 4).alias("size_text"))
+
+    def digits(x, scale):
+        found = F.ltrim(F.replace(text(x, scale), F.lit("."), F.lit("")), F.lit("0"))
+        return F.when(found == "", "0").otherwise(found)
+
+    five = [level(k, F.lit("buy" if k % 2 == 0 else "sell")) for k in range(5)]
+    parts = [F.when(size + k > 0, F.concat(digits(F.round("price") + k, 2), digits(size + k, 4))).otherwise("") for k in (1, 3, 4, 2, 0)]
+    snap = F.col("i") % 40 == 1
+    declared = F.crc32(F.concat(*parts)) + F.when(F.floor(F.col("i") / 40) % 5 == 0, 1).otherwise(0)
+    rows = t.select(
+        "exchange", F.lit("m").alias("market"), "seq", F.when(snap, "snapshot").otherwise("delta").alias("kind"),
+        F.when(snap, F.array(*five)).otherwise(F.array(level(0, F.col("side")))).alias("levels"), F.when(snap, declared).alias("checksum"),
+    )
+    return adapters.replay_books(rows, depth=10, checked=True).select("exchange", "seq", "status")
+
+
 @add("sc1_scalar_math", f"WITH {TAPE} SELECT seq, round(sqrt(abs(price)), 8) AS root, sign(size - 50)::DOUBLE AS s, CASE WHEN size < 50 THEN -abs(price) ELSE abs(price) END AS signed, (ts_ms // {DAY}) % 7 AS dow, ts_ms // {HOUR} * {HOUR} AS hour_ms FROM tape")
 def _(s, d):
     return domain.tape(s, d).select("seq", F.round(F.sqrt(F.abs("price")), 8).alias("root"), F.signum(F.col("size") - 50).alias("s"), q.copysign(F.col("price"), F.col("size") - 50).alias("signed"), F.pmod(F.floor(F.col("ts_ms") / DAY), F.lit(7)).cast("long").alias("dow"), (F.floor(F.col("ts_ms") / HOUR) * HOUR).cast("long").alias("hour_ms"))
