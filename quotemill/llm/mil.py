@@ -31,7 +31,7 @@ _KINDS = ("lower", "upper", "digit", "blank", "line", "stop", "comma", "bang", "
 RATIOS = 20
 FEATURES = RATIOS + BUCKETS
 #: Words weigh only where they tell more than this pull towards nothing: with few labelled documents each would be learned by heart.
-#: The value is the best of three by an inner split of the learned rows; held-out rows have no part in it.
+#: An inner split of the learned rows puts this value first of three (README).
 WORD_DECAY = 0.02
 
 
