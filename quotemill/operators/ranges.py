@@ -4,11 +4,13 @@ A key's rows are cut into ranges of their first order column. Each range is summ
 in one row, the sums are carried over these rows, and every range then finishes on its
 own from what was carried into it. So a task holds one range, or one row per range of
 one key, never a key's whole history. The first order column must be numeric and not
-null; ``width`` is the length of a range on it.
+null; ``width`` is the length of a range on it. Null keys are keys like any other.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +23,13 @@ def _ranged(df: DataFrame, order: list[str], width: int) -> DataFrame:
     return df.withColumn("_range", F.floor(F.col(order[0]) / width))
 
 
+def _joined(df: DataFrame, other: DataFrame, by: list[str]) -> DataFrame:
+    """``df`` with the columns of its row in ``other``; nulls in keys are equal."""
+    other = other.withColumnsRenamed({c: f"_of_{c}" for c in by})
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by])
+    return df.join(other, same).drop(*[f"_of_{c}" for c in by])
+
+
 def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, *, width: int = WIDTH, total: str | None = None) -> DataFrame:
     """``df`` with the sum of ``value`` over the key's rows up to and with this one; ``total``: a column for the sum of all."""
     df = _ranged(df, order, width).withColumn("_value", value)
@@ -30,7 +39,7 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column,
     before = F.coalesce(F.sum("_sum").over(key.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = sums.select(*by, before.alias("_before"), F.sum("_sum").over(key).alias("_total"))
     inside = F.sum("_value").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = df.join(sums, by).withColumn(name, F.col("_before") + F.coalesce(inside, F.lit(0)))
+    out = _joined(df, sums, by).withColumn(name, F.col("_before") + F.coalesce(inside, F.lit(0)))
     if total:
         out = out.withColumn(total, F.col("_total"))
     return out.drop("_range", "_value", "_before", "_total")
@@ -103,5 +112,5 @@ def linear_recurrence(df: DataFrame, keys: list[str], order: list[str], *, gain:
         _, _, out = walk(g, g["_seed"].iloc[0], bool(g["_seeded"].iloc[0]))
         return g[[c for c in kept if c != "_range"]].assign(**{name: out})
 
-    done = df.join(seeds, by).groupBy(*by).applyInPandas(apply, schema)
+    done = _joined(df, seeds, by).groupBy(*by).applyInPandas(apply, schema)
     return done.withColumn(name, F.when(~F.isnan(name), F.col(name)))

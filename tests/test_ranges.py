@@ -15,13 +15,13 @@ from quotemill.streaming.features import Ring, assemble, live_features
 def rows():
     rng = np.random.default_rng(1)
     n = 600
-    return pd.DataFrame({"k": rng.choice(["a", "b", "c"], n), "seq": np.sort(rng.choice(5000, n, replace=False)), "x": rng.normal(size=n), "y": rng.normal(size=n)})
+    return pd.DataFrame({"k": rng.choice(np.array(["a", "b", None], dtype=object), n), "seq": np.sort(rng.choice(5000, n, replace=False)), "x": rng.normal(size=n), "y": rng.normal(size=n)})
 
 
 def test_row_numbers_and_sums(spark, rows):
     df = ranges.numbered(spark.createDataFrame(rows), ["k"], ["seq"], "i", width=70, total="n")
     got = ranges.running_sum(df, [], ["seq"], F.when(F.col("k") == "a", 1).otherwise(0), "s", width=130).toPandas().sort_values("seq")
-    rows = rows.assign(i=rows.groupby("k").cumcount() + 1, n=rows.groupby("k")["seq"].transform("size"), s=(rows["k"] == "a").cumsum())
+    rows = rows.assign(i=rows.groupby("k", dropna=False).cumcount() + 1, n=rows.groupby("k", dropna=False)["seq"].transform("size"), s=(rows["k"] == "a").cumsum())
     assert got[["i", "n", "s"]].to_numpy().tolist() == rows[["i", "n", "s"]].to_numpy().tolist()
     assert ranges.numbered(spark.createDataFrame(rows).where("false"), ["k"], ["seq"]).count() == 0
 
@@ -39,7 +39,7 @@ def test_neighbours_and_correlations(spark, rows, size):
 @pytest.mark.parametrize("width", [3, 90, 100_000])
 def test_average_by_ranges(spark, rows, width):
     got = adapters.ema(spark.createDataFrame(rows), ["k"], ["seq"], "x", 0.3, width=width).toPandas().sort_values("seq")
-    kernels = {k: Ema(0.3) for k in "abc"}
+    kernels = {k: Ema(0.3) for k in ("a", "b", None)}
     assert np.allclose(got["ema"], [kernels[k].step(x) for k, x in zip(rows["k"], rows["x"])], rtol=1e-12)
 
 
