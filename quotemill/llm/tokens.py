@@ -10,6 +10,8 @@ encoding the whole text at once.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import string
 from functools import lru_cache
@@ -26,14 +28,25 @@ def chunks_of(text: str) -> list[str]:
     return _CHUNK.findall(text) if _SEPARATORS.search(text) else text.split()
 
 
+def return_freed_memory() -> None:
+    """Give the system back what a reused worker's earlier tasks have freed; the allocator keeps it otherwise."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 class WordEncoder:
     """``encode(texts)`` gives little-endian unsigned 32-bit ids as bytes, without special tokens."""
 
-    CACHE = 150_000
+    #: Entries of all caches together; words are short, and a block of long ones empties them too.
+    CACHE = 250_000
 
     def __init__(self, path: str):
         import os
 
+        return_freed_memory()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -90,6 +103,7 @@ class WordEncoder:
             split = [chunks_of(t or "") for t in texts[i : i + 256]]
             known = self._chunks
             parts = [list(map(known.get, chunks)) for chunks in split]
+            new: list[str] = []
             gaps = [k for k, p in enumerate(parts) if not all(p)]  # also chunks without ids, which are rare
             if gaps:
                 new = list({c for k in gaps for c, p in zip(split[k], parts[k]) if p is None})
@@ -97,9 +111,11 @@ class WordEncoder:
                 for k in gaps:
                     parts[k] = map(known.__getitem__, split[k])
             out += map(b"".join, parts)
-            if len(known) > self.CACHE:  # emptied between blocks only: a block needs all of its chunks
+            if len(known) + len(self._cores) + len(self._tails) > self.CACHE or sum(map(len, new)) > 4 * self.CACHE:
+                # emptied between blocks only: a block needs all of its chunks; also after a block of very long ones
                 known.clear()
                 self._cores.clear()
+                self._tails = {"": b""}
         return out
 
 
