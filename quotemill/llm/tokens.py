@@ -40,8 +40,8 @@ def return_freed_memory() -> None:
 class WordEncoder:
     """``encode(texts)`` gives little-endian unsigned 32-bit ids as bytes, without special tokens."""
 
-    #: Entries of all caches together; words are short, and a block of long ones empties them too.
-    CACHE = 250_000
+    #: Entries of a cache; words are short, and a block of long ones empties the caches too.
+    CACHE = 150_000
 
     def __init__(self, path: str):
         import os
@@ -111,7 +111,7 @@ class WordEncoder:
                 for k in gaps:
                     parts[k] = map(known.__getitem__, split[k])
             out += map(b"".join, parts)
-            if len(known) + len(self._cores) + len(self._tails) > self.CACHE or sum(map(len, new)) > 4 * self.CACHE:
+            if max(len(known), len(self._tails)) > self.CACHE or sum(map(len, new)) > 20 * self.CACHE:
                 # emptied between blocks only: a block needs all of its chunks; also after a block of very long ones
                 known.clear()
                 self._cores.clear()
