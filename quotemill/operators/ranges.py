@@ -50,6 +50,17 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "row_
     return running_sum(df, keys, order, F.lit(1).cast("long"), name, width=width, total=total)
 
 
+def previous(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, *, width: int = WIDTH) -> DataFrame:
+    """``df`` with ``value`` of the key's row before this one; a range takes that of its first row from the ranges before."""
+    df = _ranged(df, order, width)
+    by = [*keys, "_range"]
+    key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))  # one row per range
+    ends = df.groupBy(*by).agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_end"))
+    seeds = ends.select(*by, F.lag("_end").over(key.orderBy("_range")).alias("_seed"))
+    inside = F.lag(F.struct(F.col(value).alias("v"))).over(Window.partitionBy(*by).orderBy(*order))
+    return _joined(df, seeds, by).withColumn(name, F.coalesce(inside, "_seed").getField("v")).drop("_range", "_seed")
+
+
 def neighbours(df: DataFrame, row_no: str, values: dict[str, tuple[str, int]], *, rows: int = WIDTH) -> DataFrame:
     """``df`` with, for each (name: column, offset), the column of the row so many rows on (back, if negative).
 

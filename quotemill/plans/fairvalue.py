@@ -93,10 +93,9 @@ def _(s, d):
 @add("tf1_trade_flow", f"""WITH {TAPE} SELECT seq, round(sum(CASE side WHEN 'buy' THEN size ELSE -size END) OVER w, 6) AS net, round(coalesce(sum(size) FILTER (side = 'buy') OVER w, 0), 6) AS buy,
  round(coalesce(sum(size) FILTER (side = 'sell') OVER w, 0), 6) AS sell, count(*) OVER w AS n FROM tape WINDOW w AS (PARTITION BY exchange ORDER BY ts_ms RANGE BETWEEN {HOUR} PRECEDING AND CURRENT ROW)""")
 def _(s, d):
-    by = w.trailing_range(["exchange"], "ts_ms", HOUR)
-    buy, sell = F.when(F.col("side") == "buy", F.col("size")), F.when(F.col("side") == "sell", F.col("size"))
-    total = lambda c: F.coalesce(F.sum(c).over(by), F.lit(0.0))
-    return domain.tape(s, d).select("seq", F.round(total(buy) - total(sell), 6).alias("net"), F.round(total(buy), 6).alias("buy"), F.round(total(sell), 6).alias("sell"), F.count("*").over(by).alias("n"))
+    side = lambda name: F.when(F.col("side") == name, F.col("size"))
+    df = w.trailing_sums(domain.tape(s, d), ["exchange"], "ts_ms", "seq", HOUR, {"buy": side("buy"), "sell": side("sell"), "n": F.lit(1).cast("long")}, peers=True).fillna(0.0, ["buy", "sell"])
+    return df.select("seq", F.round(F.col("buy") - F.col("sell"), 6).alias("net"), F.round("buy", 6).alias("buy"), F.round("sell", 6).alias("sell"), "n")
 
 
 @add("fv2_micro_alpha", f"WITH {FAIR} SELECT seq, {_rs('alpha')} FROM alphas")
