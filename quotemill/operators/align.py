@@ -90,11 +90,12 @@ def nearest(left: DataFrame, right: DataFrame, *, keys: list[str], time: str, se
     return _out(both, pick, left, values, prefix, time, tolerance)
 
 
-def asof_many(left: DataFrame, right: DataFrame, *, time: str, seq: str, who: str, others: list[str], value: str, bucket_ms: int) -> DataFrame:
+def asof_many(left: DataFrame, right: DataFrame, *, time: str, seq: str, who: str, others: list[str], value: str, bucket_ms: int, by_seq: bool = False) -> DataFrame:
     """Each left row with the last value of every series in ``others``, in one pass over one sort.
 
     Rows are dealt by time bucket; a bucket is seeded with the last values before it,
-    carried over a table of one row per bucket.
+    carried over a table of one row per bucket. Of the right rows of a left row's time all
+    count; with ``by_seq`` those of a larger ``seq`` do not.
     """
     bucket = F.floor(F.col(time) / bucket_ms).alias("_b")
     a = left.select(bucket, F.col(time).alias("_t"), F.lit(1).alias("_side"), F.col(seq).alias("_seq"), F.struct(*left.columns).alias("_left"))
@@ -105,7 +106,7 @@ def asof_many(left: DataFrame, right: DataFrame, *, time: str, seq: str, who: st
     days = a.select("_b").distinct().join(ends, "_b", "full")
     before = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
     seeds = days.select("_b", *[F.last(f"_e{i}", ignorenulls=True).over(before).alias(f"_s{i}") for i in range(len(others))])
-    w = Window.partitionBy("_b").orderBy("_t", "_side", "_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy("_b").orderBy(*(("_t", "_seq", "_side") if by_seq else ("_t", "_side", "_seq"))).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = a.unionByName(b, allowMissingColumns=True)
     cols = [F.last(F.when(own(o), F.col("_v")), ignorenulls=True).over(w).alias(f"_w{i}") for i, o in enumerate(others)]
     found = both.select("_b", "_side", "_left", *cols).where("_side = 1").join(seeds, "_b", "left")

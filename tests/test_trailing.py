@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quotemill.operators import simulators, windows
+from quotemill.operators import align, simulators, windows
 
 
 def _plan(df) -> str:
@@ -64,3 +64,9 @@ def test_simulators_keep_their_state_across_batches(spark):
                 taken.remove((i, late[0]))
                 free = g.ts_ms[late[0]] + 1
     assert not taken
+
+
+def test_latest_of_all_series_by_seq(spark):
+    rows = spark.createDataFrame([(1, 5, "a", 1.0), (2, 5, "b", 2.0), (3, 5, "a", 3.0), (4, 9, "b", 4.0)], "seq long, t long, who string, x double")
+    found = align.asof_many(rows, rows, time="t", seq="seq", who="who", others=["a", "b"], value="x", bucket_ms=8, by_seq=True)
+    assert [(r.a_x, r.b_x) for r in found.orderBy("seq").collect()] == [(1.0, None), (1.0, 2.0), (3.0, 2.0), (3.0, 4.0)]
