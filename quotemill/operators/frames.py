@@ -13,13 +13,14 @@ def lagged_names(venues: list[str], features: list[str], lagged: list[str], lags
     return [f"{v}_{f}" for v in venues for f in features] + [f"{v}_{f}_lag{i}" for v in venues for f in lagged for i in range(len(lags))]
 
 
-def lagged_frame(events: DataFrame, *, time: str, seq: str, who: str, venues: list[str], features: list[str], lagged: list[str], lags: list[int], bucket_ms: int) -> DataFrame:
+def lagged_frame(events: DataFrame, *, time: str, seq: str, who: str, venues: list[str], features: list[str], lagged: list[str], lags: list[int], bucket_ms: int, complete: bool = True) -> DataFrame:
     """Per event every venue's latest features, and their changes since each lag, as (seq, columns of ``lagged_names``).
 
     An event is stacked once for each lag, its time shifted back by it, so one sort and
     one pass carry all venues' rows to all lags; a second grouping puts an event
     together again. A row counts for lag w if it is the venue's last at or before t - w
-    and at most 2w before t; events that lack any value are left out.
+    and at most 2w before t; events that lack such a row are left out, with ``complete``
+    those that lack any value, too.
     """
     own = events.select(seq, time, who, F.struct(F.col(time).alias("at"), *features).alias("row"))
     shifts = [0, *lags]
@@ -30,4 +31,5 @@ def lagged_frame(events: DataFrame, *, time: str, seq: str, who: str, venues: li
     rows = found.groupBy(seq).agg(*[F.first(F.when(F.col("lag") == i, F.col(f"{v}_row")), ignorenulls=True).alias(f"{v}_{i}") for v in venues for i in range(len(shifts))])
     cols = [F.col(f"{v}_0.{f}").alias(f"{v}_{f}") for v in venues for f in features]
     cols += [(F.col(f"{v}_0.{f}") - F.col(f"{v}_{i + 1}.{f}")).alias(f"{v}_{f}_lag{i}") for v in venues for f in lagged for i in range(len(lags))]
-    return rows.select(seq, *cols).dropna()
+    found = rows.dropna(subset=[f"{v}_{i}" for v in venues for i in range(len(shifts))]).select(seq, *cols)
+    return found.dropna() if complete else found

@@ -33,8 +33,8 @@ def _wide(s, d):
     return domain.measures(s, d).withColumn("lean", F.col("micro") - F.col("mid"))
 
 
-def _frame(s, d):
-    return frames.lagged_frame(_wide(s, d), time="ts_ms", seq="seq", who="exchange", venues=VENUES, features=FEATURES, lagged=LAGGED, lags=LAGS, bucket_ms=DAY)
+def _frame(s, d, complete=True):
+    return frames.lagged_frame(_wide(s, d), time="ts_ms", seq="seq", who="exchange", venues=VENUES, features=FEATURES, lagged=LAGGED, lags=LAGS, bucket_ms=DAY, complete=complete)
 
 
 def _frame_sql():
@@ -50,7 +50,7 @@ def _frame_sql():
 
 @add("ml6_feature_frame", f"WITH {_frame_sql()} SELECT seq, {', '.join(f'round({c}, 6) AS {c}' for c in NAMES)} FROM frame")
 def _(s, d):
-    return _frame(s, d).select("seq", *[F.round(c, 6).alias(c) for c in NAMES])
+    return _frame(s, d, complete=False).select("seq", *[F.round(c, 6).alias(c) for c in NAMES])
 
 
 def _stored(s, df):

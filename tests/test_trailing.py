@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quotemill.operators import align, simulators, windows
+from quotemill.operators import align, frames, simulators, windows
 
 
 def _plan(df) -> str:
@@ -70,3 +70,10 @@ def test_latest_of_all_series_by_seq(spark):
     rows = spark.createDataFrame([(1, 5, "a", 1.0), (2, 5, "b", 2.0), (3, 5, "a", 3.0), (4, 9, "b", 4.0)], "seq long, t long, who string, x double")
     found = align.asof_many(rows, rows, time="t", seq="seq", who="who", others=["a", "b"], value="x", bucket_ms=8, by_seq=True)
     assert [(r.a_x, r.b_x) for r in found.orderBy("seq").collect()] == [(1.0, None), (1.0, 2.0), (3.0, 2.0), (3.0, 4.0)]
+
+
+def test_frames_keep_null_values_of_rows_that_are_there(spark):
+    rows = spark.createDataFrame([(1, 0, "a", 1.0), (2, 5, "a", None), (3, 12, "a", 4.0)], "seq long, t long, who string, x double")
+    make = lambda complete: frames.lagged_frame(rows, time="t", seq="seq", who="who", venues=["a"], features=["x"], lagged=["x"], lags=[5], bucket_ms=8, complete=complete)
+    assert [tuple(r) for r in make(False).orderBy("seq").collect()] == [(2, None, None), (3, 4.0, None)]
+    assert make(True).count() == 0
