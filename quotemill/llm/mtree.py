@@ -243,7 +243,7 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     asked = materialize(asked, "queries")
     groups = -(-max(1, asked.count()) // QUERY_BLOCK)
     asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
-    spread = pages.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).cast("int")) if groups > 1 else pages.withColumn("part", F.lit(0))
+    spread = pages.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))) if groups > 1 else pages.withColumn("part", F.lit(0))
 
     def route(first: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

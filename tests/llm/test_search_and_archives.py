@@ -114,3 +114,11 @@ def test_scores_of_queries_far_larger_than_what_is_indexed(spark, monkeypatch):
     rows = small + large
     got = {tuple(r) for r in mtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 5, 50).collect()}
     assert got == brute_top(rows, 5, 50)
+
+
+def test_queries_of_several_groups(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = spark.createDataFrame([(i, rng.normal(0, 1, 4).tolist()) for i in range(300)], "vec_id long, embedding array<double>")
+    want = mtree.top_k(rows, every=10).orderBy("query_id", "rank").collect()
+    monkeypatch.setattr(mtree, "QUERY_BLOCK", 7)
+    assert mtree.top_k(rows, every=10).orderBy("query_id", "rank").collect() == want
