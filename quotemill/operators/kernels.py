@@ -225,12 +225,13 @@ class BetaKalman:
     def __post_init__(self) -> None:
         self.beta = np.zeros(self.n) if self.beta is None else self.beta
         self.P = np.eye(self.n) if self.P is None else self.P
+        self._walk = np.diag(self.q)
 
     def predict(self, x: np.ndarray) -> float:
         return float(x @ self.beta)
 
     def learn(self, x: np.ndarray, y: float) -> None:
-        P = self.P + np.diag(self.q)
+        P = self.P + self._walk
         k = P @ x / (x @ P @ x + self.r)
         self.beta = self.beta + k * (y - x @ self.beta)
         self.P = P - np.outer(k, x @ P)
@@ -321,6 +322,10 @@ class DelayedBeta:
         return self.beta.predict(x)
 
 
+#: Steps of the loose pass that are held at a time.
+_CHUNK = 10_000
+
+
 def calibrate(X: np.ndarray, y: np.ndarray, *, loose: float = 1e-4, bounds: tuple[float, float] = (1e-12, 1e2)) -> tuple[BetaKalman, np.ndarray, np.ndarray]:
     """Coefficients by least squares on standardised features, with the walk seen in a loose first pass; mean and scale.
 
@@ -332,10 +337,19 @@ def calibrate(X: np.ndarray, y: np.ndarray, *, loose: float = 1e-4, bounds: tupl
     Z = np.column_stack([np.ones(len(y)), (X - mean) / scale])
     start = np.linalg.lstsq(Z, y, rcond=None)[0]
     r = float(np.var(y - Z @ start)) or 1.0
-    kernel, path = BetaKalman(Z.shape[1], np.full(Z.shape[1], loose), r, start.copy()), []
-    for x, v in zip(Z, y):
-        kernel.learn(x, v)
-        path.append(kernel.beta)
+    kernel = BetaKalman(Z.shape[1], np.full(Z.shape[1], loose), r, start.copy())
     burn = min(200, len(y) // 4)
-    q = np.clip(np.var(np.diff(np.array(path)[burn:], axis=0), axis=0), *bounds)
+    n, centre, spread, last = 0, np.zeros(Z.shape[1]), np.zeros(Z.shape[1]), []
+    for at in range(0, len(y), _CHUNK):  # the path is summed up as it goes: it is as long as the history
+        path = []
+        for x, v in zip(Z[at : at + _CHUNK], y[at : at + _CHUNK]):
+            kernel.learn(x, v)
+            path.append(kernel.beta)
+        moves = np.diff(np.array([*last, *path[max(burn - at, 0) :]]).reshape(-1, Z.shape[1]), axis=0)
+        last = path[-1:] if at + len(path) > burn else []
+        if len(moves):
+            total, off = n + len(moves), moves.mean(axis=0) - centre
+            spread = spread + moves.var(axis=0) * len(moves) + off**2 * (n * len(moves) / total)
+            n, centre = total, centre + off * (len(moves) / total)
+    q = np.clip(spread / max(n, 1), *bounds)
     return BetaKalman(Z.shape[1], q, r, start.copy()), mean, scale

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from quotemill.operators import adapters, frames, learning
 from quotemill.plans import domain, models
@@ -121,13 +122,20 @@ def _live_sql():
 
 
 def _landed(s, rows):
-    """``rows`` as a stream over files that land in slices of time, a micro-batch each; and a folder for what comes out."""
+    """Stored ``rows`` as a stream over files that land in slices of time, a micro-batch each; and a folder for what comes out.
+
+    One pass deals the rows to slices, and each slice then lands from its own folder, so
+    the work grows with the rows, not with rows times slices.
+    """
     at = f"{sinks.shared_folder(s)}/live-{uuid.uuid4().hex}"
     slices = max(4, -(-rows.count() // SLICE_ROWS))
     cuts = rows.agg(F.percentile_approx("ts_ms", [i / slices for i in range(1, slices)], 10_000)).first()[0] or []  # a number for each slice
-    for lo, hi in zip([-(2**62), *cuts], [*cuts, 2**62]):
-        part = rows.where((F.col("ts_ms") > lo) & (F.col("ts_ms") <= hi))
-        part.coalesce(1).write.mode("append").parquet(f"{at}/landed")  # a file, and so a micro-batch, of bounded size
+    cuts = sorted(set(cuts))
+    place = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c < F.col("ts_ms")))
+    rows.where("ts_ms is not null").withColumn("slice", place).repartition("slice").write.partitionBy("slice").parquet(f"{at}/dealt")
+    for i in range(len(cuts) + 1):
+        part = s.read.schema(StructType([*rows.schema, StructField("slice", IntegerType())])).parquet(f"{at}/dealt").where(F.col("slice") == i)
+        part.drop("slice").coalesce(1).write.mode("append").parquet(f"{at}/landed")  # a file, and so a micro-batch, of bounded size
     s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/landed"), at
 
@@ -141,7 +149,7 @@ def _drained(s, out, at):
 
 @add("ml30_live_features", _live_sql())
 def _(s, d):
-    rows = _wide(s, d).where(F.col("exchange").isin(VENUES)).select("market", "exchange", "ts_ms", "seq", *FEATURES)
+    rows = _stored(s, _wide(s, d).where(F.col("exchange").isin(VENUES)).select("market", "exchange", "ts_ms", "seq", *FEATURES))
     stream, at = _landed(s, rows)
     out = live_features(stream, "market", venues=VENUES, features=FEATURES, lagged=LAGGED, lags=LAGS, names=NAMES)
     return _drained(s, out, at).select("market", "seq", *[F.round(c, 6).alias(c) for c in NAMES])
@@ -150,7 +158,7 @@ def _(s, d):
 @add("pipe4_live_drift")
 def _(s, d):
     """Coefficients calibrated on each venue's first events, then predictions on the stream of the rest, learning as outcomes come due."""
-    rows = models._labelled(s, d).select("exchange", "ts_ms", "seq", "mid", "drift", *models.FEATURES)
+    rows = _stored(s, models._labelled(s, d).select("exchange", "ts_ms", "seq", "mid", "drift", *models.FEATURES))
     fitted = adapters.calibrated(rows, "exchange", ["seq"], models.FEATURES, "drift", warm=0.3, time="ts_ms")
     stream, at = _landed(s, rows.drop("drift"))
     out = live_drift(stream, "exchange", fitted, features=models.FEATURES, price="mid", horizon_ms=HOUR)
