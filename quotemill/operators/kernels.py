@@ -10,28 +10,33 @@ import math
 import zlib
 from collections import deque
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 
 
 def water_fill(weights: np.ndarray, cap: float) -> np.ndarray:
     """Weights summing to one, none above the cap; unchanged where the cap cannot hold."""
-    w = np.asarray(weights, dtype=float)
-    total = w.sum()
-    if len(w) <= 1 or cap * len(w) < 1 or total <= 0:
-        return w / total if total > 0 else w
-    w = w / total
-    order = np.argsort(-w, kind="stable")
-    tails = np.cumsum(w[order][::-1])[::-1]
-    m = np.arange(len(w))
-    scaled = w[order] * (1 - m * cap) / tails
-    k = int(np.argmax(scaled <= cap + 1e-15))
-    out = np.where(m < k, cap, scaled if k == 0 else w[order] * (1 - k * cap) / tails[k])
-    if k == 0:
-        out = w[order]
-    back = np.empty_like(out)
-    back[order] = out
-    return back
+    return np.array(_filled(np.asarray(weights, dtype=float).tolist(), cap))
+
+
+def _filled(w: list[float], cap: float) -> list[float]:
+    n, total = len(w), sum(w)
+    if not total > 0:
+        return w
+    w = [x / total for x in w]
+    if n <= 1 or cap * n < 1:
+        return w
+    order = sorted(range(n), key=lambda i: -w[i])
+    tails, tail = [0.0] * n, 0.0
+    for m in reversed(range(n)):
+        tails[m] = tail = tail + w[order[m]]
+    k = next((m for m in range(n) if tails[m] > 0 and w[order[m]] * (1 - m * cap) / tails[m] <= cap + 1e-15), 0)
+    if k:
+        scale = (1 - k * cap) / tails[k]
+        for m, i in enumerate(order):
+            w[i] = cap if m < k else w[i] * scale
+    return w
 
 
 @dataclass
@@ -48,8 +53,7 @@ class Ema:
         return self.value
 
 
-@dataclass(frozen=True)
-class Observation:
+class Observation(NamedTuple):
     name: str
     value: float
     variance: float
@@ -88,20 +92,21 @@ class FusedKalman:
     surprise: dict[str, float] = field(default_factory=dict)
 
     def _fuse(self, obs: list[Observation]):
-        values = np.array([o.value for o in obs])
-        base = np.array([max(o.variance, self.variance_floor) * (1 + self.age_scale * (o.age_ms / max(self.cutoff_ms, 1.0)) ** 2) for o in obs])
-        penalty = np.clip([1 + self.severity * max(self.surprise.get(o.name, 1.0) - 1, 0) for o in obs], 1, self.penalty_max)
-        effective = base * penalty
-        weights = water_fill(1 / effective, self.cap)
-        z = float(weights @ values)
-        r = max(self.r_floor, float(weights**2 @ effective + self.disagreement * (weights @ (values - z) ** 2)))
-        return values, base, weights, z, r
+        # a handful of venues: plain numbers, as arrays cost more than what they do here
+        span = max(self.cutoff_ms, 1.0)
+        base = [max(o.variance, self.variance_floor) * (1 + self.age_scale * (o.age_ms / span) ** 2) for o in obs]
+        penalty = [min(max(1 + self.severity * max(self.surprise.get(o.name, 1.0) - 1, 0), 1), self.penalty_max) for o in obs]
+        effective = [b * p for b, p in zip(base, penalty)]
+        weights = _filled([1 / e for e in effective], self.cap)
+        z = sum([w * o.value for w, o in zip(weights, obs)])
+        r = max(self.r_floor, sum([w * w * e for w, e in zip(weights, effective)]) + self.disagreement * sum([w * (o.value - z) ** 2 for w, o in zip(weights, obs)]))
+        return base, weights, z, r
 
     def step(self, at: float, observations: list[Observation]) -> dict | None:
         obs = live(observations, self.cutoff_ms)
         if not obs:
             return None
-        values, base, weights, z, r = self._fuse(obs)
+        base, weights, z, r = self._fuse(obs)
         if self.x is None:
             self.x, self.p, gain, q = z, self.initial_variance, 1.0, 0.0
         else:
@@ -116,7 +121,7 @@ class FusedKalman:
                 z2 = min((o.value - prior) ** 2 / max(b + spread, 1e-12), self.z2_clip)
                 self.surprise[o.name] = self.memory * self.surprise.get(o.name, 1.0) + (1 - self.memory) * z2
         self.at, self.fused = at, z
-        return {"price": self.x, "fused": z, "gain": gain, "q": q, "r": r, "p": self.p, "weights": dict(zip([o.name for o in obs], weights.tolist()))}
+        return {"price": self.x, "fused": z, "gain": gain, "q": q, "r": r, "p": self.p, "weights": dict(zip([o.name for o in obs], weights))}
 
 
 @dataclass
@@ -144,6 +149,10 @@ class BasisKalman:
     spot: set[str] = field(default_factory=set)
     perp: set[str] = field(default_factory=set)
     index: dict[str, int] = field(default_factory=dict)
+    shapes: dict[tuple[str, ...], np.ndarray] = field(default_factory=dict, repr=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"shapes": {}}
 
     def __post_init__(self) -> None:
         if not self.anchor or self.anchor in self.perp_order or self.least_spot < 1 or not (0 <= self.rho <= 1 and 0 <= self.rho_perp <= 1):
@@ -151,7 +160,7 @@ class BasisKalman:
 
     def _steady(self, m: np.ndarray, floor: float) -> np.ndarray:
         m = (m + m.T) / 2
-        np.fill_diagonal(m, np.maximum(np.diag(m), floor))
+        m.flat[:: len(m) + 1] = np.maximum(m.diagonal(), floor)
         return m
 
     def _layout(self, obs: list[Observation]) -> None:
@@ -174,7 +183,22 @@ class BasisKalman:
                 if v not in self.index:
                     P[i, i] = self.initial_basis
             self.x, self.P = x, self._steady(P, self.floor)
-        self.index = new
+        self.index, self.shapes = new, {}
+
+    def _shape(self, obs: list[Observation]) -> tuple[np.ndarray, ...]:
+        """What venues these are in the state, and every state's decay and walk a second: made once for a layout."""
+        names = tuple([o.name for o in obs])
+        if names not in self.shapes:
+            perp = np.array([False, *(v in self.perp or v in self.perp_order for v in self.index)])
+            decay, walk = np.where(perp, self.rho_perp, self.rho), np.where(perp, self.q_perp, self.q_basis)
+            decay[0], walk[0] = 1.0, self.q_common
+            H = np.zeros((len(obs), len(perp)))
+            H[:, 0] = 1
+            for k, v in enumerate(names):
+                if v in self.index:
+                    H[k, self.index[v]] = 1
+            self.shapes[names] = H, decay, walk, np.eye(len(perp))
+        return self.shapes[names]
 
     def step(self, at: float, observations: list[Observation]) -> dict | None:
         obs = live(observations, self.cutoff_ms)
@@ -191,25 +215,21 @@ class BasisKalman:
             self.x[0] = anchored[0] if anchored else float((y / R).sum() / (1 / R).sum())
             self.P = np.diag(np.maximum([self.initial_common, *[self.initial_basis] * len(self.index)], self.floor))
         dt = max(at - self.at, 1e-3) if self.at is not None else 0.0
-        perp = np.array([False, *(v in self.perp or v in self.perp_order for v in self.index)])
-        decay = np.where(perp, self.rho_perp, self.rho) ** dt if dt > 0 else np.ones(len(self.x))
-        decay[0] = 1.0
-        noise = np.where(perp, self.q_perp, self.q_basis) * dt
-        noise[0] = self.q_common * dt
+        H, rates, walk, one = self._shape(obs)
+        decay = rates**dt
         prior = decay * self.x
-        P = self._steady(decay[:, None] * self.P * decay + np.diag(np.maximum(noise, self.floor)), self.floor)
-        H = np.zeros((len(obs), len(prior)))
-        H[:, 0] = 1
-        for k, o in enumerate(obs):
-            if o.name in self.index:
-                H[k, self.index[o.name]] = 1
+        P = decay[:, None] * self.P * decay
+        P.flat[:: len(P) + 1] += np.maximum(walk * dt, self.floor)
+        P = self._steady(P, self.floor)
         innovation = y - H @ prior
-        S = self._steady(H @ P @ H.T + np.diag(R), 1e-8)
-        K = np.linalg.solve(S, H @ P).T
-        A = np.eye(len(prior)) - K @ H
+        HP = H @ P
+        S = HP @ H.T
+        S.flat[:: len(S) + 1] += R
+        K = np.linalg.solve(self._steady(S, 1e-8), HP).T
+        A = one - K @ H
         self.x, self.P, self.at = prior + K @ innovation, self._steady(A @ P @ A.T + (K * R) @ K.T, self.floor), at
-        sd = np.sqrt(np.maximum(np.diag(self.P), 0))
-        return {"price": float(self.x[0]), "stddev": float(sd[0]), "trace": float(np.trace(self.P)), "basis": {self.anchor: 0.0, **{v: float(self.x[i]) for v, i in self.index.items()}}, "basis_stddev": {self.anchor: 0.0, **{v: float(sd[i]) for v, i in self.index.items()}}, "innovations": {o.name: float(e) for o, e in zip(obs, innovation)}}
+        sd, x = np.sqrt(np.maximum(self.P.diagonal(), 0)).tolist(), self.x.tolist()
+        return {"price": x[0], "stddev": sd[0], "trace": float(self.P.trace()), "basis": {self.anchor: 0.0, **{v: x[i] for v, i in self.index.items()}}, "basis_stddev": {self.anchor: 0.0, **{v: sd[i] for v, i in self.index.items()}}, "innovations": dict(zip([o.name for o in obs], innovation.tolist()))}
 
 
 @dataclass
