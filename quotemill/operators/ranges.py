@@ -50,6 +50,26 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "row_
     return running_sum(df, keys, order, F.lit(1).cast("long"), name, width=width, total=total)
 
 
+def top_share(df: DataFrame, keys: list[str], value: str, ties: list[str], share: float, *, width: float) -> DataFrame:
+    """Each key's ``share`` of rows (rounded down, one at least) of highest ``value``, then lowest ``ties``.
+
+    Rows are counted by ranges of the value, ``width`` long; only the range that the share
+    ends in is sorted, those above it are whole. Nulls come last, NaN first.
+    """
+    x = F.col(value)
+    df = df.withColumn("_range", F.when(F.isnan(x.cast("double")), F.lit(2**63 - 1)).otherwise(F.floor(x / width).cast("long")))
+    by = [*keys, "_range"]
+    key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))  # one row per range
+    sums = df.groupBy(*by).agg(F.count("*").alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(key.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    most = F.greatest(F.lit(1), F.floor(F.sum("_rows").over(key) * share))
+    sums = sums.select(*by, (most - before).alias("_left"), "_rows").where("_left > 0")
+    found = _joined(df, F.broadcast(sums.where("_left >= _rows").select(*by)), by).drop("_range")  # a row for each range
+    last = _joined(df, F.broadcast(sums.where("_left < _rows").select(*by, "_left")), by)  # a row for each key
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(value), *ties))
+    return found.unionByName(last.withColumn("_place", place).where("_place <= _left").drop("_place", "_left", "_range"))
+
+
 def previous(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, *, width: int = WIDTH) -> DataFrame:
     """``df`` with ``value`` of the key's row before this one; a range takes that of its first row from the ranges before."""
     df = _ranged(df, order, width)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quotemill.operators import ranges
 from quotemill.operators import windows as w
 from quotemill.plans import domain
 from quotemill.plans.book import QueryBook
@@ -100,10 +101,8 @@ def _(s, d):
 
 @add("srt2_top_fraction", "SELECT l_returnflag, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) <= greatest(1, floor(count(*) OVER (PARTITION BY l_returnflag) * 0.05))")
 def _(s, d):
-    by = Window.partitionBy("l_returnflag")
-    rank = F.row_number().over(by.orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber"))
-    df = load(s, d, "lineitem").withColumn("r", rank).withColumn("n", F.count("*").over(by))
-    return df.where(F.col("r") <= F.greatest(F.lit(1), F.floor(F.col("n") * 0.05))).select("l_returnflag", "l_orderkey", "l_linenumber")
+    df = load(s, d, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_extendedprice")
+    return ranges.top_share(df, ["l_returnflag"], "l_extendedprice", ["l_orderkey", "l_linenumber"], 0.05, width=100.0).drop("l_extendedprice")
 
 
 @add("srt3_top_by_magnitude", "SELECT p_brand, round(avg(p_retailprice - 1500), 4) AS coef FROM part GROUP BY p_brand ORDER BY abs(avg(p_retailprice - 1500)) DESC, p_brand LIMIT 10")
