@@ -10,7 +10,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from quotemill.operators import adapters, frames, learning
 from quotemill.plans import domain, models
 from quotemill.plans.book import QueryBook
-from quotemill.plans.domain import DAY, HOUR, MEASURES
+from quotemill.plans.domain import DAY, HOUR, MEASURES, stored
 
 from quotemill.sources import captures, sinks
 from quotemill.streaming.drift import live_drift
@@ -23,7 +23,7 @@ VENUES = ["click", "error", "purchase", "view"]
 FEATURES = ["lean", "imb", "spread_bps", "depth", "size", "mid"]
 LAGGED = ["imb", "mid"]
 LAGS = [HOUR, 3 * HOUR]
-SLICE_ROWS = 500_000
+SLICE_ROWS = 2_000_000
 NAMES = frames.lagged_names(VENUES, FEATURES, LAGGED, LAGS)
 MID_LAGS = [c for c in NAMES if "_mid_lag" in c]
 
@@ -54,18 +54,11 @@ def _(s, d):
     return _frame(s, d, complete=False).select("seq", *[F.round(c, 6).alias(c) for c in NAMES])
 
 
-def _stored(s, df):
-    """Written once, as what follows reads it several times."""
-    at = f"{sinks.shared_folder(s)}/live-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return s.read.schema(df.schema).parquet(at)
-
-
 def _fold_rows(s, d, features):
     """The frame of one venue's events with its drift, by folds, standardised."""
     own = models._labelled(s, d).where("exchange = 'click'").select("exchange", "seq", "drift")
-    rows = learning.walk_forward(_stored(s, _stored(s, _frame(s, d)).join(own, "seq")), "exchange", ["seq"], 200, 100, 100)
-    return _stored(s, learning.standardised(rows, ["exchange", "fold"], features))
+    rows = learning.walk_forward(stored(s, stored(s, _frame(s, d)).join(own, "seq")), "exchange", ["seq"], 200, 100, 100)
+    return stored(s, learning.standardised(rows, ["exchange", "fold"], features))
 
 
 @add("ml11_frame_ridge")
@@ -105,7 +98,7 @@ _FROZEN = models.FEAT + """, lab AS (SELECT seq, exchange, size AS a, imb AS b,
 @add("ml29_frozen_replay", f"WITH {_FROZEN} SELECT seq, round(my + wa * (a - ma) + wb * (b - mb), 6) AS predicted FROM t JOIN m USING (exchange) JOIN w USING (exchange) WHERE later")
 def _(s, d):
     rows = learning.temporal_split(models._labelled(s, d), "exchange", ["seq"], 0.7)
-    frozen = _stored(s, learning.ridge(rows, ["exchange"], ["size", "imb"], "drift", 1.0))
+    frozen = stored(s, learning.ridge(rows, ["exchange"], ["size", "imb"], "drift", 1.0))
     return learning.predicted(rows.where("is_test"), frozen, ["exchange"], ["size", "imb"]).select("seq", F.round("predicted", 6).alias("predicted"))
 
 
@@ -142,14 +135,21 @@ def _landed(s, rows):
 
 def _drained(s, out, at):
     """What the stream has made of all that has landed."""
-    query = out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
+    # a state store and a worker for every partition and micro-batch, for a few keys: no more partitions than cores
+    name = "spark.sql.shuffle.partitions"
+    before = s.conf.get(name)
+    s.conf.set(name, min(int(before), s.sparkContext.defaultParallelism))
+    try:
+        query = out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        s.conf.set(name, before)
     return s.read.schema(out.schema).parquet(f"{at}/out")
 
 
 @add("ml30_live_features", _live_sql())
 def _(s, d):
-    rows = _stored(s, _wide(s, d).where(F.col("exchange").isin(VENUES)).select("market", "exchange", "ts_ms", "seq", *FEATURES))
+    rows = stored(s, _wide(s, d).where(F.col("exchange").isin(VENUES)).select("market", "exchange", "ts_ms", "seq", *FEATURES))
     stream, at = _landed(s, rows)
     out = live_features(stream, "market", venues=VENUES, features=FEATURES, lagged=LAGGED, lags=LAGS, names=NAMES)
     return _drained(s, out, at).select("market", "seq", *[F.round(c, 6).alias(c) for c in NAMES])
@@ -158,7 +158,7 @@ def _(s, d):
 @add("pipe4_live_drift")
 def _(s, d):
     """Coefficients calibrated on each venue's first events, then predictions on the stream of the rest, learning as outcomes come due."""
-    rows = _stored(s, models._labelled(s, d).select("exchange", "ts_ms", "seq", "mid", "drift", *models.FEATURES))
+    rows = stored(s, models._labelled(s, d).select("exchange", "ts_ms", "seq", "mid", "drift", *models.FEATURES))
     fitted = adapters.calibrated(rows, "exchange", ["seq"], models.FEATURES, "drift", warm=0.3, time="ts_ms")
     stream, at = _landed(s, rows.drop("drift"))
     out = live_drift(stream, "exchange", fitted, features=models.FEATURES, price="mid", horizon_ms=HOUR)
@@ -178,9 +178,10 @@ def _(s, d):
 def _(s, d):
     """Balanced logistic scores of toxic flow, learned on the first 70 %; what gating by them leaves of the rest, with a perfect gate beside it."""
     rows = models._labelled(s, d).select("exchange", "seq", *models.FEATURES, (F.col("size") * 0.05).alias("fee"), F.greatest(-F.col("drift"), F.lit(0.0)).alias("loss"))
-    rows = learning.temporal_split(rows, "exchange", ["seq"], 0.7)
+    rows = stored(s, learning.temporal_split(rows, "exchange", ["seq"], 0.7))
     cut = rows.where("not is_test").agg(F.percentile("loss", 0.95).alias("cut"))  # one row
     rows = rows.crossJoin(F.broadcast(cut)).withColumn("toxic", (F.col("loss") >= F.col("cut")).cast("int"))
-    scored = learning.logistic(rows, models.FEATURES, "toxic", balanced=True).where("is_test")
+    scored = learning.logistic(rows, models.FEATURES, "toxic", balanced=True).where("is_test").select("exchange", "seq", "probability", "fee", "loss", "toxic")
+    scored = stored(s, scored)
     gated = learning.gated_value(scored, ["exchange"], "probability", "fee", "loss", ["seq"], 0.1)
     return gated.join(learning.auc(scored, ["exchange"], "probability", "toxic"), "exchange")
