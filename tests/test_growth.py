@@ -99,3 +99,23 @@ def test_fits_read_stored_rows(spark):
     """An as-of join is not made again for every pass of a fit."""
     plan = models.book.queries["ml14_logistic"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Join" not in plan
+
+
+def test_books_replay_without_a_group_for_each_segment(spark):
+    level = lambda p, z: {"side": "buy", "price": float(p), "size": float(z), "price_text": "0", "size_text": "0"}
+    kinds = ["snapshot" if i % 9 == 2 else "delta" for i in range(60)]
+    rows = [("x" if i % 2 else "y", "m", i, k, [level(i % 5 + 1, i % 4)]) for i, k in enumerate(kinds)]
+    df = spark.createDataFrame(rows, "exchange string, market string, seq long, kind string, levels array<struct<side:string,price:double,size:double,price_text:string,size_text:string>>")
+    out = adapters.replay_books(df)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    books = {"x": kernels.Book(), "y": kernels.Book()}
+    for v, _, i, k, levels in rows:
+        status = books[v].step(k, [tuple(x.values()) for x in levels])
+        want[i] = (status, *(books[v].best()[:2] if status == "ok" else (None, None)))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)  # segments go on from batch to batch
+    try:
+        assert {r.seq: (r.status, r.bid, r.bid_size) for r in out.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
