@@ -13,18 +13,20 @@ def lagged_names(venues: list[str], features: list[str], lagged: list[str], lags
     return [f"{v}_{f}" for v in venues for f in features] + [f"{v}_{f}_lag{i}" for v in venues for f in lagged for i in range(len(lags))]
 
 
-def lagged_frame(events: DataFrame, *, time: str, seq: str, who: str, venues: list[str], features: list[str], lagged: list[str], lags: list[int], bucket_ms: int, complete: bool = True) -> DataFrame:
+def lagged_frame(events: DataFrame, *, time: str, seq: str, who: str, venues: list[str], features: list[str], lagged: list[str], lags: list[int], bucket_ms: int, complete: bool = True, of: str | None = None) -> DataFrame:
     """Per event every venue's latest features, and their changes since each lag, as (seq, columns of ``lagged_names``).
 
     An event is stacked once for each lag, its time shifted back by it, so one sort and
     one pass carry all venues' rows to all lags; a second grouping puts an event
     together again. A row counts for lag w if it is the venue's last at or before t - w
     and at most 2w before t; events that lack such a row are left out, with ``complete``
-    those that lack any value, too.
+    those that lack any value, too. ``of``: the one series whose events are wanted; the
+    others then only serve as its past, and are not stacked.
     """
     own = events.select(seq, time, who, F.struct(F.col(time).alias("at"), *features).alias("row"))
     shifts = [0, *lags]
-    stacked = own.select(seq, F.explode(F.array(*[F.struct(F.lit(i).alias("lag"), (F.col(time) - w).alias(time)) for i, w in enumerate(shifts)])).alias("_x")).select(seq, "_x.*")
+    wanted = own if of is None else own.where(F.col(who) == of)
+    stacked = wanted.select(seq, F.explode(F.array(*[F.struct(F.lit(i).alias("lag"), (F.col(time) - w).alias(time)) for i, w in enumerate(shifts)])).alias("_x")).select(seq, "_x.*")
     found = align.asof_many(stacked, own, time=time, seq=seq, who=who, others=venues, value="row", bucket_ms=bucket_ms)
     late = [F.when((F.col("lag") == 0) | (F.col(time) + F.element_at(F.array(*[F.lit(w) for w in shifts]), F.col("lag") + 1) - F.col(f"{v}_row.at") <= 2 * F.element_at(F.array(*[F.lit(w) for w in shifts]), F.col("lag") + 1)), F.col(f"{v}_row")).alias(f"{v}_row") for v in venues]
     found = found.select(seq, "lag", *late)

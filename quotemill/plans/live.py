@@ -34,8 +34,8 @@ def _wide(s, d):
     return domain.measures(s, d).withColumn("lean", F.col("micro") - F.col("mid"))
 
 
-def _frame(s, d, complete=True):
-    return frames.lagged_frame(_wide(s, d), time="ts_ms", seq="seq", who="exchange", venues=VENUES, features=FEATURES, lagged=LAGGED, lags=LAGS, bucket_ms=DAY, complete=complete)
+def _frame(s, d, complete=True, of=None):
+    return frames.lagged_frame(_wide(s, d), time="ts_ms", seq="seq", who="exchange", venues=VENUES, features=FEATURES, lagged=LAGGED, lags=LAGS, bucket_ms=DAY, complete=complete, of=of)
 
 
 def _frame_sql():
@@ -57,7 +57,7 @@ def _(s, d):
 def _fold_rows(s, d, features):
     """The frame of one venue's events with its drift, by folds, standardised."""
     own = models._labelled(s, d).where("exchange = 'click'").select("exchange", "seq", "drift")
-    rows = learning.walk_forward(stored(s, stored(s, _frame(s, d)).join(own, "seq")), "exchange", ["seq"], 200, 100, 100)
+    rows = learning.walk_forward(stored(s, stored(s, _frame(s, d, of="click")).join(own, "seq")), "exchange", ["seq"], 200, 100, 100)
     return stored(s, learning.standardised(rows, ["exchange", "fold"], features))
 
 

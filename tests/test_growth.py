@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quotemill.operators import adapters, kernels, ranges
+from quotemill.operators import adapters, frames, kernels, ranges
 from quotemill.plans import live, models
 
 
@@ -119,3 +119,12 @@ def test_books_replay_without_a_group_for_each_segment(spark):
         assert {r.seq: (r.status, r.bid, r.bid_size) for r in out.collect()} == want
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_frame_of_one_series_is_part_of_the_whole(spark):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame(pd.DataFrame({"seq": np.arange(200), "t": np.sort(rng.integers(0, 900, 200)), "v": rng.choice(["a", "b"], 200), "x": rng.normal(size=200)}))
+    made = lambda **k: frames.lagged_frame(df, time="t", seq="seq", who="v", venues=["a", "b"], features=["x"], lagged=["x"], lags=[20], bucket_ms=100, **k)
+    want = made().join(df.where("v = 'a'").select("seq"), "seq", "left_semi").toPandas().sort_values("seq", ignore_index=True)
+    got = made(of="a").toPandas().sort_values("seq", ignore_index=True)
+    assert len(want) > 30 and got.equals(want)
