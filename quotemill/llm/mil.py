@@ -11,6 +11,7 @@ the text; scoring reads every passage of every document.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -198,13 +199,22 @@ def held_out(doc_id: Column) -> Column:
 BAG = "doc_id long, quality int, n int, x binary"
 
 
+def _packed(bag: np.ndarray) -> bytes:
+    """A bag on its way to the driver: most slots are empty, so it shrinks several times."""
+    return zlib.compress(bag.tobytes(), 1)
+
+
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), dtype=np.float32).reshape(n, -1)
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` labelled documents, those of least hashed id, held-out ones left out.
 
     Null texts count as empty; rows without an id or a label of 0 or 1 are not learned
     from, nor are ids that have both labels. Of the texts of one id the least counts, so
     what the driver gets is bounded by ``sample`` times FIT_PASSAGES rows of FEATURES
-    numbers. Empty tables give a model that scores one half.
+    numbers, compressed on the way. Empty tables give a model that scores one half.
     """
     marked = labels.select(F.col("doc_id").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1) and doc_id is not null")
     chosen = marked.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").drop("other")
@@ -213,11 +223,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             found = [_spread(passage_features(t)) for t in df["text"]]
-            yield pd.DataFrame({"doc_id": df["doc_id"], "quality": df["quality"], "n": [len(b) for b in found], "x": [b.tobytes() for b in found]})
+            yield pd.DataFrame({"doc_id": df["doc_id"], "quality": df["quality"], "n": [len(b) for b in found], "x": [_packed(b) for b in found]})
 
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     rows = texts.mapInPandas(scan, BAG).toPandas().sort_values("doc_id")
-    bags = [np.frombuffer(x, dtype=np.float32).reshape(n, -1) for n, x in zip(rows["n"], rows["x"])]
+    bags = [_unpacked(x, n) for n, x in zip(rows["n"], rows["x"])]
     return fit(bags, rows["quality"].to_numpy())
 
 

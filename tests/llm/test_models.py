@@ -60,6 +60,14 @@ def test_long_and_odd_texts_have_all_their_passages():
         assert x.shape == (1, mil.FEATURES) and np.isfinite(x).all()
 
 
+def test_bags_shrink_on_their_way_to_the_driver():
+    rng = np.random.default_rng(5)
+    for n in (0, 40, 2000):
+        bag = mil._spread(mil.passage_features(" ".join(f"w{i}" for i in rng.integers(0, 500, n))))
+        raw = mil._packed(bag)
+        assert len(raw) < bag.nbytes / 2 and (mil._unpacked(raw, len(bag)) == bag).all()
+
+
 def test_learning_ignores_clashes_repeats_and_rows_without_id(spark, make_docs):
     texts = [f"some plain words {i}" if i % 2 else f"LOUD! WORDS! {i}" for i in range(60)]
     docs, labels = make_docs(texts), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
