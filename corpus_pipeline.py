@@ -39,9 +39,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the first document by id stays; rows without an id stay."""
+    """Of each group of near-duplicates the first document by id stays; rows without an id stay.
+
+    Links are those of op10 (SimHash balls, two bits) and shingle sets of a similarity of 0.8.
+    """
     with_worker_path(prepare(spark))
-    classes = similar_classes(docs, words=5, similarity=0.8)
+    classes = similar_classes(docs, words=5, similarity=0.8, radius=2)
     gone = materialize(classes.where("not keep").select("doc_id", "row").distinct(), "near-gone")
     own = docs.select(*COLUMNS)
     maybe = may_contain(gone, "doc_id")(F.col("doc_id"))

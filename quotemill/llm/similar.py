@@ -7,7 +7,9 @@ variants within half of that number in millions for each text. So texts meet on
 similarity s share with a probability of 1 - (1 - s^ROWS)^BANDS: 0.9999 at 0.8, and
 1 in 30 at 0.3, as of texts that have a passage in common. A sketch of 128 bits, one
 from each of as many minima, rules out what is far apart, and exact sets of shingles
-decide. Equal sets are one node from the start.
+decide. Equal sets are one node from the start. SimHash fingerprints within a radius, by
+the balls of :mod:`simhash`, link texts as well where a radius is given: it finds copies
+with edits that leave the fingerprint, the minima find the rest.
 """
 
 from __future__ import annotations
@@ -20,9 +22,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quotemill.llm.components import connected_components
 from quotemill.llm.idfilter import may_contain
 from quotemill.llm.meeting import components_of, meetings
 from quotemill.llm.scratch import discard, materialize
+from quotemill.llm.simhash import fingerprint_links, fingerprint_of
+from quotemill.llm.words import shingle_hashes
 
 ROWS, BANDS = 6, 32
 MINIMA = ROWS * BANDS
@@ -109,12 +114,25 @@ def _near(a: str, b: str) -> Column:
     return F.coalesce(bits("w0") + bits("w1") <= FAR, F.lit(False)) | F.coalesce(bits("w2") + bits("w3") <= FAR, F.lit(False))
 
 
-def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def _with_fingerprints(classes: DataFrame, marked: DataFrame, radius: int) -> DataFrame:
+    """(node, component) over links of ``classes`` and those of fingerprints at most ``radius`` bits apart."""
+    balls = connected_components(fingerprint_links(marked.select("fp").distinct(), radius))
+    held = marked.select("fp", F.col("s1").alias("a")).distinct()
+    held = held.join(balls.withColumnRenamed("node", "fp"), "fp", "left").select("a", F.coalesce("component", "fp").alias("ball")).distinct()
+    hubs = held.groupBy("ball").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1")
+    edges = held.join(hubs, "ball").where("a <> b").select("a", "b")
+    out = connected_components(edges.unionAll(classes.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    discard(balls, classes)
+    return out
+
+
+def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int | None = None) -> DataFrame:
     """doc_id, row, component_id (the least id of its group) and keep, of every document.
 
     Documents whose sets of ``words``-word shingles have at least the similarity are
-    linked. Texts of fewer words are one shingle; null and empty texts have none and
-    are alike. ``row`` is a hash of the text: rows that share an id and differ in text
+    linked, and so are, where ``radius`` is given, those whose SimHash fingerprints (of
+    three-word shingles, as in op10) differ in at most so many bits. Texts of fewer words
+    are one shingle; null and empty texts have none and are alike. ``row`` is a hash of the text: rows that share an id and differ in text
     are documents of their own, rows that share both are one, and ``keep`` is true for
     the first of a group by (doc_id, row). Null ids are left out. An empty table gives
     an empty result; other columns are ignored.
@@ -129,11 +147,12 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
                 names = shingle_set(text, words)
                 digest = np.frombuffer(xxhash.xxh3_128_digest(names.tobytes()), dtype=np.int64)
                 keys, sketch = marks_of(names)
-                rows.append((*digest.tolist(), len(names), *[x for s in sketch for x in (np.frombuffer(s, dtype=np.int64).tolist() or (None, None))], keys))
-            found = pd.DataFrame(rows, columns=["s1", "s2", "n", *sketches, "keys"]).astype({w: "Int64" for w in sketches})
+                fp = 0 if radius is None else fingerprint_of(shingle_hashes(text, 3, 42))
+                rows.append((*digest.tolist(), fp - (fp >> 63 << 64), len(names), *[x for s in sketch for x in (np.frombuffer(s, dtype=np.int64).tolist() or (None, None))], keys))
+            found = pd.DataFrame(rows, columns=["s1", "s2", "fp", "n", *sketches, "keys"]).astype({w: "Int64" for w in sketches})
             yield pd.concat([df[["doc_id", "row"]].reset_index(drop=True), found], axis=1)
 
-    schema = "doc_id long, row long, s1 long, s2 long, n int, " + ", ".join(f"{w} long" for w in sketches) + ", keys array<long>"
+    schema = "doc_id long, row long, s1 long, s2 long, fp long, n int, " + ", ".join(f"{w} long" for w in sketches) + ", keys array<long>"
     marked = materialize(known.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInPandas(scan, schema), "near-marked")
     # equal sets are one node
     own = [F.min(F.struct("doc_id", "row")).alias("first"), F.first("n").alias("n"), F.first(F.struct(*sketches)).alias("sig"), F.first("keys").alias("keys")]
@@ -169,6 +188,8 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
         return both.join(x, "a").join(y, ["b", "salt"]).select("a", "b", "x", "y").mapInPandas(check, "a long, b long")
 
     classes = components_of(met, linked, "near", nodes.select("node", "sig"), _near)
+    if radius is not None:
+        classes = _with_fingerprints(classes, marked, radius)
     named = nodes.join(classes, "node", "left").select("s1", "s2", "first", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("group"))
     named = materialize(named.join(least, "component").select("s1", "s2", F.col("group.doc_id").alias("component_id"), F.col("group.row").alias("component_row")), "near-named")

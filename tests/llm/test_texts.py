@@ -226,6 +226,19 @@ def test_similar_at_the_threshold_and_short(make_docs):
     assert got == {i: i - i % 2 for i in range(len(texts))}
 
 
+def test_similar_classes_hold_those_of_simhash_balls(make_docs):
+    rng = np.random.default_rng(14)
+    tail = lambda: " ".join(f"w{i}" for i in rng.integers(0, 10**6, 30))
+    refrain = "alpha beta gamma " * 100  # decides the fingerprint, and is three shingles of the set
+    texts = [refrain + tail(), refrain + tail(), tail(), tail(), None, "", "one word", tail() + " x"]
+    texts.append(texts[2] + " y")
+    balls = {r.doc_id: r.component_id for r in simhash.near_duplicate_classes(make_docs(texts)).collect()}
+    assert balls[1] == 0 and balls[5] == 4
+    alone = {r.doc_id: r.component_id for r in similar.similar_classes(make_docs(texts)).collect()}
+    both = {r.doc_id: r.component_id for r in similar.similar_classes(make_docs(texts), radius=2).collect()}
+    assert alone == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 6, 7: 7, 8: 2} and both == alone | {1: 0}
+
+
 LARGE = [2**60 + 1, None, 2**53 + 1, 2**53 + 3, 5, -7]
 
 
