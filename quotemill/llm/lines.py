@@ -26,16 +26,12 @@ from quotemill.llm.scratch import discard, materialize
 #: What stands between words: ASCII characters other than letters and digits, each by itself, which the pattern looks up in a table where it would try ranges in turn.
 BETWEEN = "[" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]+"
 SIMILARITY = 0.8
-#: Bits of 64 that the SimHash of linked lines may differ in. Lines that share two thirds of their words differ in 13 to 17 on average, with a deviation of 3.
+#: Bits of 64 that the SimHash of lines differs in that are compared first. Lines that share two thirds of their words differ in 13 to 17 on average, with a deviation of 3.
 RADIUS = 25
 #: Words of so many letters are long; runs have so many characters.
 LETTERS, RUN = 4, 3
 #: Lines of fewer words have no SimHash.
 FEW_WORDS = 5
-#: Longer lines are compared by words, not characters.
-LONG = 4096
-#: Lines of which so large a part of the words differ are not like.
-UNLIKE = 0.6
 _MINIMA = 24
 _SALTS = [Random(i).getrandbits(64) - (1 << 63) for i in range(_MINIMA)]
 #: Bits by which a hash is turned before it is salted: salts alone leave the order of hashes to the same few leading bits.
@@ -162,29 +158,37 @@ def longest_word(norm: Column) -> Column:
     return F.array_max(F.transform(F.split(norm, " "), lambda w: F.length(w)))
 
 
+def _allowed(m: Column, n: Column) -> Column:
+    """Edits that leave lines of so many characters alike."""
+    return F.floor(F.greatest(m, n) * (1 - SIMILARITY) + 1e-9).cast("int")
+
+
 def _linked(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) those of like lines. ``lines``: node, norm, sig, spelt, longest.
+    """Of the pairs (a, b) those of like lines. ``lines``: node, norm, spelt, longest.
 
     Word by word first: each of k edited words takes as many character edits as the
     longest word has letters, and one for its space, at most; few of them settle a
-    pair. Where most words differ the lines are unlike. Only what is left is compared by
-    characters. Lines of over LONG characters are compared by words alone.
+    pair. What is left is compared by characters, whatever its length.
     """
-    x = lines.select(F.col("node").alias("a"), F.col("sig").alias("sa"), F.col("spelt").alias("va"), F.col("longest").alias("la"), F.col("norm").alias("x"))
-    y = lines.select(F.col("node").alias("b"), F.col("sig").alias("sb"), F.col("spelt").alias("vb"), F.col("longest").alias("lb"), F.col("norm").alias("y"))
-    both = pairs.join(x, "a").join(y, "b").where(_near("sa", "sb")).withColumns({"m": F.length("x"), "n": F.length("y"), "v": F.greatest(F.length("va"), F.length("vb"))})
-    allowed = lambda n: F.floor(n * (1 - SIMILARITY) + 1e-9).cast("int")
-    both = both.withColumns({"allowed": allowed(F.greatest("m", "n")), "words": allowed(F.col("v")), "most": F.floor(F.col("v") * UNLIKE).cast("int")})
-    both = both.where((F.abs(F.col("m") - F.col("n")) <= F.col("allowed")) | (F.greatest("m", "n") > LONG))
-    # a generator hands a value on as a column: it is computed once
-    both = both.withColumn("long", F.greatest("m", "n") > LONG).withColumn("sure", F.floor(F.col("allowed") / (F.greatest("la", "lb") + 1)).cast("int"))
-    both = both.select("*", F.explode(F.array(F.expr("levenshtein(va, vb, if(long, words, least(sure, most))) >= 0"))).alias("like"))
-    few = F.col("v") < FEW_WORDS
-    return both.where(F.col("like") | (~F.col("long") & (few | F.expr("levenshtein(va, vb, most) >= 0")) & F.expr("levenshtein(x, y, allowed) >= 0"))).select("a", "b")
+    x = lines.select(F.col("node").alias("a"), F.col("spelt").alias("va"), F.col("longest").alias("la"), F.col("norm").alias("x"))
+    y = lines.select(F.col("node").alias("b"), F.col("spelt").alias("vb"), F.col("longest").alias("lb"), F.col("norm").alias("y"))
+    both = pairs.join(x, "a").join(y, "b").withColumns({"m": F.length("x"), "n": F.length("y")})
+    both = both.withColumn("allowed", _allowed(F.col("m"), F.col("n"))).where(F.abs(F.col("m") - F.col("n")) <= F.col("allowed"))
+    both = both.withColumn("sure", F.floor(F.col("allowed") / (F.greatest("la", "lb") + 1)).cast("int"))
+    return both.where("levenshtein(va, vb, sure) >= 0 or levenshtein(x, y, allowed) >= 0").select("a", "b")
+
+
+def _sized(a: str, b: str) -> Column:
+    """Whether the lengths leave room for a link."""
+    m, n = F.col(f"{a}.size"), F.col(f"{b}.size")
+    return F.abs(m - n) <= _allowed(m, n)
 
 
 def _near(a: str, b: str) -> Column:
-    return F.coalesce(F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= RADIUS, F.lit(True))
+    return F.coalesce(F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) <= RADIUS, F.lit(True))
+
+
+_PASSES = (lambda a, b: _sized(a, b) & _near(a, b), lambda a, b: _sized(a, b) & ~_near(a, b))
 
 
 def line_components(seen: DataFrame, lines: DataFrame) -> DataFrame:
@@ -198,7 +202,8 @@ def line_components(seen: DataFrame, lines: DataFrame) -> DataFrame:
     texts = with_simhash(norms).select("node", "sig", "norm", spelt_by_words(F.col("norm")).alias("spelt"), longest_word(F.col("norm")).alias("longest"))
     texts = materialize(texts, "line-texts")
     discard(norms)
-    found = components_of(met, lambda pairs: _linked(pairs, texts), "line", texts, _near)
+    sigs = texts.select("node", F.struct(F.col("sig").alias("bits"), F.length("norm").alias("size")).alias("sig"))
+    found = components_of(met, lambda pairs: _linked(pairs, texts), "line", sigs, _PASSES)
     discard(met, texts)
     return found
 

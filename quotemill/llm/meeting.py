@@ -10,7 +10,7 @@ tried, and the pairs of a group of copies are not.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +19,7 @@ from quotemill.llm.components import connected_components
 from quotemill.llm.scratch import discard, materialize
 
 Verify = Callable[[DataFrame], DataFrame]
+Near = Callable[[str, str], Column]
 
 
 def meetings(marks: DataFrame, label: str) -> DataFrame:
@@ -28,11 +29,12 @@ def meetings(marks: DataFrame, label: str) -> DataFrame:
     return materialize(found.where("least < most").select("key", "node", "least"), label)
 
 
-def components_of(met: DataFrame, verify: Verify, label: str, nodes: DataFrame | None = None, near: Callable[[str, str], Column] | None = None) -> DataFrame:
+def components_of(met: DataFrame, verify: Verify, label: str, nodes: DataFrame | None = None, passes: Sequence[Near] = ()) -> DataFrame:
     """(node, component) of every node with a link; ``verify`` keeps the linked ones of pairs (a, b).
 
-    ``nodes`` and ``near``: columns of each node (node, sig) and a condition on two of
-    them that linked nodes meet; it spares joins the rows of far pairs.
+    ``nodes`` and ``passes``: columns of each node (node, sig) and conditions on two sigs,
+    of which linked nodes meet one; they spare joins the rows of other pairs, and what an
+    earlier one has put together is not compared by a later.
     """
     first = met.where("node <> least").groupBy("node").agg(F.min("least").alias("first"))
     first = materialize(first, f"{label}-first")
@@ -49,22 +51,22 @@ def components_of(met: DataFrame, verify: Verify, label: str, nodes: DataFrame |
     if not more.isEmpty():
         links = materialize(links.unionAll(more), f"{label}-links")
         classes = connected_components(links)
-    apart = placed().where("c <> hc").select("key", F.col("node").alias("m"), F.col("c").alias("mc"))
-    apart = materialize(apart, f"{label}-apart")
-    if not apart.isEmpty():
-        member = placed().where("node <> least").select("key", "node", "c").join(apart.select("key").distinct(), "key", "left_semi")
-        far = F.col("c") != F.col("mc")
-        if near is not None:
-            member = member.join(nodes.select("node", F.col("sig").alias("sa")), "node")
-            apart_ = apart.join(nodes.select(F.col("node").alias("m"), F.col("sig").alias("sb")), "m")
-            far = far & near("sa", "sb")
-        else:
-            apart_ = apart
-        joined = member.join(apart_, (member["key"] == apart_["key"]) & far)
-        rest = joined.select(F.greatest("node", "m").alias("a"), F.least("node", "m").alias("b")).distinct()
-        last = materialize(verify(rest), f"{label}-links")
-        if not last.isEmpty():
-            links = materialize(links.unionAll(last), f"{label}-links")
-            classes = connected_components(links)
-    discard(apart, first)
+    for near in passes or (None,):
+        apart = placed().where("c <> hc").select("key", F.col("node").alias("m"), F.col("c").alias("mc"))
+        apart = materialize(apart, f"{label}-apart")
+        if not apart.isEmpty():
+            member = placed().where("node <> least").select("key", "node", "c").join(apart.select("key").distinct(), "key", "left_semi")
+            other, far = apart, F.col("c") != F.col("mc")
+            if near is not None:
+                member = member.join(nodes.select("node", F.col("sig").alias("sa")), "node")
+                other = apart.join(nodes.select(F.col("node").alias("m"), F.col("sig").alias("sb")), "m")
+                far = far & near("sa", "sb")
+            joined = member.join(other, (member["key"] == other["key"]) & far)
+            rest = joined.select(F.greatest("node", "m").alias("a"), F.least("node", "m").alias("b")).distinct()
+            last = materialize(verify(rest), f"{label}-links")
+            if not last.isEmpty():
+                links = materialize(links.unionAll(last), f"{label}-links")
+                classes = connected_components(links)
+        discard(apart)
+    discard(first)
     return classes

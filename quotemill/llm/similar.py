@@ -187,7 +187,7 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, ra
         y = texts.select(F.col("node").alias("b"), F.col("names").alias("y")).join(both.select("b", "salt").distinct(), "b")
         return both.join(x, "a").join(y, ["b", "salt"]).select("a", "b", "x", "y").mapInPandas(check, "a long, b long")
 
-    classes = components_of(met, linked, "near", nodes.select("node", "sig"), _near)
+    classes = components_of(met, linked, "near", nodes.select("node", "sig"), (_near,))
     if radius is not None:
         classes = _with_fingerprints(classes, marked, radius)
     named = nodes.join(classes, "node", "left").select("s1", "s2", "first", F.coalesce("component", "node").alias("component"))

@@ -120,3 +120,29 @@ def test_replaced_words_and_typos_are_linked(spark):
     removed = [r["doc_id"] for r in lines.dedup_lines(df).collect() if r["n_removed"]]
     assert all(d % 2 for d in removed)
     assert wanted > 200 and len(removed) >= 0.97 * wanted
+
+
+def test_no_pair_that_meets_is_left_out_by_words_bits_or_length(spark):
+    rng = np.random.default_rng(17)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    word = lambda n: "".join(rng.choice(letters, n))
+    texts = []
+    for n in (5, 8, 15, 30):  # a typo in each word: other words and bits, like characters
+        line = [word(8) for _ in range(n)]
+        texts += [" ".join(line), " ".join(w[:3] + "é" + w[4:] for w in line), " ".join(w[:3] + "éé" + w[5:] for w in line)]
+    long = word(5000)
+    texts += [long, "é" + long[1:-1] + "é", long[:3000] + word(2000), " ".join(word(4) for _ in range(1200))]
+    df = spark.createDataFrame(list(enumerate(texts)), "node long, norm string")
+    table = lines.with_simhash(df).select("node", "sig", "norm", lines.spelt_by_words(F.col("norm")).alias("spelt"), lines.longest_word(F.col("norm")).alias("longest"))
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
+    got = {tuple(r) for r in lines._linked(spark.createDataFrame(pairs, "a long, b long"), table).collect()}
+    allowed = lambda x, y: int(max(len(x), len(y)) * (1 - lines.SIMILARITY) + 1e-9)
+    room = lambda x, y: abs(len(x) - len(y)) <= allowed(x, y)
+    assert got == {(i, j) for i, j in pairs if room(texts[i], texts[j]) and distance(texts[i], texts[j]) <= allowed(texts[i], texts[j])}
+    assert {(1, 0), (4, 3), (7, 6), (10, 9), (13, 12)} <= got
+
+
+def test_long_lines_of_one_word_are_linked(spark):
+    long = "".join(np.random.default_rng(18).choice(list("abcdefghijklmnopqrstuvwxyz"), 5000))
+    df = spark.createDataFrame([(1, long), (2, "é" + long[1:-1] + "é")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in lines.dedup_lines(df).collect()} == {1: 0, 2: 1}
