@@ -2,7 +2,8 @@
 
 The tokenizer drops white space and never joins across it, so the ids of a text
 are the ids of its white-space-separated chunks in order. Chunks repeat, so a
-bounded per-worker cache answers most of them. A chunk that is Latin-1 letters
+bounded per-worker cache answers most of them; when it is full it becomes the older
+of two, and what is asked for again moves over to the new one. A chunk that is Latin-1 letters
 followed by ASCII punctuation is put together from its lower-cased letters and
 its punctuation, which repeat more often still; tests hold all of this against
 encoding the whole text at once.
@@ -40,8 +41,8 @@ def return_freed_memory() -> None:
 class WordEncoder:
     """``encode(texts)`` gives little-endian unsigned 32-bit ids as bytes, without special tokens."""
 
-    #: Entries of a cache; words are short, and a block of long ones empties the caches too.
-    CACHE = 150_000
+    #: Entries after which a cache becomes the older one; words are short, and a block of long ones empties the caches too.
+    CACHE = 400_000
 
     def __init__(self, path: str):
         import os
@@ -60,6 +61,8 @@ class WordEncoder:
             self._ends[at] = token.endswith("</w>")
         self._chunks: dict[str, bytes] = {}
         self._cores: dict[str, bytes] = {}
+        self._older_chunks: dict[str, bytes] = {}
+        self._older_cores: dict[str, bytes] = {}
         self._tails: dict[str, bytes] = {"": b""}
 
     def _each(self, parts: list[str]) -> list[bytes]:
@@ -76,6 +79,10 @@ class WordEncoder:
         return [raw[a:b] for a, b in zip([0, *at[:-1]], at)]
 
     def _learn(self, new: list[str]) -> None:
+        if older := self._older_chunks:
+            known = [c for c in new if c in older]
+            self._chunks.update(zip(known, map(older.__getitem__, known)))
+            new = [c for c in new if c not in older]
         chunks, cores, tails, odd = [], [], [], []
         strip = string.punctuation
         for chunk in new:
@@ -89,7 +96,12 @@ class WordEncoder:
             else:
                 odd.append(chunk)
         known, ends = self._cores, self._tails
-        fresh = list({c for c in cores if c not in known})
+        fresh = {c for c in cores if c not in known}
+        if older := self._older_cores:
+            again = fresh & older.keys()
+            known.update(zip(again, map(older.__getitem__, again)))
+            fresh -= again
+        fresh = list(fresh)
         for i in range(0, len(fresh), 20_000):
             known.update(zip(fresh[i : i + 20_000], self._letters(fresh[i : i + 20_000])))
         if rare := list({t for t in tails if t not in ends}):
@@ -111,11 +123,11 @@ class WordEncoder:
                 for k in gaps:
                     parts[k] = map(known.__getitem__, split[k])
             out += map(b"".join, parts)
-            if max(len(known), len(self._tails)) > self.CACHE or sum(map(len, new)) > 20 * self.CACHE:
-                # emptied between blocks only: a block needs all of its chunks; also after a block of very long ones
-                known.clear()
-                self._cores.clear()
-                self._tails = {"": b""}
+            # emptied between blocks only: a block needs all of its chunks; also after a block of very long ones
+            if len(self._tails) > self.CACHE or sum(map(len, new)) > 20 * self.CACHE:
+                self._chunks, self._older_chunks, self._cores, self._older_cores, self._tails = {}, {}, {}, {}, {"": b""}
+            elif len(known) > self.CACHE:
+                self._chunks, self._older_chunks, self._cores, self._older_cores = {}, known, {}, self._cores
         return out
 
 

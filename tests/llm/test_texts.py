@@ -203,6 +203,25 @@ def test_word_cache_smaller_than_a_block(monkeypatch):
         assert encoder.encode(texts) == want
 
 
+def test_words_asked_for_again_stay_in_a_full_word_cache(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from quotemill.llm.tokens import WordEncoder
+
+    path = op8.tokenizer_path()
+    encoder, t = WordEncoder(path), Tokenizer.from_file(path)
+    monkeypatch.setattr(encoder, "CACHE", 50)
+    learned = []
+    letters = encoder._letters
+    monkeypatch.setattr(encoder, "_letters", lambda cores: learned.extend(cores) or letters(cores))
+    for block in range(6):
+        texts = [f"frequent words, w{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}{'abcdef'[block]} come" for i in range(60)]
+        want = [np.array(t.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in texts]
+        assert encoder.encode(texts) == want
+        assert len(encoder._chunks) + len(encoder._older_chunks) < 200
+    assert len(learned) == len(set(learned)) == 6 * 60 + 3
+
+
 def test_control_characters_keep_their_tokens():
     from tokenizers import Tokenizer
 
