@@ -48,6 +48,21 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(spaced, " "), "")
 
 
+def lowered(words: Column) -> Column:
+    """The words in lower case; they hold no space, which ends a word for a final sigma too."""
+    return F.split(F.lower(F.array_join(words, " ")), " ")
+
+
+def word_codes(words: Column) -> Column:
+    """For each lower-cased word its code among those of ``references``."""
+
+    def code(w: Column) -> Column:
+        size = F.octet_length(w)
+        return F.coalesce(F.get(F.get("ref_codes", size), F.array_position(F.get("ref_sized", size), w).cast("int")), F.lit(_CODES[0]))
+
+    return F.transform(words, code)
+
+
 def divergence(p: Column, q: Column) -> Column:
     """Jensen-Shannon divergence (base 2, 0 to 1) of two arrays of shares."""
 
@@ -82,8 +97,7 @@ def repeated_words(df: DataFrame) -> DataFrame:
     rows that hold some hash twice.
     """
     inner = F.greatest(F.size("words") - 2, F.lit(0))
-    triples = F.arrays_zip(F.slice("words", 1, inner).alias("a"), F.slice("words", 2, inner).alias("b"), F.slice("words", 3, inner).alias("c"))
-    df = df.withColumn("keys", F.transform(triples, lambda t: F.xxhash64(t["a"], t["b"], t["c"])))
+    df = df.withColumn("keys", F.slice(F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2))), 1, inner))
     repeated = F.size(F.array_distinct("keys")) < F.size("keys")
     df = df.withColumn("sorted", F.when(repeated, F.sort_array(F.transform("keys", lambda k, i: F.struct(k.alias("k"), i.alias("i"))))))
     hashes, m = F.col("sorted.k"), F.size("sorted")
@@ -97,7 +111,7 @@ def repeated_words(df: DataFrame) -> DataFrame:
 
 
 def references(docs: DataFrame, *, common: int = COMMON) -> DataFrame:
-    """One row per language: shares of classes, commonest words, shares of all other words and of these.
+    """One row per language: shares of classes, commonest words (also by size, with codes), shares of all other words and of these.
 
     Documents below the minimum length and rows without a language are left out;
     copies count as often as they occur. Ties between words go to the lesser one.
@@ -122,10 +136,17 @@ def references(docs: DataFrame, *, common: int = COMMON) -> DataFrame:
     top = part.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("r") <= common)
     top = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("r", "w", "n"))).alias("top"))
     inside = F.aggregate(F.col("top.n"), F.lit(0).cast("long"), lambda s, x: s + x)
-    return classes.join(top, "lang").select(
+    # words by their length in bytes, so that a word is compared with those of its own only
+    size = lambda w: F.octet_length(w)
+    coded = F.transform("top.w", lambda w, i: F.struct(w.alias("w"), F.substr(F.lit(_CODES), i + 2, F.lit(1)).alias("code")))
+    by_size = F.transform(F.sequence(F.lit(0), F.array_max(F.transform("top.w", size))), lambda n: F.filter("coded", lambda x: size(x["w"]) == n))
+    found = classes.join(top, "lang").withColumn("coded", coded).withColumn("by_size", by_size)
+    return found.select(
         F.col("lang").alias("ref_lang"),
         shares(F.col("classes")).alias("ref_classes"),
         F.col("top.w").alias("ref_words"),
+        F.transform("by_size", lambda x: x["w"]).alias("ref_sized"),
+        F.transform("by_size", lambda x: F.concat(F.array(F.lit(_CODES[0])), x["code"])).alias("ref_codes"),
         shares(F.concat(F.array(F.col("total") - inside), F.col("top.n"))).alias("ref_shares"),
     )
 
@@ -150,9 +171,7 @@ def judge(docs: DataFrame) -> DataFrame:
     df = repeated_words(df.select("*", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines")).drop("text", "lines"))
     df = df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     compared = ~F.col("base_failed") & F.col("ref_lang").isNotNull()
-    letters = F.array(*[F.lit(c) for c in _CODES])
-    code = F.transform("words", lambda w: F.get(letters, F.array_position("ref_words", F.lower(w)).cast("int")))
-    df = df.withColumn("codes", F.when(compared, F.array_join(code, "")))
+    df = df.withColumn("codes", F.when(compared, F.array_join(word_codes(lowered(F.col("words"))), "")))
     counts = F.array(*[(F.length("codes") - F.length(F.replace("codes", F.lit(c), F.lit("")))).cast("long") for c in _CODES[: COMMON + 1]])
     df = df.withColumn("counts", F.when(compared, F.slice(counts, F.lit(1), F.size("ref_words") + 1)))
     df = df.withColumn("class_divergence", F.when(compared, divergence(shares(F.array(*[F.col(f"n_{c}") for c in CLASSES])), F.col("ref_classes"))))
