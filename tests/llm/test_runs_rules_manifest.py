@@ -108,6 +108,17 @@ def test_base_counts_match_brute_force(make_docs):
         assert r.base_failed == (len(w) < 50 or 100 * repeat > 50 * len(w)) and not (r.kept and r.base_failed)
 
 
+def test_word_codes_by_size_are_places_among_common_words(make_docs):
+    words = ["the", "Über", "THE", "ΟΔΟΣ", "İx", "naïve", "a", "longer", "日本"]
+    rng = np.random.default_rng(8)
+    docs = make_docs([" ".join(words[i] for i in rng.integers(0, len(words), 300)) for _ in range(10)] + ["rare " * 60])
+    known = quality_rules.references(docs, common=6)
+    rows = docs.crossJoin(known).withColumn("w", quality_rules.lowered(quality_rules.words_of(F.col("text")))).select("w", "ref_words", quality_rules.word_codes(F.col("w")).alias("codes")).collect()
+    assert len(rows) == 11 and len(rows[0].ref_words) == 6
+    for r in rows:
+        assert r.codes == [quality_rules._CODES[r.ref_words.index(w) + 1 if w in r.ref_words else 0] for w in r.w]
+
+
 def test_rules_reject_other_distributions(make_docs, spark):
     rng = np.random.default_rng(7)
     vocab = ["the", "of", "and", "to"] * 10 + [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(90)]
