@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from quotemill.functions import quotes as q
 from quotemill.operators import adapters, frames, learning
 from quotemill.plans import domain, models
 from quotemill.plans.book import QueryBook
@@ -51,7 +52,7 @@ def _frame_sql():
 
 @add("ml6_feature_frame", f"WITH {_frame_sql()} SELECT seq, {', '.join(f'round({c}, 6) AS {c}' for c in NAMES)} FROM frame")
 def _(s, d):
-    return _frame(s, d, complete=False).select("seq", *[F.round(c, 6).alias(c) for c in NAMES])
+    return _frame(s, d, complete=False).select("seq", *[q.rounded(F.col(c), 6).alias(c) for c in NAMES])
 
 
 def _fold_rows(s, d, features):

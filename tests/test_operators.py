@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quotemill.functions import quotes as q
 from quotemill.operators import align, fusion, learning, normalize, windows
+from quotemill.plans import live
 
 
 def test_asof_matches_searchsorted(spark):
@@ -111,3 +112,12 @@ def test_coinbase_drops_events_that_are_no_objects(spark):
     df = spark.createDataFrame([(1, 0, raw)], "seq long, received_ts_ms long, raw string")
     r = normalize.coinbase_ticker(df).first()
     assert r.source_ts_ms == 1927857906789 and str(r.bid_size) == "3.125000000000000000"
+
+
+def test_feature_frame_rounds_as_its_sql(spark, monkeypatch):
+    """A last bit below a half goes up where the product with the power of ten is that half."""
+    values = [0.049216499999999996, 0.028514499999999998, -0.049216499999999996, 0.0492164, 12.0, None]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "seq long, v double").select("seq", *[F.col("v").alias(c) for c in live.NAMES])
+    monkeypatch.setattr(live, "_frame", lambda s, d, **options: rows)
+    got = live.book.queries["ml6_feature_frame"](spark, "").orderBy("seq").collect()
+    assert [r[1] for r in got] == [r[len(live.NAMES)] for r in got] == [0.049217, 0.028515, -0.049217, 0.049216, 12.0, None]
