@@ -131,7 +131,7 @@ def test_frame_of_one_series_is_part_of_the_whole(spark):
 
 
 def test_boosting_runs_until_it_stops_gaining(spark, monkeypatch):
-    """Five rounds at a rate of 0.1 can explain 0.65 of the variance at most."""
+    """A first tree of full weight and four at a tenth leave 0.04 of this variance; all rounds leave next to none."""
     rng = np.random.default_rng(6)
     n = 6_000
     df = pd.DataFrame({"exchange": rng.choice(["a", "b"], n), "seq": np.arange(n), "ts_ms": np.arange(n) * 10, "lean": rng.normal(size=n), "imb": rng.normal(size=n), "size": rng.integers(0, 100, n).astype(float)})
@@ -139,7 +139,7 @@ def test_boosting_runs_until_it_stops_gaining(spark, monkeypatch):
     monkeypatch.setattr(models, "_labelled", lambda s, d: spark.createDataFrame(df))
     got = models.book.queries["ml13_boosted_trees"](spark, "").toPandas()
     assert sorted(got["seq"]) == sorted(i for _, g in df.groupby("exchange") for i in g["seq"].iloc[int(len(g) * 0.7) :])
-    assert 1 - ((got["drift"] - got["predicted"]) ** 2).sum() / ((got["drift"] - got["drift"].mean()) ** 2).sum() > 0.98
+    assert 1 - ((got["drift"] - got["predicted"]) ** 2).sum() / ((got["drift"] - got["drift"].mean()) ** 2).sum() > 0.998
 
 
 def test_boosting_over_cells_is_boosting_over_rows():
